@@ -2,5 +2,512 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from feedlens.functions import text as texts
+from feedlens.functions import urls
+from feedlens.operators import articles as store
+from feedlens.operators import clustering, health, ontology, quality, search, tagging
+from feedlens.sources import listings
+from feedlens.sources.adapters import align, as_of, doc_articles, fetch_log, page_articles, table
+from feedlens.sources.html import html_text, html_title, resolve_link
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that it is held against."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
+_LOG = """WITH log AS (SELECT event_id AS seq, 'src' || (user_id % 25) AS source, ts AS collected_at, value AS delay,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS fetch_status FROM events)
+"""
+_ARTICLES = """WITH art AS (SELECT doc_id, 'https://' || source || '.example.com/' || lang || '/' || doc_id AS link, source, lang AS category,
+  substring(split_part(text, chr(10), 1), 1, 80) AS title, text AS summary, (DATE '2024-01-01' + (doc_id % 30)::INTEGER)::TIMESTAMP AS event_ts FROM documents)
+"""
+_RELIABILITY = """
+  SELECT source, total - errors AS article_count, errors, round((total - errors)::DOUBLE / total, 4) AS success_rate, round(stale, 2) AS staleness_days,
+    round(100 * (0.7::DOUBLE * ((total - errors)::DOUBLE / total) + 0.3::DOUBLE * coalesce(greatest(0.0::DOUBLE, 1 - least(stale, 14.0::DOUBLE) / 14), 0)), 2) AS score
+  FROM (SELECT *, greatest(0.0::DOUBLE, (epoch({as_of}) - floor(epoch(last_seen)))::DOUBLE / 86400.0::DOUBLE) AS stale FROM (
+    SELECT source, count(*) AS total, count(*) FILTER (WHERE fetch_status <> 'ok') AS errors, max(collected_at) FILTER (WHERE fetch_status = 'ok') AS last_seen
+    FROM log {where} GROUP BY source))
+""".replace("{as_of}", _AS_OF)
+
+
+def _log(spark: SparkSession, d: str) -> DataFrame:
+    return fetch_log(table(spark, d, "events"))
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    return doc_articles(table(spark, d, "documents"))
+
+
+# --- reliability and health ---------------------------------------------------
+
+
+@query(_LOG + _RELIABILITY.replace("{where}", ""))
+def source_reliability(spark, d):
+    return health.reliability(_log(spark, d), as_of())
+
+
+@query(_LOG + _RELIABILITY.replace("{where}", f"WHERE collected_at >= {_AS_OF} - INTERVAL 10 DAY"))
+def reliability_window(spark, d):
+    return health.reliability(_log(spark, d).where(F.col("collected_at") >= as_of() - F.expr("INTERVAL 10 DAYS")), as_of())
+
+
+_COUNTERS = """SELECT source, count(*) FILTER (WHERE fetch_status = 'ok') AS success_count, count(*) FILTER (WHERE fetch_status <> 'ok') AS failure_count,
+  arg_max(delay, seq) AS last_delay, arg_max(fetch_status, seq) FILTER (WHERE fetch_status <> 'ok') AS last_error,
+  count(*) FILTER (WHERE fetch_status <> 'ok') >= 150 AS disabled FROM log GROUP BY source"""
+
+
+@query(_LOG + _COUNTERS)
+def health_counters(spark, d):
+    return health.counters(_log(spark, d), threshold=150)
+
+
+@query(_LOG + _COUNTERS)
+def health_counters_merged(spark, d):
+    log = _log(spark, d)
+    first, later = (health.counters(log.where(c), 150) for c in ("seq <= 3000", "seq > 3000"))
+    return health.merge_counters(first, later, 150)
+
+
+@query(_LOG + f", h AS ({_COUNTERS}) SELECT l.source, count(*) AS n FROM log l WHERE l.source NOT IN (SELECT source FROM h WHERE disabled) GROUP BY l.source")
+def health_anti_join(spark, d):
+    log = _log(spark, d)
+    return health.without_disabled(log, health.counters(log, 150)).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(
+    _LOG
+    + f", h AS ({_COUNTERS}) SELECT source, success_count + failure_count AS total, round(100 * success_count::DOUBLE / (success_count + failure_count), 1) AS rate FROM h ORDER BY 2 DESC, 1 LIMIT 20"
+)
+def health_top_attempts(spark, d):
+    return health.totals(health.counters(_log(spark, d), 150))
+
+
+@query(
+    _LOG
+    + """, RECURSIVE_SEQ AS (SELECT source, fetch_status <> 'ok' AS bad, row_number() OVER (PARTITION BY source ORDER BY seq) AS i FROM log)
+SELECT source, list_reduce(list_prepend(0.5::DOUBLE, list(CASE WHEN bad THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY i)),
+  lambda x, y: CASE WHEN y < 0 THEN least(60.0::DOUBLE, x * 2.0::DOUBLE) ELSE greatest(0.5::DOUBLE, x - 0.5::DOUBLE * (1.0::DOUBLE - 0.9::DOUBLE)) END) AS delay,
+  count(*) AS n_events FROM RECURSIVE_SEQ GROUP BY source"""
+)
+def throttle_delay_fold(spark, d):
+    return health.throttle_fold(_log(spark, d))
+
+
+@query()
+def breaker_state_fold(spark, d):
+    return health.breaker_fold(_log(spark, d), fail_max=2, reset_seconds=7200.0)
+
+
+@query(
+    _LOG
+    + """SELECT source, count(*) AS n FROM (SELECT source, epoch_us(collected_at) - epoch_us(lag(collected_at) OVER (PARTITION BY source ORDER BY collected_at, seq)) AS gap FROM log)
+WHERE gap < 600000000 GROUP BY source"""
+)
+def rate_limit_violations(spark, d):
+    return health.interval_violations(_log(spark, d), 600.0).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(
+    _LOG
+    + f"""SELECT source, round((epoch({_AS_OF}) - floor(epoch(m)))::DOUBLE / 3600, 2) AS age_hours,
+  CASE WHEN m IS NULL THEN 'missing' WHEN (epoch({_AS_OF}) - floor(epoch(m)))::DOUBLE / 3600 <= 2 THEN 'fresh' ELSE 'stale' END AS status
+FROM (SELECT source, max(collected_at) FILTER (WHERE fetch_status = 'ok') AS m FROM log GROUP BY source)"""
+)
+def freshness_sla_status(spark, d):
+    return health.freshness(_log(spark, d), as_of(), 2)
+
+
+# --- article store --------------------------------------------------------------
+
+
+@query(
+    _ARTICLES
+    + f"SELECT link, title, source, category, event_ts FROM art WHERE category = 'en' AND event_ts >= {_AS_OF} - INTERVAL 7 DAY ORDER BY event_ts DESC, link LIMIT 200"
+)
+def recent_articles(spark, d):
+    return store.recent(_articles(spark, d), as_of(), 7, 200, "en").select("link", "title", "source", "category", "event_ts")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100")
+def recent_topk_orders(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    return store.recent(rows, as_of(), 36500, 100, None, "o_orderdate", "o_orderkey")
+
+
+@query(
+    """SELECT 'c' || o_custkey AS link, arg_min(o_orderpriority, o_orderkey) AS category, arg_min(o_orderstatus, o_orderkey) AS source,
+  arg_max(o_totalprice, o_orderkey) AS summary_value, arg_max(o_orderdate, o_orderkey) AS published FROM orders GROUP BY o_custkey"""
+)
+def upsert_articles(spark, d):
+    rows = table(spark, d, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("link"),
+        F.col("o_orderpriority").alias("category"),
+        F.col("o_orderstatus").alias("source"),
+        F.col("o_totalprice").alias("summary_value"),
+        F.col("o_orderdate").alias("published"),
+        F.col("o_orderkey").alias("seq"),
+    )
+    return store.upsert(store.upsert(None, rows.where("seq <= 3000")), rows.where("seq > 3000"))
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderdate < TIMESTAMP '2024-01-31' - INTERVAL 10000 DAY) AS deleted, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '2024-01-31' - INTERVAL 10000 DAY) AS kept FROM orders")
+def retention_delete_count(spark, d):
+    return store.retention_count(table(spark, d, "orders"), as_of(), 10000, "o_orderdate")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '2024-01-31' - INTERVAL 10000 DAY GROUP BY 1")
+def retention_survivors(spark, d):
+    return store.survivors(table(spark, d, "orders"), as_of(), 10000, "o_orderdate").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events WHERE (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id % 7 = 0)) GROUP BY 1")
+def raw_log_anti_dedupe(spark, d):
+    rows = table(spark, d, "events").withColumn("link", F.concat_ws("/", F.col("user_id").cast("string"), "event_type"))
+    return store.unlogged(rows, rows.where("event_id % 7 = 0")).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(_ARTICLES + "SELECT category, count(*) AS n, count(NULL) AS with_run_id FROM art GROUP BY category")
+def schema_evolution_union(spark, d):
+    rows = align(_articles(spark, d), store.LINEAGE)
+    return rows.groupBy("category").agg(F.count("*").alias("n"), F.count("run_id").alias("with_run_id"))
+
+
+@query(
+    """SELECT source AS category, day, prev_day, next_day FROM (SELECT source, day, lag(day) OVER w AS prev_day, lead(day) OVER w AS next_day
+FROM (SELECT DISTINCT 'src' || (user_id % 25) AS source, ts::DATE AS day FROM events) WINDOW w AS (PARTITION BY source ORDER BY day))"""
+)
+def prev_next_report(spark, d):
+    days = _log(spark, d).select(F.col("source").alias("category"), F.to_date("collected_at").alias("day")).distinct()
+    w = Window.partitionBy("category").orderBy("day")
+    return days.select("category", "day", F.lag("day").over(w).alias("prev_day"), F.lead("day").over(w).alias("next_day"))
+
+
+# --- URLs and pages ----------------------------------------------------------------
+
+_CANON = r"""regexp_replace(CASE WHEN url LIKE '%?%page=%' THEN regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '') || '?' || regexp_extract(url, '(page=[0-9]+)', 1)
+  ELSE regexp_replace(split_part(split_part(url, '#', 1), '?', 1), '/+$', '') END, '^$', '')"""
+
+
+@query(f"SELECT page_id, {_CANON} AS canonical FROM pages")
+def canonical_url_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("canonical"))
+
+
+@query(f"SELECT {_CANON} AS key, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def canonical_url_dups(spark, d):
+    return quality.duplicate_keys(table(spark, d, "pages"), urls.canonical_url(F.col("url")))
+
+
+@query("SELECT page_id, coalesce(nullif(trim(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)), ''), url) AS title FROM pages")
+def page_title(spark, d):
+    return table(spark, d, "pages").select("page_id", html_title(F.col("html"), F.col("url")).alias("title"))
+
+
+_TEXT = r"regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gis'), '</?(p|div|section|article|li|ul|ol|h[1-6]|br|tr|td|th)[^>]*>', chr(10), 'gi')"
+_TEXT = f"regexp_replace({_TEXT}, '<[^>]+>', '', 'g')"
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _TEXT = f"replace({_TEXT}, '{_a}', '{_b}')"
+_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT page_id, length({_TEXT})::INTEGER AS n_chars, md5({_TEXT}) AS text_md5 FROM pages")
+def page_text_length(spark, d):
+    text = html_text(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
+
+
+@query(
+    r"""SELECT page_id, count(*) FILTER (WHERE h NOT IN ('', '#')) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS h FROM pages) GROUP BY page_id"""
+)
+def page_link_targets(spark, d):
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
+    return links.groupBy("page_id").agg(F.count(resolve_link(F.col("href"), F.col("url"))).alias("n_links"))
+
+
+@query("SELECT page_id, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+'), false) AS valid FROM pages")
+def url_validity(spark, d):
+    return table(spark, d, "pages").select("page_id", urls.is_valid_url(F.col("url")).alias("valid"))
+
+
+@query(_ARTICLES + "SELECT CASE WHEN trim(title) = '' AND title <> '' THEN 'title is empty' WHEN title = '' THEN 'title is missing or not a string' END AS error, count(*) AS n FROM art WHERE trim(title) = '' GROUP BY 1")
+def article_validation_errors(spark, d):
+    rows = _articles(spark, d).select(F.explode(quality.validation_errors()).alias("error"))
+    return rows.groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT regexp_extract(url, '://([^/?#]+)', 1) AS source, count(*) AS n FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def source_counts(spark, d):
+    return page_articles(table(spark, d, "pages")).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(15)
+
+
+# --- entities ------------------------------------------------------------------------
+
+RULES: tagging.Rules = [("Connectors", ["of", "and", "with"]), ("Articles", ["the", "der", "le", "la"]), ("Licences", ["license", "rights reserved"]), ("Accents", ["é", "ü"])]
+_HIT = r"regexp_matches(title || chr(10) || summary, '(?i)(^|[^\p{L}\p{N}_])KW($|[^\p{L}\p{N}_])')"
+
+
+def _hits(rules: tagging.Rules) -> str:
+    parts = []
+    for name, words in rules:
+        found = [f"CASE WHEN {_HIT.replace('KW', w) if w.isascii() else f'contains(lower(title || chr(10) || summary), {chr(39)}{w}{chr(39)})'} THEN 1 ELSE 0 END" for w in words]
+        parts.append(f"SELECT doc_id, '{name}' AS entity, {' + '.join(found)} AS hits, event_ts FROM art")
+    return ", e AS (SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE hits > 0)\n"
+
+
+_TAGS = _ARTICLES + _hits(RULES)
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    return _articles(spark, d).withColumn("matched_entities", tagging.matched_entities(F.col("title"), F.col("summary"), RULES))
+
+
+@query(_TAGS + "SELECT doc_id, entity, hits::INTEGER AS hits FROM e")
+def entity_match_map(spark, d):
+    rows = _tagged(spark, d).select("doc_id", F.explode("matched_entities").alias("entity", "found"))
+    return rows.select("doc_id", "entity", F.size("found").alias("hits"))
+
+
+@query(_TAGS + "SELECT entity, sum(hits)::BIGINT AS hits, min(doc_id) AS first_pos FROM e GROUP BY entity ORDER BY 2 DESC, 3, 1 LIMIT 20")
+def entity_top20(spark, d):
+    return tagging.top_entities(_tagged(spark, d), "doc_id")
+
+
+@query(_TAGS + "SELECT (SELECT count(*) FROM art) AS article_count, (SELECT count(DISTINCT source) FROM art) AS source_count, (SELECT count(DISTINCT doc_id) FROM e) AS matched_count")
+def summary_counts(spark, d):
+    return tagging.summary_row(_tagged(spark, d))
+
+
+@query(
+    _TAGS
+    + """, t AS (SELECT entity, count(*) AS total FROM e GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15),
+c AS (SELECT entity, unnest(generate_series(DATE '2024-01-17', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM t),
+n AS (SELECT entity, event_ts::DATE AS day, count(*) AS n FROM e GROUP BY 1, 2)
+SELECT c.entity, c.day, coalesce(n.n, 0)::BIGINT AS n FROM c LEFT JOIN n USING (entity, day)"""
+)
+def entity_date_heatmap(spark, d):
+    return tagging.heatmap(tagging.entity_days(_tagged(spark, d), "event_ts"), F.lit("2024-01-30").cast("date"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in texts.ENTITY_STOPWORDS)
+
+
+@query(
+    _ARTICLES
+    + f"""SELECT entity, event_ts::DATE AS day, count(*) AS n FROM (SELECT event_ts, trim(unnest(regexp_split_to_array(trim(title), '\\s+')), '.,!?;:()[]"''') AS entity FROM art)
+WHERE length(entity) >= 2 AND lower(entity) NOT IN ({_STOP}) GROUP BY 1, 2"""
+)
+def title_word_days(spark, d):
+    return tagging.title_word_days(_articles(spark, d), "event_ts")
+
+
+# --- quality -----------------------------------------------------------------------------
+
+
+@query("SELECT * FROM (VALUES ('text', 0::BIGINT, 0::DOUBLE)) t(field, missing, ratio) WHERE false UNION ALL SELECT 'short', count(*) FILTER (WHERE n_chars < 300), round(100.0::DOUBLE * count(*) FILTER (WHERE n_chars < 300) / count(*), 4) FROM documents UNION ALL SELECT 'text', count(*) FILTER (WHERE text IS NULL OR text = ''), round(100.0::DOUBLE * count(*) FILTER (WHERE text IS NULL OR text = '') / count(*), 4) FROM documents")
+def missing_fields(spark, d):
+    return quality.missing_fields(table(spark, d, "documents"), {"text": "text IS NULL OR text = ''", "short": "n_chars < 300"})
+
+
+@query("SELECT l_partkey AS key, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1 ORDER BY 2 DESC, 1 LIMIT 20")
+def duplicate_keys(spark, d):
+    return quality.duplicate_keys(table(spark, d, "lineitem"), F.col("l_partkey"))
+
+
+@query("SELECT 'text' AS field, round(avg(length(text)), 4) AS avg_length, min(length(text))::INTEGER AS min_length, max(length(text))::INTEGER AS max_length FROM documents UNION ALL SELECT 'source', round(avg(length(source)), 4), min(length(source))::INTEGER, max(length(source))::INTEGER FROM documents")
+def text_lengths(spark, d):
+    return quality.text_lengths(table(spark, d, "documents"), ["text", "source"])
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents GROUP BY 1")
+def language_distribution(spark, d):
+    return quality.value_counts(table(spark, d, "documents"), "lang")
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents WHERE lang NOT IN ('en', 'de') GROUP BY 1")
+def language_invalid(spark, d):
+    return quality.invalid_values(table(spark, d, "documents"), "lang", ["en", "de"])
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderdate > TIMESTAMP '2024-01-31') AS future, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders")
+def date_stats(spark, d):
+    return quality.date_stats(table(spark, d, "orders"), "o_orderdate", as_of())
+
+
+@query(
+    _ARTICLES
+    + f"""SELECT 'total' AS check, count(*)::DOUBLE AS value FROM art UNION ALL SELECT 'future', count(*) FILTER (WHERE event_ts > {_AS_OF})::DOUBLE FROM art
+UNION ALL SELECT 'languages', count(DISTINCT category)::DOUBLE FROM art UNION ALL SELECT 'missing_title', count(*) FILTER (WHERE title = '')::DOUBLE FROM art
+UNION ALL SELECT 'missing_summary', count(*) FILTER (WHERE summary = '')::DOUBLE FROM art UNION ALL SELECT 'length_title', round(avg(length(title)), 4) FROM art
+UNION ALL SELECT 'length_summary', round(avg(length(summary)), 4) FROM art UNION ALL SELECT 'duplicate_keys', 0::DOUBLE"""
+)
+def quality_all(spark, d):
+    return quality.run_all(_articles(spark, d), "link", ["title", "summary"], "category", "event_ts", as_of())
+
+
+# --- titles, search ----------------------------------------------------------------------
+
+_TSTOP = ", ".join(f"'{w}'" for w in texts.TITLE_STOPWORDS)
+_TOKENS = (
+    _ARTICLES
+    + rf""", tok AS (SELECT link, w FROM (SELECT link, unnest(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+')) AS w FROM art) WHERE length(w) > 1 AND w NOT IN ({_TSTOP})),
+tf AS (SELECT link, w, count(*) AS tf FROM tok GROUP BY 1, 2)
+"""
+)
+
+
+@query(_TOKENS + "SELECT link, w AS token, tf FROM tf")
+def title_tokens(spark, d):
+    return clustering.token_counts(_articles(spark, d))
+
+
+@query(_TOKENS + "SELECT w AS token, count(*) AS df FROM tf GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+def token_document_frequency(spark, d):
+    counts = clustering.token_counts(_articles(spark, d)).groupBy("token").agg(F.count("*").alias("df"))
+    return counts.orderBy(F.desc("df"), "token").limit(50)
+
+
+@query(
+    _TOKENS
+    + """, sig AS (SELECT link, string_agg(w, ' ' ORDER BY w) AS s FROM tok GROUP BY link), rep AS (SELECT min(link) AS link FROM sig GROUP BY s),
+r AS (SELECT tf.* FROM tf JOIN rep USING (link)), nrm AS (SELECT link, sqrt(sum(tf * tf)) AS n FROM r GROUP BY link)
+SELECT x.link AS a, y.link AS b, round(sum(x.tf * y.tf) / (any_value(nx.n) * any_value(ny.n)), 6) AS cosine FROM r x JOIN r y ON x.w = y.w AND x.link < y.link
+JOIN nrm nx ON nx.link = x.link JOIN nrm ny ON ny.link = y.link GROUP BY 1, 2 HAVING sum(x.tf * y.tf) / (any_value(nx.n) * any_value(ny.n)) >= 0.7::DOUBLE"""
+)
+def title_pairs_cosine(spark, d):
+    pairs = clustering.similar_pairs(clustering.signatures(_articles(spark, d)), 0.7)
+    return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+@query()
+def title_clusters(spark, d):
+    return clustering.clusters(_articles(spark, d), 0.7)
+
+
+_BM25 = r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t),
+h AS (SELECT doc_id, q, len(list_filter(w, lambda x: x = q)) AS tf, len(w) AS dl FROM t, (VALUES QQ) v(q)), f AS (SELECT q, count(*) AS df FROM h WHERE tf > 0 GROUP BY q)
+SELECT doc_id, round(-sum(greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS rank
+FROM h JOIN f USING (q), s WHERE tf > 0 GROUP BY doc_id HAVING count(*) = KK ORDER BY rank, doc_id LIMIT 20"""
+
+
+def _search(spark: SparkSession, d: str, match: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    return search.search(docs, "doc_id", match).withColumn("rank", F.round("rank", 6)).orderBy("rank", "doc_id")
+
+
+@query(_BM25.replace("QQ", "('license')").replace("KK", "1"))
+def bm25_single(spark, d):
+    return _search(spark, d, "license")
+
+
+@query(_BM25.replace("QQ", "('license'), ('version')").replace("KK", "2"))
+def bm25_and(spark, d):
+    return _search(spark, d, "license version")
+
+
+@query()
+def search_phrase_not(spark, d):
+    return _search(spark, d, '"general public" OR apache NOT mit')
+
+
+@query()
+def search_snippet(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    return search.search(docs, "doc_id", "license").join(docs, "doc_id").select("doc_id", search.snippet(F.col("body"), ["license"]).alias("snippet"))
+
+
+_NL = ("최근 3일 AI 5개", "지난 2주", "최근 3개월 보안", "last 2 weeks top 10 security", "plain text")
+
+
+@query(
+    "SELECT * FROM (VALUES ('최근 3일 AI 5개', 'AI', 3, 5), ('지난 2주', '', 14, NULL), ('최근 3개월 보안', '보안', 90, NULL), ('last 2 weeks top 10 security', 'security', 14, 10), ('plain text', 'plain text', NULL, NULL)) t(raw, search_text, days, \"limit\")"
+)
+def nl_query_parse(spark, d):
+    rows = spark.createDataFrame([(x,) for x in _NL], "raw string")
+    return rows.select("raw", texts.parse_query(F.col("raw")).alias("q")).select("raw", "q.*")
+
+
+_LISTING = """{"kind":"Listing","data":{"children":[{"kind":"t3","data":{"title":"One &amp; two","selftext":"body","permalink":"/r/x/comments/1/","author":"a","score":3,"num_comments":2,"subreddit":"x","created_utc":1700000000}},
+{"kind":"t1","data":{"title":"comment"}},{"kind":"t3","data":{"title":"[deleted]","permalink":"/r/x/2/"}},{"kind":"t3","data":{"title":"Gone","removed_by_category":"moderator","permalink":"/r/x/3/"}},
+{"kind":"t3","data":{"title":"Linked","id":"q4","url":"https://example.org/a","subreddit":"x","author":"b"}}]}}"""
+
+
+@query(
+    r"""SELECT * FROM (VALUES (0, 'One & two', 'https://www.reddit.com/r/x/comments/1/', '[r/x] by u/a | 3 points | 2 comments' || chr(10) || chr(10) || 'body'),
+(4, 'Linked', 'https://www.reddit.com/r/x/comments/q4/', '[r/x] by u/b | 0 points | 0 comments' || chr(10) || chr(10) || 'Link: https://example.org/a')) t(pos, title, link, summary)"""
+)
+def listing_parse(spark, d):
+    raw = spark.createDataFrame([("x", "c", _LISTING)], "source string, category string, body string")
+    return listings.parse_listings(raw).select("pos", "title", "link", "summary")
+
+
+# --- ontology ---------------------------------------------------------------------------
+
+CONTRACT = {
+    "repo": "feedlens",
+    "category": "docs",
+    "ontology_version": "1",
+    "event_model_mappings": {"release": "em.release", "notice": "em.notice"},
+    "source_role_mappings": {"primary": "role.primary"},
+    "event_model_field_specs": {
+        "release": {"required_fields": ["headline", "source_url", "owner"], "optional_fields": ["category"], "field_enums": {"category": ["en", "de", "fr"]}},
+        "notice": {"required_fields": ["headline"], "optional_fields": [], "field_enums": {}},
+    },
+}
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    dim = [(f"src{i}", ("release", "notice", "rumour")[i % 3], ("primary", "other")[i % 2]) for i in range(20)]
+    return ontology.annotate(_articles(spark, d), CONTRACT, spark.createDataFrame(dim, "name string, event_model string, role string"))
+
+
+_ONTO = _ARTICLES + """, o AS (SELECT *, CASE substr(source, 4)::INT % 3 WHEN 0 THEN 'em.release' WHEN 1 THEN 'em.notice' END AS event_id,
+  CASE substr(source, 4)::INT % 2 WHEN 0 THEN 'role.primary' END AS role_id FROM art)
+"""
+
+
+@query(_ONTO + "SELECT doc_id, event_id AS event_model_id, role_id AS source_role_id FROM o")
+def ontology_annotate(spark, d):
+    return _annotated(spark, d).select(
+        "doc_id", F.col("ontology")["event_model_id"].alias("event_model_id"), F.col("ontology")["source_role_id"].alias("source_role_id")
+    )
+
+
+@query(_ONTO + "SELECT category AS value, count(*) AS n FROM o WHERE event_id = 'em.release' AND category = 'es' GROUP BY 1")
+def ontology_enum_violations(spark, d):
+    spec = CONTRACT["event_model_field_specs"]["release"]
+    rows = _annotated(spark, d).where(F.col("ontology")["event_model_id"] == "em.release")
+    bad = rows.select(ontology.enum_violations(ontology.payload(spec, rows.columns), spec).alias("v")).where("v is not null")
+    return bad.groupBy(F.col("v.value").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(_ONTO + "SELECT 'event_model_payload missing required field ''owner'' for ''em.release''' AS error, count(*) AS n FROM o WHERE event_id = 'em.release' HAVING count(*) > 0")
+def ontology_validate(spark, d):
+    articles = _annotated(spark, d)
+    values = ontology.payload(CONTRACT["event_model_field_specs"]["release"], articles.columns)
+    rows = articles.select(F.explode(ontology.validate(F.col("ontology"), values, CONTRACT)).alias("error"))
+    return rows.groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query(_ONTO + "SELECT count(*) AS scanned, count(*) FILTER (WHERE doc_id % 4 = 0) AS updated, count(event_id) AS with_event_model_id FROM o")
+def ontology_backfill_counts(spark, d):
+    new = _annotated(spark, d)
+    stale = F.map_concat("ontology", F.create_map(F.lit("stale"), F.lit("1")))
+    old = new.select("doc_id", F.when(F.col("doc_id") % 4 == 0, stale).otherwise(F.col("ontology")).alias("ontology"))
+    return ontology.backfill(old, new, "doc_id")[1]
