@@ -191,7 +191,7 @@ def test_validation(spark):
 
 
 def test_similar_articles(spark):
-    rows = [("Big news today", "https://a.org/x/1", "Big news today!", "https://a.org/x/2"), ("Big news", "https://a.org/x", "Big news", "https://b.org/x")]
+    rows = [("Big news today", "https://a.org/story/1", "Big news today!", "https://a.org/story/2"), ("Big news", "https://a.org/x", "Big news", "https://b.org/x")]
     pairs = spark.createDataFrame(rows, "title1 string, url1 string, title2 string, url2 string")
     assert quality.similar_articles(pairs).count() == 1
 
