@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.shared import bucket_count, range_bounds, range_bucket, written
+from feedlens.llm.textkit import batches
 
 SEQUENCE = 4096
 DIMENSIONS = 4
@@ -25,41 +26,65 @@ BITS = 10
 HASHED = 512
 END_ID = 2
 ROWS_PER_BUCKET = 20_000
-_CACHED_PIECES = 400_000
-_CACHED_LENGTH = 48
+_CACHED_WORDS = 200_000
 
 
-class PieceTokenizer:
-    """Ids of whole texts, by white-space pieces that are encoded once and remembered.
+class WordTokenizer:
+    """Ids of whole texts as the ``tokenizers`` model gives them, mostly from remembered words.
 
-    The vocabulary's splitter never joins over a blank, so the ids of a text are those
-    of its pieces in order.  The memory of pieces is bounded.
+    Texts of plain Latin characters are split into the model's words here; new words are
+    encoded together with the model's ranks (a word's end is a byte that such texts don't
+    hold) and remembered.  All other texts, and those with control strings, go
+    through the model itself.  The memory of words is bounded.
     """
 
+    _END = "\x01"
+
     def __init__(self, path: str) -> None:
+        import json
+
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)["model"]["vocab"]
+        # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from 256 on
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+        suffix, end = "</w>", self._END.encode()
+        ranks = {}
+        for token, i in vocabulary.items():
+            ended = token.endswith(suffix)
+            ranks[bytes(alphabet[c] for c in token.removesuffix(suffix)) + end * ended] = i
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.ranks = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.plain = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*").fullmatch
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.model.encode_batch(pieces, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+    def _learn(self, words: list[str]) -> None:
+        ids = np.array(self.ranks.encode_ordinary(self._END.join(words) + self._END), dtype="<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        first = 0
+        raw = ids.tobytes()
+        for word, last in zip(words, cut.tolist(), strict=True):
+            self.known[word] = raw[4 * first : 4 * last]
+            first = last
 
     def ids(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
-        known = self.known
-        new = [x for x in set(pieces) if x not in known]
+        if "<|" in text or not self.plain(text):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        words = self.split(text.lower())
+        new = list(set(words).difference(self.known))
         if new:
-            if len(known) + len(new) > _CACHED_PIECES:
-                known.clear()
-                new = list(set(pieces))
-            short = [x for x in new if len(x) <= _CACHED_LENGTH]
-            known.update(zip(short, self._encode(short), strict=True))
-            if len(short) < len(new):
-                far = [x for x in new if len(x) > _CACHED_LENGTH]
-                known = known | dict(zip(far, self._encode(far), strict=True))
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype="<u4")
+            if len(self.known) + len(new) > _CACHED_WORDS:
+                self.known.clear()
+                new = list(set(words))
+            self._learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -109,14 +134,15 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Per document: doc_id, its ids (little-endian 32-bit) with the end id, their number and its place on the curve."""
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, curve = PieceTokenizer(path), CurveProjector()
+        tokenizer, curve = WordTokenizer(path), CurveProjector()
         end = np.array([end_id], dtype="<u4")
-        for part in parts:
-            held = [np.concatenate((tokenizer.ids(t or ""), end)) for t in part["text"]]
-            keys = hilbert_keys(np.stack([curve.point(x) for x in held]), BITS) if held else []
-            yield pd.DataFrame(
-                {"doc_id": part["doc_id"].to_numpy(), "tie": part["tie"].to_numpy(), "ids": [x.tobytes() for x in held], "tokens": [len(x) for x in held], "curve": keys}
-            )
+        for whole in parts:
+            for part in batches(whole, limit=2 << 20):
+                held = [np.concatenate((tokenizer.ids(t or ""), end)) for t in part["text"]]
+                keys = hilbert_keys(np.stack([curve.point(x) for x in held]), BITS)
+                yield pd.DataFrame(
+                    {"doc_id": part["doc_id"].to_numpy(), "tie": part["tie"].to_numpy(), "ids": [x.tobytes() for x in held], "tokens": [len(x) for x in held], "curve": keys}
+                )
 
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - 63 + DIMENSIONS * BITS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie"))
