@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.shared import written
+
 #: Fixed values: (verdict, host and path prefix).
 RULES = (
     ("allow", "com/"),
@@ -76,8 +78,12 @@ def _merged(kid: DataFrame) -> Column:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """Rows (host, shape, template) from (host, shape, n, known, blocked), level by level."""
-    own = shapes.withColumn("template", F.lit(""))
+    """Rows (host, shape, template) from (host, shape, n, known, blocked), level by level.
+
+    Each level reads the one before it three times, so each is written as a table: the
+    plan stays one level deep, and a lost executor costs one level.
+    """
+    own = written(shapes.withColumn("template", F.lit("")), "shapes")
     for level in range(DEPTH):
         own = own.withColumn("seg", F.get(F.split("shape", "/"), F.lit(level)))
         live = own.where("seg is not null and seg <> ''")
@@ -86,9 +92,11 @@ def templates(shapes: DataFrame) -> DataFrame:
             F.count("*").alias("kids"), F.sum("n").alias("all_n"), F.sum("known").alias("all_known"), F.sum("blocked").alias("all_blocked")
         )
         turned = kids.join(nodes, ["host", "template"]).select("host", "template", "seg", F.when(_merged(kids), "*").otherwise(F.col("seg")).alias("as_seg"))
+        step = F.when(F.col("as_seg").isNull(), "").otherwise(F.concat(F.lit("/"), "as_seg"))
         own = own.join(turned, ["host", "template", "seg"], "left").select(
-            "host", "shape", "n", "known", "blocked", F.concat("template", F.when(F.col("as_seg").isNull(), "").otherwise(F.concat(F.lit("/"), "as_seg"))).alias("template")
+            "host", "shape", "n", "known", "blocked", F.concat("template", step).alias("template")
         )
+        own = written(own, "templates")
     return own
 
 
