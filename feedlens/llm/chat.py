@@ -92,8 +92,9 @@ def window_spans(tokens: np.ndarray, system: bool, budget: int, history: int) ->
     return out
 
 
-#: Turns of one conversation that are held at once; a longer one goes on with the next part's windows.
+#: Turns and characters of one conversation that are held at once; a longer one goes on with the next part's windows.
 _PART = 4096
+_PART_CHARS = 4 << 20
 
 
 def _format(conv_id, turns: list[tuple[str, str]], done: int, window_id: int, carried: list, system, budget: int, history: int) -> tuple[list[tuple], list]:
@@ -137,10 +138,11 @@ def _format(conv_id, turns: list[tuple[str, str]], done: int, window_id: int, ca
 def _formatter(budget: int, history: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, turns, done, window_id, carried, system = None, [], 0, 0, [], None
-        started = False
+        started, size = False, 0
 
         def flush() -> list[tuple]:
-            nonlocal turns, done, window_id, carried, system
+            nonlocal turns, done, window_id, carried, system, size
+            size = 0
             if not turns:
                 return []
             if not done and turns[0][0] == "system":
@@ -157,7 +159,8 @@ def _formatter(budget: int, history: int):
                     out += flush()
                     conv, started, done, window_id, carried, system = key, True, 0, 0, [], None
                 turns.append((role, text))
-                if len(turns) >= _PART:
+                size += len(text)
+                if len(turns) >= _PART or size >= _PART_CHARS:
                     out += flush()
             yield _windows(out)
         yield _windows(flush())
