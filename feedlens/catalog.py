@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import text as texts
 from feedlens.functions import urls
 from feedlens.operators import articles as store
-from feedlens.operators import clustering, health, ontology, quality, search, tagging
+from feedlens.operators import clustering, health, ontology, quality, reports, search, tagging
 from feedlens.sources import listings
 from feedlens.sources.adapters import align, as_of, doc_articles, fetch_log, page_articles, table
 from feedlens.sources.html import html_text, html_title, resolve_link
@@ -457,6 +457,71 @@ def listing_parse(spark, d):
     return listings.parse_listings(raw).select("pos", "title", "link", "summary")
 
 
+# --- sources, reports and messages ------------------------------------------------------
+
+
+@query(
+    """SELECT s_suppkey::VARCHAR AS id, s_name AS name FROM supplier
+WHERE s_suppkey::VARCHAR NOT IN ('3', '5') AND lower(trim(s_name)) <> 'supplier#000000007' ORDER BY s_suppkey LIMIT 40"""
+)
+def sources_selected(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("pos"))
+    return reports.select_sources(rows, ["3", " 5 ", "", "Supplier#000000007"], 40).select("id", "name")
+
+
+_FILES = """WITH files AS (SELECT DISTINCT 'src' || (user_id % 25) || '_' || strftime(ts, '%Y%m%d') || '.html' AS name FROM events
+  UNION ALL SELECT DISTINCT strftime(ts, '%Y-%m-%d') || '/index.html' FROM events UNION ALL VALUES ('index.html'), ('about_us.html'), ('src1_20240101_summary.json'))
+"""
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    log = _log(spark, d)
+    pages = log.select(F.concat("source", F.lit("_"), F.date_format("collected_at", "yyyyMMdd"), F.lit(".html")).alias("name")).distinct()
+    folders = log.select(F.concat(F.date_format("collected_at", "yyyy-MM-dd"), F.lit("/index.html")).alias("name")).distinct()
+    fixed = spark.createDataFrame([("index.html",), ("about_us.html",), ("src1_20240101_summary.json",)], "name string")
+    return pages.unionByName(folders).unionByName(fixed)
+
+
+@query(
+    _FILES
+    + """SELECT name, CASE WHEN name = 'about_us.html' THEN 'About Us' WHEN contains(name, '/') THEN split_part(name, '/', 1)
+  ELSE split_part(name, '_', 1) || ' - ' || day END AS display_name, day AS date
+FROM (SELECT name, CASE WHEN contains(name, '/') THEN split_part(name, '/', 1) WHEN name = 'about_us.html' THEN ''
+  ELSE strftime(strptime(substr(split_part(name, '_', 2), 1, 8), '%Y%m%d'), '%Y-%m-%d') END AS day FROM files WHERE name LIKE '%.html' AND name <> 'index.html')"""
+)
+def report_index(spark, d):
+    return reports.report_index(_files(spark, d))
+
+
+@query(
+    _FILES
+    + """SELECT name FROM files WHERE regexp_matches(name, '_[0-9]{8}.html$') AND strptime(substr(split_part(name, '_', 2), 1, 8), '%Y%m%d') < DATE '2024-01-31' - 14"""
+)
+def reports_expired(spark, d):
+    files = _files(spark, d)
+    return files.where(store.is_expired_report(F.col("name"), F.to_date(as_of()), 14))
+
+
+@query(
+    _TAGS
+    + f"""SELECT category, '*Radar Pipeline Completion Report*' || chr(10) || chr(10) || '*Category:* ' || category || chr(10) || '*Timestamp:* 2024-01-31T00:00:00' || chr(10) || chr(10)
+  || '*Statistics:*' || chr(10) || '  Sources: ' || count(DISTINCT source) || chr(10) || '  Collected: ' || count(*) || chr(10)
+  || '  Matched: ' || count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM e)) || chr(10) || '  Errors: 0' AS message FROM art WHERE category IS NOT NULL GROUP BY category"""
+)
+def notification_messages(spark, d):
+    sums = _tagged(spark, d).where("category is not null").groupBy("category").agg(
+        F.count_distinct("source").alias("sources"), F.count("*").alias("collected"), F.count_if(F.size("matched_entities") > 0).alias("matched")
+    )
+    text = reports.notification_text(F.col("category"), as_of(), F.col("sources"), F.col("collected"), F.col("matched"), F.lit(0))
+    return sums.select("category", text.alias("message"))
+
+
+@query("SELECT * FROM (VALUES ('12', 12.0::DOUBLE), ('900', 60.0), ('Wed, 31 Jan 2024 00:00:30 GMT', 30.0), ('soon', 0.5), (NULL, 0.5)) t(header, delay)")
+def retry_after(spark, d):
+    rows = spark.createDataFrame([("12",), ("900",), ("Wed, 31 Jan 2024 00:00:30 GMT",), ("soon",), (None,)], "header string")
+    return rows.select("header", health.retry_after(F.col("header"), as_of(), 0.5, 60.0).alias("delay"))
+
+
 # --- ontology ---------------------------------------------------------------------------
 
 CONTRACT = {
