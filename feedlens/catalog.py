@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +12,11 @@ from feedlens.functions import text as texts
 from feedlens.functions import urls
 from feedlens.operators import articles as store
 from feedlens.operators import clustering, health, ontology, quality, reports, search, tagging
+from feedlens.plans.storage import shared_dir
 from feedlens.sources import listings
 from feedlens.sources.adapters import align, as_of, doc_articles, fetch_log, page_articles, table
 from feedlens.sources.html import html_text, html_title, resolve_link
+from feedlens.streaming import health as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +88,16 @@ def health_counters_merged(spark, d):
     return health.merge_counters(first, later, 150)
 
 
+@query(_LOG + f", h AS ({_COUNTERS}) SELECT source, success_count, failure_count, disabled FROM h")
+def stream_health(spark, d):
+    # a pattern, as a stream takes a single file by no other path
+    stream = fetch_log(streaming.read_events(spark, f"{d}/event[s].parquet"))
+    state = streaming.health_now(stream, f"{shared_dir(spark)}/stream-health-{uuid.uuid4().hex}", 150)
+    if state is None:
+        state = health.counters(_log(spark, d), 150)
+    return state.select("source", "success_count", "failure_count", "disabled")
+
+
 @query(_LOG + f", h AS ({_COUNTERS}) SELECT l.source, count(*) AS n FROM log l WHERE l.source NOT IN (SELECT source FROM h WHERE disabled) GROUP BY l.source")
 def health_anti_join(spark, d):
     log = _log(spark, d)

@@ -24,6 +24,14 @@ def merge_health(stream: DataFrame, state_path: str, checkpoint: str, threshold:
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def health_now(stream: DataFrame, path: str, threshold: int = 10) -> DataFrame | None:
+    """Runs the stream over all that is there and returns the state (None without events)."""
+    run = merge_health(stream, f"{path}/state", f"{path}/progress", threshold)
+    run.awaitTermination()
+    done = [p.batchId for p in run.recentProgress if p.numInputRows > 0]
+    return stream.sparkSession.read.parquet(f"{path}/state/v{max(done)}") if done else None
+
+
 def hourly_status(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Fetches per source, status and hour, with a watermark for late ones."""
     timed = stream.withColumn("at", F.col("collected_at").cast("timestamp")).withWatermark("at", lateness)

@@ -223,3 +223,43 @@ def test_stream_matches_batch(spark, tmp_path):
     last = max((tmp_path / "state").iterdir(), key=lambda p: int(p.name[1:]))
     pick = lambda df: {r["source"]: (r["success_count"], r["failure_count"], r["disabled"]) for r in df.collect()}
     assert pick(spark.read.parquet(str(last))) == pick(health.counters(fetch_log(rows)))
+
+
+def test_select_sources(spark):
+    from feedlens.operators import reports
+
+    rows = spark.createDataFrame([(0, "a1", "Alpha"), (1, None, " Beta "), (2, "c3", None), (3, "", "Delta"), (4, None, None)], "pos int, id string, name string")
+    pick = lambda **k: [r["pos"] for r in reports.select_sources(rows, **k).orderBy("pos").collect()]
+    assert pick() == [0, 1, 2, 3, 4]
+    assert pick(exclude=["", "  "]) == [0, 1, 2, 3, 4]
+    assert pick(exclude=["ALPHA", "beta", " C3 "]) == [3, 4]
+    assert pick(exclude=["a1"], most=2) == [1, 2]
+    assert pick(most=0) == [0, 1, 2, 3, 4]
+
+
+def test_report_index(spark):
+    from feedlens.operators import reports
+
+    names = ["game_20240102.html", "about_us.html", "index.html", "2024-01-03/index.html", "drafts/index.html", "game_20240102_summary.json", "_20240102.html", None]
+    rows = reports.report_index(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert {tuple(r) for r in rows} == {
+        ("game_20240102.html", "game - 2024-01-02", "2024-01-02"),
+        ("about_us.html", "About Us", ""),
+        ("2024-01-03/index.html", "2024-01-03", "2024-01-03"),
+        ("_20240102.html", " 20240102", ""),
+    }
+    assert reports.report_index(spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_notification_text(spark):
+    from pyspark.sql import functions as F
+
+    from feedlens.operators import reports
+
+    rows = spark.createDataFrame([("game", "https://x.example/r"), ("x" * 5000, None), ("game", "")], "category string, url string")
+    at = F.lit("2024-01-31 08:00:00").cast("timestamp_ntz")
+    numbers = [F.lit(i) for i in (3, 42, 35, 0)]
+    got = [r["t"] for r in rows.select(reports.notification_text(F.col("category"), at, *numbers, F.col("url")).alias("t")).collect()]
+    assert got[0].endswith("  Errors: 0\n\n[Report](https://x.example/r)") and "*Timestamp:* 2024-01-31T08:00:00\n" in got[0]
+    assert len(got[1]) == 4096 and got[1].endswith("...")
+    assert got[2].endswith("  Errors: 0")
