@@ -517,7 +517,7 @@ def reports_expired(spark, d):
 
 @query(
     _TAGS
-    + f"""SELECT category, '*Radar Pipeline Completion Report*' || chr(10) || chr(10) || '*Category:* ' || category || chr(10) || '*Timestamp:* 2024-01-31T00:00:00' || chr(10) || chr(10)
+    + f"""SELECT category, '*Pipeline Completion Report*' || chr(10) || chr(10) || '*Category:* ' || category || chr(10) || '*Timestamp:* 2024-01-31T00:00:00' || chr(10) || chr(10)
   || '*Statistics:*' || chr(10) || '  Sources: ' || count(DISTINCT source) || chr(10) || '  Collected: ' || count(*) || chr(10)
   || '  Matched: ' || count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM e)) || chr(10) || '  Errors: 0' AS message FROM art WHERE category IS NOT NULL GROUP BY category"""
 )

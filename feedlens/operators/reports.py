@@ -46,12 +46,12 @@ def report_index(files: DataFrame) -> DataFrame:
     return files.where(top | (folder != "")).withColumn("date", date).withColumn("display_name", shown).select("name", "display_name", "date")
 
 
-def notification_text(category: Column, at: Column, sources: Column, collected: Column, matched: Column, errors: Column, url: Column | None = None) -> Column:
-    """A run's result as a short marked-up message of at most MESSAGE_LIMIT characters."""
-    # fixed values: the wording of the message
+def notification_text(category: Column, at: Column, sources: Column, collected: Column, matched: Column, errors: Column, url: Column | None = None, heading: str = "Pipeline Completion Report") -> Column:
+    """A run's result under a heading, as a short marked-up message of at most MESSAGE_LIMIT characters."""
+    # fixed values: the wording below the heading
     text = F.format_string(
-        "*Radar Pipeline Completion Report*\n\n*Category:* %s\n*Timestamp:* %s\n\n*Statistics:*\n  Sources: %d\n  Collected: %d\n  Matched: %d\n  Errors: %d",
-        category, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), sources, collected, matched, errors,
+        "*%s*\n\n*Category:* %s\n*Timestamp:* %s\n\n*Statistics:*\n  Sources: %d\n  Collected: %d\n  Matched: %d\n  Errors: %d",
+        F.lit(heading), category, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), sources, collected, matched, errors,
     )
     if url is not None:
         text = F.concat(text, F.when(F.coalesce(url, F.lit("")) != "", F.format_string("\n\n[Report](%s)", url)).otherwise(""))
