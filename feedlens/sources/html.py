@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import html as _html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Named references that news pages use; numeric ones are rare in text.
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: What str.strip() drops; \s of Java is ASCII only.
+_BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
 _BLOCKS = "p|div|section|article|li|ul|ol|h[1-6]|br|tr|td|th"
 #: Href texts that are no links.
 PLACEHOLDERS = ("", "#", "javascript:", "javascript:;", "javascript:void(0)", "javascript:void(0);")
 
 
 def unescape(text: Column) -> Column:
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """All character references decoded as html.unescape does, named and numeric ones."""
+
+    @F.pandas_udf(T.StringType())
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(_html.unescape, na_action="ignore")
+
+    return decode(text)
 
 
 def html_title(html: Column, fallback: Column) -> Column:
@@ -29,7 +37,7 @@ def html_text(html: Column) -> Column:
     text = F.regexp_replace(text, rf"(?i)</?({_BLOCKS})[^>]*>", "\n")
     text = unescape(F.regexp_replace(text, r"<[^>]+>", ""))
     text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, rf"\A{_BLANK}|{_BLANK}\z", "")
 
 
 def html_summary(html: Column, most: int = 4000) -> Column:

@@ -77,7 +77,7 @@ def parse_feeds(raw: DataFrame, limit: int = 50) -> DataFrame:
         "pos",
         F.coalesce(title, F.lit("(no title)")).alias("title"),
         F.trim("item.link").alias("link"),
-        F.coalesce("item.summary", "item.description", F.lit("")).alias("summary"),
+        unescape(F.trim(F.coalesce("item.summary", "item.description", F.lit("")))).alias("summary"),
         when.alias("published"),
     )
 
