@@ -6,7 +6,8 @@ its own size: windows of twice the partition's upper size, one size apart, so th
 stretch as long as an item lies within one window.  A window's signature comes from block
 minima that all partitions share.  An item that shares a signature coordinate with a
 window of its partition is a candidate, confirmed by exact containment of its shingles
-in the whole document.
+in the whole document.  Items of few shingles are looked up by each shingle instead, and
+items of fewer words than a shingle by their run of words.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.textkit import PUNCT_BYTES, CirculantMinHash, WordHasher, batches, shingle_set, shingles
+from feedlens.llm.textkit import PUNCT_BYTES, CirculantMinHash, WordHasher, batches, shingle_set, shingles, short_runs
 
 COORDINATES = 48
 BLOCK = 16
+#: Items of at most so many distinct shingles are looked up exactly.
+FEW = 8
 #: A block of items that is searched in one pass over the documents.
 ITEMS_PER_PASS = 20_000
 CHARS_PER_PASS = 32 << 20
@@ -34,9 +37,20 @@ class ItemIndex:
     def __init__(self, ids: list[int], texts: list[str | None], k: int = 5) -> None:
         hasher, self.minhash = WordHasher(PUNCT_BYTES), CirculantMinHash(COORDINATES)
         self.k = k
-        sets = [shingle_set(w, k) for w in hasher.words(texts)]
+        words = list(hasher.words(texts))
+        sets = [shingle_set(w, k) for w in words]
         self.ids = [i for i, s in zip(ids, sets, strict=True) if len(s)]
+        sizes = np.array([len(w) for w, s in zip(words, sets, strict=True) if len(s)], dtype=np.int64)
         self.sets = [s for s in sets if len(s)]
+        few = np.array([len(s) <= FEW for s in self.sets], dtype=bool)
+        # by the words that a lookup spans, k or fewer, the hashes and their items
+        self.exact = []
+        for span in range(1, k + 1):
+            own = np.flatnonzero(few & (np.minimum(sizes, k) == span))
+            if len(own):
+                flat, owner = np.concatenate([self.sets[i] for i in own]), np.repeat(own, [len(self.sets[i]) for i in own])
+                order = np.argsort(flat, kind="stable")
+                self.exact.append((span, flat[order], owner[order]))
         level = [max(0, math.ceil(math.log2(len(s) / BLOCK))) for s in self.sets]
         self.levels = max(level, default=-1) + 1
         place = (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32))[:, None]
@@ -44,12 +58,12 @@ class ItemIndex:
         keys = np.concatenate(signed, axis=1) if signed else np.zeros((COORDINATES, 0), np.uint64)
         self.by_level = []
         for own in range(self.levels):
-            mine = np.flatnonzero(np.array(level) == own)
+            mine = np.flatnonzero((np.array(level) == own) & ~few)
             flat = keys[:, mine].ravel()
             order = np.argsort(flat, kind="stable")
             self.by_level.append((flat[order], np.tile(mine, COORDINATES)[order]))
         self.any = np.zeros(1 << 20, dtype=bool)
-        self.any[self._slot((keys & np.uint64(0xFFFFFFFF)).astype(np.uint32))] = True
+        self.any[self._slot((keys[:, ~few] & np.uint64(0xFFFFFFFF)).astype(np.uint32))] = True
 
     @staticmethod
     def _slot(values: np.ndarray) -> np.ndarray:
@@ -80,13 +94,35 @@ class ItemIndex:
             least = np.minimum(least[:, 0::2], least[:, 1::2])
         return found
 
+    def found_exactly(self, words: np.ndarray, items: np.ndarray) -> tuple[set[int], set[int]]:
+        """Items of few shingles that share one with the document, and those of fewer than k words that stand in it."""
+        some: set[int] = set()
+        runs: set[int] = set()
+        for span, flat, owner in self.exact:
+            if len(words) < span:
+                continue
+            own = items if span == self.k else short_runs(words, span)
+            at = np.searchsorted(flat, own)
+            hit = own[flat[np.minimum(at, len(flat) - 1)] == own]
+            if len(hit):
+                mine = set(owner[np.isin(flat, hit)].tolist())
+                if span == self.k:
+                    some |= mine
+                else:
+                    runs |= mine
+        return some, runs
+
     def search(self, words: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
         """(item, its shingles, those that the document has), exact, for containment at the threshold."""
         items = shingles(words, self.k)
-        found = self.candidates(items) if len(items) else set()
-        if not found:
+        if not len(items):
             return []
-        whole, out = np.unique(items), []
+        some, runs = self.found_exactly(words, items)
+        found = self.candidates(items) | some
+        out = [(self.ids[i], 1, 1) for i in sorted(runs)]
+        if not found:
+            return out
+        whole = np.unique(items)
         for i in sorted(found):
             own = self.sets[i]
             at = np.minimum(np.searchsorted(whole, own), len(whole) - 1)
@@ -101,7 +137,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: i
 
     Words are runs of letters and digits (any non-ASCII character counts), A-Z lowered.
     Null and word-less documents or items match nothing; fewer than k words are a single
-    shingle, so such an item is found only in documents with exactly those words.  The
+    shingle, and such an item is found wherever its words stand in a row.  The
     items are the query set: passes of bounded size go over all documents.  Repeated
     (doc_id, text) or item rows give repeated pairs.  Extra columns are ignored.
     """

@@ -126,6 +126,15 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     return mix64(total)
 
 
+def short_runs(words: np.ndarray, n: int) -> np.ndarray:
+    """At each position the hash that ``shingles`` gives a text of just these n words, fewer than its k."""
+    count = len(words) - n + 1
+    total = np.full(count, n, dtype=np.uint64)
+    for j in range(n):
+        total += words[j : count + j] * _STEP[j]
+    return mix64(total)
+
+
 def shingle_set(words: np.ndarray, k: int = 5) -> np.ndarray:
     """The distinct shingle hashes, sorted."""
     return np.unique(shingles(words, k))
