@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -13,26 +14,56 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Range buckets at most, so that their bounds and sums stay small; larger inputs have larger buckets, which are sorted on disk.
+MOST_BUCKETS = 20_000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only where that is unset (tests) a new one."""
+    """The shared folder named in spark.checkpoint.dir.
+
+    Where that is unset, a local session (tests) has a new folder; a cluster has no
+    folder that all executors see, so this raises an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="feedlens-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables; it can be removed when the application's results are stored."""
+    return f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes the rows as a compressed table in the shared folder and reads it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_key(rows: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Casts an id column to long and moves its nulls into a column no_id.
+
+    pandas holds a column of longs with a null as floats, which rounds ids above 2**53;
+    without nulls it holds them exactly.
+    """
+    key = F.col(name).cast("long")
+    return rows.withColumns({"no_id": key.isNull(), name: F.coalesce(key, F.lit(0).cast("long"))})
+
+
+def without_key(rows: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Undoes with_key."""
+    return rows.withColumn(name, F.when(~F.col("no_id"), F.col(name))).drop("no_id")
+
+
 def session_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -64,8 +95,8 @@ def range_bucket(column: Column, bounds: list[int]) -> Column:
 
 
 def bucket_count(spark: SparkSession, rows: int, rows_each: int) -> int:
-    """Buckets of about ``rows_each`` rows, and enough of them for the session's partitions."""
-    return max(1, min(max(session_partitions(spark), math.ceil(rows / rows_each)), math.ceil(rows / 32)))
+    """Buckets of about ``rows_each`` rows, enough of them for the session's partitions, and MOST_BUCKETS at most."""
+    return max(1, min(max(session_partitions(spark), math.ceil(rows / rows_each)), math.ceil(rows / 32), MOST_BUCKETS))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -11,8 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 
 CHUNK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = tuple(np.ones(1, dtype=np.uint64) for _ in range(2))
 
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 PUNCT_BYTES = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -28,6 +28,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``size`` powers of an odd number and of its inverse, for hashes of runs of a sequence."""
+    global _POWERS
+    if len(_POWERS[0]) < size:
+        n = 1 << (size - 1).bit_length()
+        _POWERS = tuple(np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _POWERS
+
+
 class WordHasher:
     """Maps texts to arrays of 64-bit word hashes.
 
@@ -41,42 +50,39 @@ class WordHasher:
         lowered_separators = np.zeros(256, dtype=bool)
         lowered_separators[list(separators)] = True
         self._is_word = ~lowered_separators[table]
-        weights = mix64((np.arange(1, 257, dtype=np.uint64)) * _BASE)
+        weights = mix64((np.arange(1, 257, dtype=np.uint64)) * np.uint64(_BASE))
         self._weight = np.where(self._is_word, weights[table], np.uint64(0))
-        self._pow: np.ndarray | None = None
-
-    def _powers(self) -> tuple[np.ndarray, np.ndarray]:
-        if self._pow is None:
-            size = CHUNK + 1
-            up = np.full(size, _BASE, dtype=np.uint64)
-            down = np.full(size, _BASE_INV, dtype=np.uint64)
-            up[0] = down[0] = 1
-            self._pow = np.cumprod(up, dtype=np.uint64)
-            self._inv = np.cumprod(down, dtype=np.uint64)
-        return self._pow, self._inv
-
-    def _hash_buffer(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Word hashes and word starts of a buffer of at most CHUNK bytes."""
-        up, inv = self._powers()
+
+    def _sums(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per word of a buffer of at most CHUNK bytes, its weighted sum, start and end."""
+        up, down = powers(CHUNK + 1)
         raw = np.frombuffer(data, dtype=np.uint8)
         inside = self._is_word[raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
         starts, ends = edge[0::2], edge[1::2]
         prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum(self._weight[raw] * up[: len(raw)], out=prefix[1:])
-        return mix64((prefix[ends] - prefix[starts]) * inv[starts]), starts
-
-    def _slices(self, data: bytes) -> Iterator[bytes]:
-        """Slices of a long text that end between words (a longer word is cut)."""
-        at = 0
-        while at < len(data):
-            end = min(at + CHUNK, len(data))
-            if end < len(data):
-                tail = self._is_word[np.frombuffer(data[at:end], dtype=np.uint8)]
-                gaps = np.flatnonzero(~tail)
-                end = at + int(gaps[-1]) + 1 if len(gaps) else end
-            yield data[at:end]
-            at = end
+        return (prefix[ends] - prefix[starts]) * down[starts], starts, ends
+
+    def _long(self, data: bytes) -> np.ndarray:
+        """Word hashes of a long text, read in slices; a word that goes on in the next slice is carried over."""
+        out, carried, size = [], 0, 0
+        for at in range(0, len(data), CHUNK):
+            piece = data[at : at + CHUNK]
+            sums, starts, ends = self._sums(piece)
+            if size and (not len(starts) or starts[0]):
+                out.append(np.array([carried], dtype=np.uint64))
+                carried, size = 0, 0
+            if len(sums):
+                if size:
+                    sums[0] = (int(sums[0]) * pow(_BASE, size, 1 << 64) + carried) % (1 << 64)
+                size = (size if len(sums) == 1 else 0) + int(ends[-1] - starts[-1]) if ends[-1] == len(piece) else 0
+                if size:
+                    carried, sums = int(sums[-1]), sums[:-1]
+                out.append(sums)
+        if size:
+            out.append(np.array([carried], dtype=np.uint64))
+        return mix64(np.concatenate(out)) if out else np.zeros(0, dtype=np.uint64)
 
     def words(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """One array of word hashes per text, in order; null is like empty."""
@@ -87,8 +93,7 @@ class WordHasher:
             if len(data) >= CHUNK:
                 yield from self._flush(held)
                 held, size = [], 0
-                parts = [self._hash_buffer(piece)[0] for piece in self._slices(data)]
-                yield np.concatenate(parts)
+                yield self._long(data)
                 continue
             if size + len(data) + 1 > CHUNK:
                 yield from self._flush(held)
@@ -101,7 +106,8 @@ class WordHasher:
         if not held:
             return
         bounds = np.cumsum([0, *(len(x) + 1 for x in held)])
-        hashes, starts = self._hash_buffer(b" ".join(held))
+        sums, starts, _ = self._sums(b" ".join(held))
+        hashes = mix64(sums)
         cut = np.searchsorted(starts, bounds)
         for i in range(len(held)):
             yield hashes[cut[i] : cut[i + 1]]
