@@ -9,16 +9,18 @@ sequence is short, and it is split into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import bucket_count, range_bounds, range_bucket, written
-from feedlens.llm.textkit import batches
+from feedlens.llm.shared import bucket_count, range_bounds, range_bucket, with_key, without_key, written
+from feedlens.llm.textkit import batches, mix64, powers
 
 SEQUENCE = 4096
 DIMENSIONS = 4
@@ -26,19 +28,26 @@ BITS = 10
 HASHED = 512
 END_ID = 2
 ROWS_PER_BUCKET = 20_000
-_CACHED_WORDS = 200_000
+_CACHED_WORDS = 150_000
+#: Characters that are split into words at once.
+_SLICE = 1 << 20
 
 
 class WordTokenizer:
     """Ids of whole texts as the ``tokenizers`` model gives them, mostly from remembered words.
 
-    Texts of plain Latin characters are split into the model's words here; new words are
-    encoded together with the model's ranks (a word's end is a byte that such texts don't
-    hold) and remembered.  All other texts, and those with control strings, go
-    through the model itself.  The memory of words is bounded.
+    Texts of plain Latin characters are split into the model's words by their characters'
+    kinds, a batch at a time; new words are encoded together with the model's ranks (a
+    word's end is a byte that such texts don't hold) and remembered.  All other texts, and
+    those with control strings, go through the model itself.  The memory has two
+    generations of bounded size: when the younger one is full, it becomes the older one.
     """
 
     _END = "\x01"
+    #: Kinds of characters: the model's words are runs of letters, single numbers and runs of others.
+    _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+    #: Endings that the model splits off behind an apostrophe.
+    _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
     def __init__(self, path: str) -> None:
         import json
@@ -61,9 +70,13 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.ranks = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*").fullmatch
-        self.known: dict[str, bytes] = {}
+        self.gap = regex.compile(r"[\t\n\r ]").search
+        kinds = [self._SPACE if chr(i).isspace() else {"L": self._LETTER, "N": self._NUMBER}.get(unicodedata.category(chr(i))[0], self._OTHER) for i in range(0x20AD)]
+        self.kinds = np.array(kinds, dtype=np.uint8)
+        self.weights = mix64(np.arange(1, 0x20AE, dtype=np.uint64))
+        self.younger: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, words: list[str]) -> None:
         ids = np.array(self.ranks.encode_ordinary(self._END.join(words) + self._END), dtype="<u4")
@@ -71,20 +84,99 @@ class WordTokenizer:
         first = 0
         raw = ids.tobytes()
         for word, last in zip(words, cut.tolist(), strict=True):
-            self.known[word] = raw[4 * first : 4 * last]
+            self.younger[word] = raw[4 * first : 4 * last]
             first = last
 
+    def _recall(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        if len(self.younger) > _CACHED_WORDS:
+            self.younger, self.older = {}, self.younger
+        lacking = [w for w in words if w not in self.younger]
+        if lacking:
+            self.younger.update((w, self.older[w]) for w in lacking if w in self.older)
+            new = [w for w in lacking if w not in self.older]
+            if new:
+                self._learn(new)
+        return [self.younger[w] for w in words]
+
+    def _bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words among lower-case characters; the last two characters must be spaces."""
+        kind = self.kinds[points]
+        start = (kind != self._SPACE) & (kind == self._NUMBER)
+        start[0] = kind[0] != self._SPACE
+        start[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != self._SPACE)
+        quote = np.flatnonzero(start & (points == 0x27))
+        quote = quote[kind[quote + 1] == self._LETTER]
+        for ending in self._ENDINGS:
+            hit = quote
+            for j, c in enumerate(ending, 1):
+                hit = hit[points[hit + j] == ord(c)]
+            start[hit + 1] = False
+            after = hit + 1 + len(ending)
+            start[after[kind[after] == self._LETTER]] = True
+        edge = np.flatnonzero(start | (kind == self._SPACE))
+        first = start[edge]
+        return edge[first], np.append(edge[1:], len(points))[first]
+
+    def _plain_ids(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces of plain text."""
+        whole = "\n".join(pieces) + "\n\n"
+        points = np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)
+        starts, ends = self._bounds(points)
+        up, down = powers(len(points) + 1)
+        prefix = np.zeros(len(points) + 1, dtype=np.uint64)
+        np.cumsum(self.weights[points] * up[: len(points)], out=prefix[1:])
+        # of one hash and length, words of a batch are the same
+        hashes = mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        found = self._recall([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        store = np.frombuffer(b"".join(found), dtype="<u4")
+        offsets = np.cumsum(sizes) - sizes
+        own = sizes[which]
+        after = np.cumsum(own)
+        ids = store[np.arange(after[-1] if len(after) else 0) + np.repeat(offsets[which] - (after - own), own)]
+        cut = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in pieces])[:-1])
+        return np.split(ids, np.concatenate(([0], after))[cut])
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, str]] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                for (i, _), ids in zip(held, self._plain_ids([x for _, x in held]), strict=True):
+                    out[i].append(ids)
+            held, size = [], 0
+
+        for i, text in enumerate(texts):
+            if "<|" in text or not self.plain(text):
+                out[i].append(np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4"))
+                continue
+            low, at = text.lower(), 0
+            while at < len(low):
+                # a long text is cut at spaces, which no word holds
+                gap = self.gap(low, at + _SLICE)
+                end = gap.start() if gap else len(low)
+                held.append((i, low[at:end]))
+                size += end - at
+                at = end
+                if size > _SLICE:
+                    flush()
+        flush()
+        return [np.concatenate(x) if x else np.zeros(0, dtype="<u4") for x in out]
+
     def ids(self, text: str) -> np.ndarray:
-        if "<|" in text or not self.plain(text):
-            return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        words = self.split(text.lower())
-        new = list(set(words).difference(self.known))
-        if new:
-            if len(self.known) + len(new) > _CACHED_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            self._learn(new)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), dtype="<u4")
+        return self.batch([text])[0]
+
+
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer a worker process, kept over its tasks."""
+    return WordTokenizer(path)
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -116,37 +208,38 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 class CurveProjector:
-    """Hashed, signed token counts of a document, projected to a few dimensions and placed on the curve."""
+    """Hashed, signed token counts of documents, projected to a few dimensions and placed on the curve."""
 
     def __init__(self) -> None:
         self.matrix = np.random.default_rng(7).standard_normal((HASHED, DIMENSIONS))
+        self.matrix[HASHED // 2 :] *= -1
 
-    def point(self, ids: np.ndarray) -> np.ndarray:
-        mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
-        counts = np.bincount(mixed >> np.uint32(23), minlength=HASHED).astype(np.float64)
-        counts[HASHED // 2 :] *= -1
-        size = np.sqrt((counts * counts).sum())
-        at = 1 / (1 + np.exp(-1.7 * ((counts / size) @ self.matrix)))
-        return np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+    def keys(self, held: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([self._keys(held[i : i + 1024]) for i in range(0, len(held), 1024)])
+
+    def _keys(self, held: list[np.ndarray]) -> np.ndarray:
+        place = np.concatenate(held).astype(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(23)
+        owner = np.repeat(np.arange(len(held)) * HASHED, [len(x) for x in held])
+        counts = np.bincount(owner + place, minlength=len(held) * HASHED).reshape(len(held), HASHED).astype(np.float64)
+        counts /= np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        at = 1 / (1 + np.exp(-1.7 * (counts @ self.matrix)))
+        return hilbert_keys(np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """Per document: doc_id, its ids (little-endian 32-bit) with the end id, their number and its place on the curve."""
 
     def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, curve = WordTokenizer(path), CurveProjector()
+        words, curve = tokenizer(path), CurveProjector()
         end = np.array([end_id], dtype="<u4")
         for whole in parts:
             for part in batches(whole, limit=2 << 20):
-                held = [np.concatenate((tokenizer.ids(t or ""), end)) for t in part["text"]]
-                keys = hilbert_keys(np.stack([curve.point(x) for x in held]), BITS)
-                yield pd.DataFrame(
-                    {"doc_id": part["doc_id"].to_numpy(), "tie": part["tie"].to_numpy(), "ids": [x.tobytes() for x in held], "tokens": [len(x) for x in held], "curve": keys}
-                )
+                held = [np.concatenate((x, end)) for x in words.batch([t or "" for t in part["text"]])]
+                yield part[["doc_id", "no_id", "tie"]].assign(ids=[x.tobytes() for x in held], tokens=[len(x) for x in held], curve=curve.keys(held))
 
     tie = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - 63 + DIMENSIONS * BITS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie.alias("tie"))
-    found = rows.mapInPandas(encode, "doc_id long, tie long, ids binary, tokens long, curve long")
+    rows = with_key(docs.select("doc_id", "text", tie.alias("tie")))
+    found = without_key(rows.mapInPandas(encode, "doc_id long, no_id boolean, tie long, ids binary, tokens long, curve long"))
     along = F.shiftleft("curve", 63 - DIMENSIONS * BITS).bitwiseOR(F.col("tie"))
     return found.select("doc_id", "ids", "tokens", along.alias("along"))
 
@@ -161,13 +254,17 @@ def _tail(total: int, size: int) -> list[int]:
     return ends
 
 
+_PIECES = "doc_id long, no_id boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
 def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Packs every document's ids into sequences of at most ``size`` (a power of two) ids.
 
     Returns one row per piece: doc_id, start (ids of its document before it), length,
     ids_crc32, doc_tokens, sequence_id and offset.  A null or empty text is the end id
     alone.  Ties on the curve are ordered by a hash of the row; repeated rows are
-    documents of their own.  Extra columns are ignored.
+    documents of their own; an empty table gives no rows.  Long texts are tokenized in
+    slices.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     rows = written(tokenized(docs, path, end_id), "tokens")
@@ -188,7 +285,7 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
         ends = np.array(tail, dtype=np.int64)
         for part in parts:
             out = []
-            for doc_id, own, ids in zip(part["doc_id"], part["bucket"], part["ids"], strict=True):
+            for doc_id, no_id, own, ids in part[["doc_id", "no_id", "bucket", "ids"]].itertuples(index=False, name=None):
                 if own != bucket:
                     bucket, at = own, ahead[own]
                 ids = np.frombuffer(ids, dtype="<u4")
@@ -202,13 +299,11 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
                         sequence, first, end = full + i, int(ends[i - 1]) if i else full * size, int(ends[i])
                     length = min(len(ids) - start, end - at)
                     crc = zlib.crc32(ids[start : start + length].tobytes())
-                    out.append((doc_id, start, length, crc, len(ids), sequence, at - first))
+                    out.append((doc_id, no_id, start, length, crc, len(ids), sequence, at - first))
                     start += length
                     at += length
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _PIECES.split(", ")])
 
-    placed = rows.withColumn("bucket", range_bucket(F.col("along"), bounds))
-    ordered = placed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "along", "doc_id", "ids")
-    return ordered.select("doc_id", "bucket", "ids").mapInPandas(
-        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    )
+    placed = with_key(rows.withColumn("bucket", range_bucket(F.col("along"), bounds)))
+    ordered = placed.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "along", "no_id", "doc_id", "ids")
+    return without_key(ordered.select("doc_id", "no_id", "bucket", "ids").mapInPandas(cut, _PIECES))
