@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import bucket_count, range_bounds, range_bucket, with_key, without_key, written
+from feedlens.llm.shared import MOST_BUCKETS, bucket_count, range_bounds, range_bucket, with_key, without_key, written
 from feedlens.llm.textkit import batches, mix64, powers
 
 SEQUENCE = 4096
@@ -28,6 +28,9 @@ BITS = 10
 HASHED = 512
 END_ID = 2
 ROWS_PER_BUCKET = 20_000
+#: Finer ranges, so that tasks can have about equal numbers of tokens.
+BUCKETS_PER_TASK = 8
+WEIGHED = 256
 _CACHED_WORDS = 150_000
 #: Characters that are split into words at once.
 _SLICE = 1 << 20
@@ -268,16 +271,17 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
     """
     spark = docs.sparkSession
     rows = written(tokenized(docs, path, end_id), "tokens")
-    buckets = bucket_count(spark, rows.count(), ROWS_PER_BUCKET)
-    bounds = range_bounds(rows, "along", buckets)
-    sums = {
-        r["bucket"]: r["tokens"]
-        for r in rows.select("along", "tokens").groupBy(range_bucket(F.col("along"), bounds).alias("bucket")).agg(F.sum("tokens").alias("tokens")).collect()
-    }
-    ahead, total = {}, 0
-    for b in sorted(sums):
-        ahead[b] = total
-        total += sums[b]
+    parts = bucket_count(spark, rows.count(), ROWS_PER_BUCKET)
+    # a document counts once for every WEIGHED of its tokens, as alike documents are often alike in length, too
+    weighed = rows.select("along", F.explode(F.sequence(F.lit(0), (F.col("tokens") / WEIGHED).cast("int"))))
+    bounds = range_bounds(weighed, "along", min(BUCKETS_PER_TASK * parts, MOST_BUCKETS))
+    found = rows.select("along", "tokens").groupBy(range_bucket(F.col("along"), bounds).alias("bucket")).agg(F.sum("tokens").alias("tokens"))
+    sums = np.zeros(len(bounds) + 1, dtype=np.int64)
+    for r in found.collect():
+        sums[r["bucket"]] = r["tokens"]
+    ahead, total = np.cumsum(sums) - sums, int(sums.sum())
+    # neighbouring buckets of about equal tokens together are one task's
+    task = np.minimum(ahead * parts // max(total, 1), parts - 1)
     full, tail = total // size, _tail(total, size)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -287,7 +291,7 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
             out = []
             for doc_id, no_id, own, ids in part[["doc_id", "no_id", "bucket", "ids"]].itertuples(index=False, name=None):
                 if own != bucket:
-                    bucket, at = own, ahead[own]
+                    bucket, at = own, int(ahead[own])
                 ids = np.frombuffer(ids, dtype="<u4")
                 start = 0
                 while start < len(ids):
@@ -304,6 +308,6 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
                     at += length
             yield pd.DataFrame(out, columns=[x.split()[0] for x in _PIECES.split(", ")])
 
-    placed = with_key(rows.withColumn("bucket", range_bucket(F.col("along"), bounds)))
-    ordered = placed.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "along", "no_id", "doc_id", "ids")
+    placed = with_key(rows.withColumns({"bucket": range_bucket(F.col("along"), bounds), "task": range_bucket(F.col("along"), bounds, task)}))
+    ordered = placed.repartitionById(parts, F.col("task")).sortWithinPartitions("bucket", "along", "no_id", "doc_id", "ids")
     return without_key(ordered.select("doc_id", "no_id", "bucket", "ids").mapInPandas(cut, _PIECES))

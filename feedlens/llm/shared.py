@@ -80,8 +80,8 @@ def range_bounds(df: DataFrame, column: str, buckets: int) -> list[int]:
     return sorted(set(found or []))
 
 
-def range_bucket(column: Column, bounds: list[int]) -> Column:
-    """The number of bounds at or below the value; null is in bucket 0."""
+def range_bucket(column: Column, bounds: list[int], names: np.ndarray | None = None) -> Column:
+    """The number of bounds at or below the value (null is in bucket 0), or what ``names`` calls that bucket."""
     cuts = np.asarray(bounds, dtype=np.int64)
 
     @F.pandas_udf(T.IntegerType())
@@ -89,7 +89,7 @@ def range_bucket(column: Column, bounds: list[int]) -> Column:
         known = values.notna().to_numpy()
         out = np.zeros(len(values), dtype=np.int32)
         out[known] = np.searchsorted(cuts, values[known].to_numpy(dtype=np.int64), side="right")
-        return pd.Series(out)
+        return pd.Series(out if names is None else names[out].astype(np.int32))
 
     return place(column)
 
