@@ -3,30 +3,36 @@
 Prefix sums of the turns' tokens choose spans of whole turns.  Every window starts with
 the conversation's system turn and a limited amount of history, both masked; only targets
 that appear for the first time carry loss.  The template marks turns with control
-strings, and control strings inside texts are escaped reversibly.
+strings, and control strings inside texts are escaped reversibly.  Tokens are counted
+where the turns stand, before a conversation's turns come together; the task that lays out
+its windows then holds one window and its history at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens (runs of letters or digits, and other visible characters, one each) of one window.
+from feedlens.llm.packing import tokenizer
+from feedlens.llm.shared import with_key, without_key
+from feedlens.llm.textkit import batches
+
+#: Tokens of one window: those of its turns' roles and texts, and two a turn for its marks.
 BUDGET = 512
 #: Of these, as many at most for repeated turns.
 HISTORY = 128
 START, END = "<|im_start|>", "<|im_end|>"
-_TOKEN = re.compile(r"\w+|[^\w\s]")
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<(\\*)\\\|")
 WINDOWS = (
-    "conv_id long, window_id long, first_turn long, n_turns long, n_repeated long, n_tokens long, "
+    "conv_id long, no_id boolean, window_id long, first_turn long, n_turns long, n_repeated long, n_tokens long, "
     "formatted string, loss_spans array<array<long>>"
 )
 
@@ -48,150 +54,143 @@ def _unescape_role(role: str) -> str:
     return unescape(role.replace("%0A", "\n").replace("%25", "%"))
 
 
-class _Window:
-    """A window that is being filled: repeated turns first, then new ones."""
-
-    def __init__(self, repeated: list[tuple[str, str, int]]) -> None:
-        self.parts: list[str] = []
-        self.length = 0
-        self.tokens = 0
-        self.turns = 0
-        self.loss: list[list[int]] = []
-        for role, text, tokens in repeated:
-            self.add(role, text, tokens, False)
-        self.repeated = self.turns
-
-    def add(self, role: str, text: str, tokens: int, target: bool) -> None:
-        head, body = f"{START}{_escape_role(role)}\n", escape(text)
-        if target:
-            self.loss.append([self.length + len(head), self.length + len(head) + len(body)])
-        whole = f"{head}{body}{END}\n"
-        self.parts.append(whole)
-        self.length += len(whole)
-        self.tokens += tokens
-        self.turns += 1
+class Turn(NamedTuple):
+    role: str
+    text: str
+    tokens: int
 
 
-def window_spans(tokens: np.ndarray, system: bool, budget: int, history: int) -> list[tuple[int, int, int]]:
-    """Spans (first new turn, end, first repeated turn) of one conversation's turns.
+class Layout:
+    """Lays out one conversation's turns in order.
 
-    ``prefix`` are the sums of tokens before each turn.  A window takes the most turns
-    that its budget holds beside the repeated ones, and one turn at least.
+    ``before`` is the prefix sum of tokens in front of a turn.  A window opens with the
+    system turn, as many of the last turns as HISTORY and the budget beside its first new
+    turn allow, and goes on as long as the next turn fits.  It is over the budget only if
+    the system turn and its one new turn are.
     """
-    prefix = np.concatenate(([0], np.cumsum(tokens)))
-    n, at, out = len(tokens), 0, []
-    while at < n:
-        held = int(tokens[0]) if system and at else 0
-        floor = 1 if system else 0
-        back = max(floor, int(np.searchsorted(prefix, prefix[at] - history, side="left"))) if at else 0
-        back = min(back, at)
-        room = budget - held - int(prefix[at] - prefix[back])
-        end = max(at + 1, int(np.searchsorted(prefix, prefix[at] + max(room, 0), side="right")) - 1)
-        out.append((at, min(end, n), back))
-        at = min(end, n)
-    return out
-
 
-#: Turns and characters of one conversation that are held at once; a longer one goes on with the next part's windows.
-_PART = 4096
-_PART_CHARS = 4 << 20
+    def __init__(self, budget: int, history: int) -> None:
+        self.budget, self.history = budget, history
+        self.system: Turn | None = None
+        self.done = self.window_id = self.before = 0
+        self.past: deque[tuple[int, Turn]] = deque()
+        self.fresh: list[Turn] = []
+        self.repeated: list[Turn] = []
+        self.size = 0
+
+    def add(self, turn: Turn) -> tuple | None:
+        """Takes the next turn; returns the window that it closes, if any."""
+        closed = None
+        if self.fresh and self.size + turn.tokens > self.budget:
+            closed = self.close()
+        if not self.fresh:
+            self._open(turn)
+        if not self.done and not self.fresh and turn.role == "system":
+            self.system = turn
+        else:
+            self.past.append((self.before, turn))
+            while self.past and self.before + turn.tokens - self.past[0][0] > self.history:
+                self.past.popleft()
+        self.fresh.append(turn)
+        self.size += turn.tokens
+        self.before += turn.tokens
+        return closed
+
+    def _open(self, turn: Turn) -> None:
+        kept = [self.system] if self.system else []
+        room = self.budget - turn.tokens - sum(x.tokens for x in kept)
+        self.repeated = kept + [x for at, x in self.past if self.before - at <= min(room, self.history)]
+        self.size = sum(x.tokens for x in self.repeated)
+
+    def close(self) -> tuple | None:
+        """The window (window_id, first_turn, n_turns, n_repeated, n_tokens, formatted, loss_spans) that is open."""
+        if not self.fresh:
+            return None
+        parts, loss, length = [], [], 0
+        for i, (role, text, _) in enumerate(self.repeated + self.fresh):
+            head, body = f"{START}{_escape_role(role)}\n", escape(text)
+            if role == "assistant" and i >= len(self.repeated):
+                loss.append([length + len(head), length + len(head) + len(body)])
+            parts.append(f"{head}{body}{END}\n")
+            length += len(parts[-1])
+        n = len(self.repeated)
+        out = (self.window_id, self.done, n + len(self.fresh), n, self.size, "".join(parts), loss)
+        self.done, self.window_id, self.fresh = self.done + len(self.fresh), self.window_id + 1, []
+        return out
+
+
+def _counter(path: str):
+    """Adds to turns the tokens of their role and text."""
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = tokenizer(path)
+        roles: dict[str, int] = {}
+        for whole in parts:
+            for part in batches(whole, limit=2 << 20):
+                if len(roles) > 1000:
+                    roles.clear()
+                new = [x for x in dict.fromkeys(part["role"]) if x not in roles]
+                roles.update(zip(new, map(len, words.batch(new)), strict=True))
+                own = [len(x) + 2 for x in words.batch(part["text"].tolist())]
+                yield part.assign(tokens=[n + roles[role] for n, role in zip(own, part["role"], strict=True)])
 
-def _format(conv_id, turns: list[tuple[str, str]], done: int, window_id: int, carried: list, system, budget: int, history: int) -> tuple[list[tuple], list]:
-    """Windows of the next turns of a conversation; carried are the turns before them that may be repeated."""
-    sized = [(role, text, len(_TOKEN.findall(text)) + 2) for role, text in turns]
-    known = ([system] if system and done else []) + carried
-    rows = known + sized
-    tokens = np.array([x[2] for x in rows], dtype=np.int64)
-    out = []
-    skip = len(known)
-    spans = window_spans(tokens, system is not None, budget, history) if not skip else None
-    at = skip
-    prefix = np.concatenate(([0], np.cumsum(tokens)))
-    if spans is None:
-        spans = []
-        while at < len(rows):
-            floor = 1 if system else 0
-            back = min(at, max(floor, int(np.searchsorted(prefix, prefix[at] - history, side="left"))))
-            room = budget - (system[2] if system else 0) - int(prefix[at] - prefix[back])
-            end = min(len(rows), max(at + 1, int(np.searchsorted(prefix, prefix[at] + max(room, 0), side="right")) - 1))
-            spans.append((at, end, back))
-            at = end
-    for first, end, back in spans:
-        repeated = ([rows[0]] if system and first else []) + rows[back:first]
-        if system and first and back == 0:
-            repeated = rows[0:first]
-        window = _Window(repeated)
-        for role, text, n in rows[first:end]:
-            window.add(role, text, n, role == "assistant")
-        out.append((conv_id, window_id, done + first - skip, window.turns, window.repeated, window.tokens, "".join(window.parts), window.loss))
-        window_id += 1
-    keep, size = [], 0
-    for row in reversed(rows[1 if system else 0 :]):
-        size += row[2]
-        if size > history:
-            break
-        keep.append(row)
-    return out, keep[::-1]
+    return run
 
 
 def _formatter(budget: int, history: int):
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, turns, done, window_id, carried, system = None, [], 0, 0, [], None
-        started, size = False, 0
-
-        def flush() -> list[tuple]:
-            nonlocal turns, done, window_id, carried, system, size
-            size = 0
-            if not turns:
-                return []
-            if not done and turns[0][0] == "system":
-                system = (*turns[0], len(_TOKEN.findall(turns[0][1])) + 2)
-            rows, carried = _format(conv, turns, done, window_id, carried, system, budget, history)
-            done, window_id, turns = done + len(turns), window_id + len(rows), []
-            return rows
-
+        own, layout, out, size = None, Layout(budget, history), [], 0
         for part in parts:
-            out: list[tuple] = []
-            for key, role, text in part[["conv_id", "role", "text"]].itertuples(index=False, name=None):
-                key = None if pd.isna(key) else int(key)
-                if not started or key != conv:
-                    out += flush()
-                    conv, started, done, window_id, carried, system = key, True, 0, 0, [], None
-                turns.append((role, text))
-                size += len(text)
-                if len(turns) >= _PART or size >= _PART_CHARS:
-                    out += flush()
-            yield _windows(out)
-        yield _windows(flush())
+            for conv_id, no_id, role, text, tokens in part[["conv_id", "no_id", "role", "text", "tokens"]].itertuples(index=False, name=None):
+                if own != (conv_id, no_id):
+                    if closed := layout.close():
+                        out.append((*own, *closed))
+                    own, layout = (conv_id, no_id), Layout(budget, history)
+                if closed := layout.add(Turn(role, text, tokens)):
+                    out.append((*own, *closed))
+                    size += len(closed[5])
+                if size > _HELD_CHARS:
+                    yield _windows(out)
+                    out, size = [], 0
+        if closed := layout.close():
+            out.append((*own, *closed))
+        yield _windows(out)
 
     return run
 
 
+#: Characters of finished windows that are handed on together.
+_HELD_CHARS = 4 << 20
+
+
 def _windows(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[x.split()[0] for x in WINDOWS.split(", ")])
-    frame["conv_id"] = frame["conv_id"].astype("Int64")
-    return frame
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in WINDOWS.split(", ")])
 
 
-def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Training windows of conversations (conv_id, turn, role, text).
+def format_chats(turns: DataFrame, path: str, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Training windows of conversations (conv_id, turn, role, text), in tokens of the tokenizer at ``path``.
 
     Returns conv_id, window_id, first_turn (index of its first new turn), n_turns,
     n_repeated (masked turns at its head), n_tokens, formatted and loss_spans (code point
-    spans of formatted that carry loss).  A turn longer than the budget has a window of
-    its own.  Null texts and roles are empty; rows with a null conv_id are one
-    conversation; equal turns are ordered by role and text.  Windows come ordered by
-    conversation within each partition.  Extra columns are ignored.
+    spans of formatted that carry loss).  Only a turn that doesn't fit a window beside the
+    system turn exceeds the budget, with these two alone.  Null texts and roles are empty;
+    rows with a null conv_id are one conversation; equal turns are ordered by role and
+    text, and repeated rows are turns of their own; an empty table gives no windows.
+    Windows come ordered by conversation within each partition.  Extra columns are ignored.
     """
-    rows = turns.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
-    )
-    ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInPandas(_formatter(budget, history), WINDOWS)
+    rows = with_key(
+        turns.select(
+            F.col("conv_id"),
+            F.col("turn").cast("long").alias("turn"),
+            F.coalesce("role", F.lit("")).alias("role"),
+            F.coalesce("text", F.lit("")).alias("text"),
+        ),
+        "conv_id",
+    ).withColumn("no_turn", F.col("turn").isNull())
+    rows = rows.withColumn("turn", F.coalesce("turn", F.lit(0).cast("long")))
+    counted = rows.mapInPandas(_counter(path), "conv_id long, turn long, role string, text string, no_id boolean, no_turn boolean, tokens long")
+    ordered = counted.repartition("no_id", "conv_id").sortWithinPartitions("no_id", "conv_id", F.desc("no_turn"), "turn", "role", "text")
+    return without_key(ordered.select("conv_id", "no_id", "role", "text", "tokens").mapInPandas(_formatter(budget, history), WINDOWS), "conv_id")
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -203,45 +202,56 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
+READ_BACK = "conv_id long, no_id boolean, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 
 
-def _read_back(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in READ_BACK.split(", ")]
-    state, conv = None, None
+class _Told:
+    """What the windows of one conversation have said so far."""
+
+    def __init__(self) -> None:
+        self.turns = self.loss_chars = self.chars = self.windows = 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def close() -> tuple:
-        return (conv, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])
+    def add(self, first: int, repeated: int, text: str, spans) -> None:
+        if first != self.turns:
+            raise ValueError("the windows of a conversation don't stand in order")
+        for role, own in parse(text)[repeated:]:
+            self.turns += 1
+            self.said.update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
+        for start, end in spans:
+            own = unescape(text[start:end])
+            self.loss_chars += len(own)
+            self.loss.update(own.encode("utf-8", "surrogatepass"))
+        self.chars += len(text)
+        self.windows += 1
 
+    def row(self) -> tuple:
+        return self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.windows
+
+
+def _read_back(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in READ_BACK.split(", ")]
+    told, own = _Told(), None
     for part in parts:
         out = []
-        for key, repeated, text, spans in part[["conv_id", "n_repeated", "formatted", "loss_spans"]].itertuples(index=False, name=None):
-            key = None if pd.isna(key) else int(key)
-            if state is None or key != conv:
-                if state is not None:
-                    out.append(close())
-                conv, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-            for role, own in parse(text)[repeated:]:
-                state[0] += 1
-                state[1].update(f"{role}\n{own}\n".encode("utf-8", "surrogatepass"))
-            for start, end in spans:
-                own = unescape(text[start:end])
-                state[2] += len(own)
-                state[3].update(own.encode("utf-8", "surrogatepass"))
-            state[4] += len(text)
-            state[5] += 1
-        frame = pd.DataFrame(out, columns=names)
-        frame["conv_id"] = frame["conv_id"].astype("Int64")
-        yield frame
-    if state is not None:
-        frame = pd.DataFrame([close()], columns=names)
-        frame["conv_id"] = frame["conv_id"].astype("Int64")
-        yield frame
-
-
-def read_back(windows: DataFrame) -> DataFrame:
+        for conv_id, no_id, first, repeated, text, spans in part[["conv_id", "no_id", "first_turn", "n_repeated", "formatted", "loss_spans"]].itertuples(index=False, name=None):
+            if own != (conv_id, no_id):
+                if own is not None:
+                    out.append((*own, *told.row()))
+                told, own = _Told(), (conv_id, no_id)
+            told.add(first, repeated, text, spans)
+        yield pd.DataFrame(out, columns=names)
+    if own is not None:
+        yield pd.DataFrame([(*own, *told.row())], columns=names)
+
+
+def read_back(windows: DataFrame, ordered: bool = False) -> DataFrame:
     """Per conversation, what its windows say: turns, their digest, text under the loss mask and total size.
 
-    The windows must stand in order within their partitions, as format_chats gives them.
+    Windows that stand in order within their partitions, as format_chats has just given
+    them, may be read as they are; windows from a table are brought together and sorted first.
     """
-    return windows.mapInPandas(_read_back, READ_BACK)
+    rows = with_key(windows, "conv_id")
+    if not ordered:
+        rows = rows.repartition("no_id", "conv_id").sortWithinPartitions("no_id", "conv_id", "window_id")
+    return without_key(rows.mapInPandas(_read_back, READ_BACK), "conv_id")

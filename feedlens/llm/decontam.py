@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.shared import with_key, without_key
 from feedlens.llm.textkit import PUNCT_BYTES, CirculantMinHash, WordHasher, batches, shingle_set, shingles, short_runs
 
 COORDINATES = 48
@@ -139,19 +140,24 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, k: i
     Null and word-less documents or items match nothing; fewer than k words are a single
     shingle, and such an item is found wherever its words stand in a row.  The
     items are the query set: passes of bounded size go over all documents.  Repeated
-    (doc_id, text) or item rows give repeated pairs.  Extra columns are ignored.
+    (doc_id, text) or item rows give repeated pairs; null ids stay null.  Empty tables give
+    no rows.  Extra columns are ignored.
     """
     own = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
     passes = max(1, math.ceil(size["n"] / ITEMS_PER_PASS), math.ceil(size["chars"] / CHARS_PER_PASS))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = with_key(docs.select("doc_id", "text"))
     out = None
     for i in range(passes):
         rows = own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == i).orderBy("item_id", "text").collect()
         index = ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows], k)
-        found = texts.mapInPandas(_searcher(index, threshold), "doc_id long, item_id long, n_item long, n_shared long")
+        found = texts.mapInPandas(_searcher(index, threshold), _FOUND)
         out = found if out is None else out.unionAll(found)
-    return out.withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
+    out = out.withColumn("item_id", F.when(~F.col("no_item"), F.col("item_id"))).drop("no_item")
+    return without_key(out).withColumn("containment", F.round(F.col("n_shared") / F.col("n_item"), 6))
+
+
+_FOUND = "doc_id long, no_id boolean, item_id long, no_item boolean, n_item long, n_shared long"
 
 
 def _searcher(index: ItemIndex, threshold: float):
@@ -160,9 +166,9 @@ def _searcher(index: ItemIndex, threshold: float):
         for whole in parts:
             for part in batches(whole):
                 rows = []
-                for doc_id, words in zip(part["doc_id"], hasher.words(part["text"].tolist()), strict=True):
-                    rows += [(doc_id, *x) for x in index.search(words, threshold)]
+                for doc_id, no_id, words in zip(part["doc_id"], part["no_id"], hasher.words(part["text"].tolist()), strict=True):
+                    rows += [(doc_id, no_id, i or 0, i is None, *x) for i, *x in index.search(words, threshold)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item", "n_shared"])
+                    yield pd.DataFrame(rows, columns=[x.split()[0] for x in _FOUND.split(", ")])
 
     return search

@@ -1,10 +1,10 @@
 """Improbable-feature digests of documents.
 
-Every 64-byte window of a text gets its entropy; windows of unusual entropy are rare.
-In each run of neighbouring windows the rarest one scores; windows that score often are
-the text's features.  Features are hashed into a chain of Bloom filters, each holding a
-bounded number, and two digests are compared by the overlap of their filters' bits beyond
-what chance would give.
+Every 16-byte window of a text gets its entropy; windows of unusual entropy are rare.  In
+each run of neighbouring windows the rarest one has a vote; a window with many votes in a
+row gives a feature of the text.  A text is read as a circle, so that one rule holds for all lengths.
+Features are hashed into a chain of Bloom filters, each holding a bounded number, and two
+digests are compared by the overlap of their filters' bits beyond what chance would give.
 """
 
 from __future__ import annotations
@@ -17,26 +17,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import bucket_count, range_bounds, range_bucket
-from feedlens.llm.textkit import batches, mix64
+from feedlens.llm.shared import bucket_count, range_bounds, range_bucket, with_key, without_key
+from feedlens.llm.textkit import batches, mix64, powers
 
-WINDOW = 64
-NEIGHBOURS = 64
-#: Times that a window must be the rarest of its neighbourhood.
-POPULAR = 16
+WINDOW = 16
+NEIGHBOURS = 16
+#: Neighbourhoods in a row in which a window must be the rarest; where none is so often, those with most votes count.
+POPULAR = 4
 FILTER_BITS = 2048
 FEATURES_PER_FILTER = 128
 PROBES = 5
 ROWS_PER_BUCKET = 8_000
 _SLICE = 1 << 18
-#: Texts below so many bytes have all their small windows as features.
-SHORT_TEXT = 384
-SMALL_WINDOW = 16
 
 #: Fixed-point k * log2(k), so that entropies do not depend on where a window stands.
 _K_LOG_K = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * 4096).astype(np.int32)
-#: Entropy (fixed point) of usual text, about 4.1 bits a byte in a window of 64.
-_USUAL = int(WINDOW * (np.log2(WINDOW) - 4.1) * 4096)
+#: Entropy (fixed point) of usual text, about 3.15 bits a byte in a window of 16.
+_USUAL = int(WINDOW * (np.log2(WINDOW) - 3.15) * 4096)
+_BYTE_WEIGHTS = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def _entropy_sums(raw: np.ndarray) -> np.ndarray:
@@ -56,78 +54,67 @@ def _entropy_sums(raw: np.ndarray) -> np.ndarray:
     return np.concatenate(([first], first + np.cumsum(change)))
 
 
-def _popular(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Starts of the windows that are the rarest of many neighbourhoods of their own text.
+def _ranked(raw: np.ndarray) -> np.ndarray:
+    """Per window its rank (20 bits, rare ones first) and a hash of its content (44 bits), which breaks ties."""
+    up, down = powers(len(raw) + 1)
+    prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE_WEIGHTS[raw] * up[: len(raw)], out=prefix[1:])
+    content = mix64((prefix[WINDOW:] - prefix[:-WINDOW]) * down[: len(raw) - WINDOW + 1])
+    unusual = np.abs(_entropy_sums(raw) - _USUAL).astype(np.uint64)
+    return (np.uint64((1 << 20) - 1) - unusual) << np.uint64(44) | content >> np.uint64(20)
 
-    Texts stand end to end in ``raw``; neighbourhoods that reach over an end don't count.
-    Of equally rare windows the first is taken.
-    """
-    sums = _entropy_sums(raw)
-    usual = np.abs(sums - _USUAL)
-    low = (np.int64(1 << 40) - usual) << np.int64(21) | np.arange(len(sums), dtype=np.int64)
-    span = 1
+
+def _rarest(raw: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rarest content of each neighbourhood that begins in [begins[i], begins[i] + sizes[i]): runs of equal ones (i, content, votes)."""
+    low, span = _ranked(raw), 1
     while span < NEIGHBOURS:
         step = min(span, NEIGHBOURS - span)
         low = np.minimum(low[:-step], low[step:])
         span += step
-    inside = np.zeros(len(raw) + 1, dtype=np.int32)
-    lasts = np.maximum(ends - WINDOW - NEIGHBOURS + 2, starts)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, lasts, -1)
-    whole = low[np.cumsum(inside)[: len(low)] > 0]
-    votes = np.bincount(whole & np.int64((1 << 21) - 1), minlength=len(raw))
-    return np.flatnonzero(votes >= POPULAR)
-
-
-def _hash_windows(raw: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, size)[starts]).view("<u8")
-    out = np.full(len(starts), size, dtype=np.uint64)
-    for i in range(words.shape[1]):
-        out = mix64(out ^ words[:, i]) + np.uint64(i)
-    return out
-
-
-def _short(data: bytes) -> np.ndarray:
-    """All small windows of a short text; a still shorter one is a single feature."""
-    if len(data) < SMALL_WINDOW:
-        return np.frombuffer(hashlib.blake2b(data, digest_size=8).digest() if data else b"", dtype="<u8")
-    raw = np.frombuffer(data, dtype=np.uint8)
-    return _hash_windows(raw, np.arange(len(raw) - SMALL_WINDOW + 1), SMALL_WINDOW)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    low = low[np.arange(len(owner)) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)]
+    new = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]))))
+    return owner[new], low[new], np.diff(np.append(new, len(low)))
 
 
 def features(texts: list[str]) -> list[np.ndarray]:
-    """Feature hashes of each text, in order and without repeats."""
-    out: list[list[np.ndarray]] = [[] for _ in texts]
+    """Feature hashes of each text, in order and without repeats; only an empty text has none."""
+    runs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in texts]
     held: list[tuple[int, bytes]] = []
     size = 0
+    beyond = WINDOW + NEIGHBOURS - 2
 
     def flush() -> None:
         nonlocal held, size
         if held:
-            raw = np.frombuffer(b"".join(x for _, x in held), dtype=np.uint8)
-            ends = np.cumsum([len(x) for _, x in held])
-            starts = np.concatenate(([0], ends[:-1]))
-            chosen = _popular(raw, starts, ends)
-            cut = np.searchsorted(chosen, np.concatenate((starts, ends[-1:])))
-            found = _hash_windows(raw, chosen, WINDOW)
+            sizes = np.array([len(x) for _, x in held])
+            owner, content, votes = _rarest(np.frombuffer(b"".join(x for _, x in held), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes - beyond)
+            cut = np.searchsorted(owner, np.arange(len(held) + 1))
             for i, (own, _) in enumerate(held):
-                out[own].append(found[cut[i] : cut[i + 1]])
+                runs[own].append((content[cut[i] : cut[i + 1]], votes[cut[i] : cut[i + 1]]))
         held, size = [], 0
 
     for i, text in enumerate(texts):
         data = text.encode("utf-8", "surrogatepass")
-        if len(data) < SHORT_TEXT:
-            out[i].append(_short(data))
-            continue
-        for at in range(0, max(1, len(data) - WINDOW - NEIGHBOURS + 1), _SLICE - WINDOW - NEIGHBOURS):
-            piece = data[at : at + _SLICE]
-            if size + len(piece) > _SLICE:
-                flush()
-            held.append((i, piece))
-            size += len(piece)
+        if data:
+            circle = data + (data * (beyond // len(data) + 1))[:beyond]
+            for at in range(0, len(data), _SLICE):
+                held.append((i, circle[at : at + _SLICE + beyond]))
+                size += len(held[-1][1])
+                if size > _SLICE:
+                    flush()
     flush()
-    joined = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
-    return [x[np.sort(np.unique(x, return_index=True)[1])] for x in joined]
+    return [_popular(x) for x in runs]
+
+
+def _popular(runs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    if not runs:
+        return np.zeros(0, dtype=np.uint64)
+    content, votes = (np.concatenate(x) for x in zip(*runs, strict=True))
+    new = np.flatnonzero(np.concatenate(([True], content[1:] != content[:-1])))
+    content, votes = content[new], np.add.reduceat(votes, new)
+    chosen = content[votes >= min(POPULAR, votes.max())]
+    return mix64(chosen[np.sort(np.unique(chosen, return_index=True)[1])])
 
 
 def digests(texts: list[str]) -> list[np.ndarray]:
@@ -179,7 +166,7 @@ def edited(text: str, following: str) -> str:
 
 
 _OUT = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "doc_id long, no_id boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
     "near_edited double, near_next double"
 )
 
@@ -189,27 +176,29 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The next document is the one with the following doc_id, and the first after the last;
     a lone document is its own.  A null text is empty and has the empty digest.  Null
-    doc_ids come first; rows with equal doc_ids are ordered by their texts.  Extra columns
-    are ignored.
+    doc_ids come first; rows with equal doc_ids are ordered by their texts; an empty table
+    gives no rows.  Texts of all lengths follow one rule, long ones in slices.  Extra
+    columns are ignored.
 
     Documents are range-partitioned by doc_id; the first document of each range is also
     sent to the range before, so each task sees its successor without a global order.
     """
     spark = docs.sparkSession
     lowest = -(1 << 63)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(lowest)))
+    rows = with_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    rows = rows.withColumn("at", F.when(F.col("no_id"), F.lit(lowest)).otherwise(F.col("doc_id")))
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("at"))
     buckets = bucket_count(spark, ids.count(), ROWS_PER_BUCKET)
     bounds = range_bounds(ids, "at", buckets)
     firsts = ids.groupBy(range_bucket(F.col("at"), bounds).alias("bucket")).agg(F.min("at").alias("at")).orderBy("bucket").collect()
     before = {r["at"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
+    # at most MOST_BUCKETS rows
     heads = spark.createDataFrame([(k, v) for k, v in before.items()] or [(None, None)], "at long, ahead int")
     own = F.struct(range_bucket(F.col("at"), bounds).alias("bucket"), F.lit(0).alias("copy"))
     sent = F.when(F.col("ahead").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("ahead").alias("bucket"), F.lit(1).alias("copy"))))
-    dealt = rows.join(F.broadcast(heads), "at", "left").select("doc_id", "at", "text", F.inline(sent))
-    ordered = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "copy", "at", "text")
-    return ordered.select("bucket", "copy", "doc_id", "text").mapInPandas(_compare, _OUT)
+    dealt = rows.join(F.broadcast(heads), "at", "left").select("doc_id", "no_id", "at", "text", F.inline(sent))
+    ordered = dealt.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "copy", "at", "text")
+    return without_key(ordered.select("bucket", "copy", "doc_id", "no_id", "text").mapInPandas(_compare, _OUT))
 
 
 def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,7 +206,7 @@ def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     last: list[tuple] = []
     for whole in parts:
         for part in batches(whole):
-            rows = list(part[["bucket", "copy", "doc_id", "text"]].itertuples(index=False, name=None))
+            rows = list(part[["bucket", "copy", "doc_id", "text", "no_id"]].itertuples(index=False, name=None))
             own = digests([x[3] for x in rows])
             rows = last + [(*x, y) for x, y in zip(rows, own, strict=True)]
             pairs = [(a, b) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and not a[1]]
@@ -225,13 +214,14 @@ def _compare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             other = digests(changed)
             yield pd.DataFrame(
                 {
-                    "doc_id": pd.array([None if pd.isna(a[2]) else int(a[2]) for a, _ in pairs], dtype="Int64"),
+                    "doc_id": np.array([a[2] for a, _ in pairs], dtype=np.int64),
+                    "no_id": np.array([a[4] for a, _ in pairs], dtype=bool),
                     "n_chars": [len(a[3]) for a, _ in pairs],
                     "edited_sha256": [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed],
-                    "fingerprint": [to_text(a[4]) for a, _ in pairs],
+                    "fingerprint": [to_text(a[5]) for a, _ in pairs],
                     "edited_fingerprint": [to_text(x) for x in other],
-                    "near_edited": [likeness(a[4], x) for (a, _), x in zip(pairs, other, strict=True)],
-                    "near_next": [likeness(a[4], b[4]) for a, b in pairs],
+                    "near_edited": [likeness(a[5], x) for (a, _), x in zip(pairs, other, strict=True)],
+                    "near_next": [likeness(a[5], b[5]) for a, b in pairs],
                 }
             )
             last = rows[-1:]

@@ -46,27 +46,33 @@ def _letters() -> np.ndarray:
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the trigrams around each letter (word ends count as a space), and each one's text."""
+    """Hashes of the trigrams around each letter (word ends count as a space), and each one's text.
+
+    A text's first and last character only lend their context.
+    """
     table = _letters()
     points = np.frombuffer("\x00".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     sizes = np.array([len(t) + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts)), sizes)[: len(points)]
     low = table[points].astype(np.uint64)
     padded = np.concatenate(([0], low, [0])).astype(np.uint64)
-    here = np.flatnonzero(low)
+    inner = np.ones(len(low), dtype=bool)
+    ends = np.cumsum(sizes) - 2
+    inner[ends] = inner[ends + 2 - sizes] = False
+    here = np.flatnonzero((low > 0) & inner)
     gram = padded[here] << np.uint64(42) | low[here] << np.uint64(21) | padded[here + 2]
     return mix64(gram), owner[here]
 
 
 def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """Texts in groups of about one slice; long ones are cut (a cut costs two trigrams)."""
+    """Texts in groups of about one slice, with a character of context (at the ends a space) on either side; long ones are cut."""
     held: list[str] = []
     owner: list[int] = []
     size = 0
     for i, text in enumerate(texts):
         text = text or ""
         for at in range(0, max(1, len(text)), _SLICE):
-            piece = text[at : at + _SLICE]
+            piece = (text[at - 1] if at else " ") + text[at : at + _SLICE] + (text[at + _SLICE] if at + _SLICE < len(text) else " ")
             if size + len(piece) > _SLICE and held:
                 yield np.array(owner), held
                 held, owner, size = [], [], 0
@@ -148,13 +154,14 @@ def train(labelled: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE,
         for whole in parts:
             for part in batches(whole, limit=4 << 20):
                 for lang, own in part.groupby("lang"):
-                    pairs = []
-                    texts = own["text"].tolist()
-                    for owner, pieces in _pieces(texts):
+                    found = []
+                    for owner, pieces in _pieces(own["text"].tolist()):
                         grams, piece = _grams(pieces)
-                        pairs.append(np.unique(np.stack([owner[piece].astype(np.uint64), grams]), axis=1))
-                    both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                    gram, df = np.unique(both[1], return_counts=True)
+                        # one sortable number a pair of text and trigram; two pairs of one number would cost one count
+                        mixed, first = np.unique(mix64(grams + owner[piece].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
+                        found.append((mixed, grams[first]))
+                    _, first = np.unique(np.concatenate([x for x, _ in found]), return_index=True)
+                    gram, df = np.unique(np.concatenate([x for _, x in found])[first], return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "df": df.astype(np.int64)})
 
     found = sample.mapInPandas(count, "lang string, gram long, df long").groupBy("lang", "gram").agg(F.sum("df").alias("df"))
@@ -169,16 +176,19 @@ def train(labelled: DataFrame, rows_per_language: int = TRAIN_ROWS_PER_LANGUAGE,
 def identify(docs: DataFrame, model: LanguageFilter) -> DataFrame:
     """Adds lang_pred and score (0 to 1) to documents, from the whole text alone.
 
-    Null texts and texts without letters are ``und`` with score 0.  Other columns stay,
-    but a column named lang_pred or score is replaced.
+    Null and empty texts, and those without letters, are ``und`` with score 0; long texts
+    are read whole, in slices; of languages with equal scores the first by name is taken;
+    every row of repeated rows, and none of an empty table, is returned.  Other columns
+    stay, but a column named lang_pred or score (in any case) is replaced.
     """
     docs = docs.drop("lang_pred", "score")
-    out = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    held = next(x for x in (f"_found{i or ''}" for i in range(len(docs.columns) + 1)) if x not in {c.lower() for c in docs.columns})
+    out = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @F.pandas_udf(T.StructType(out.fields[-2:]))
+    @F.pandas_udf(out)
     def predict(texts: pd.Series) -> pd.DataFrame:
         names, scores = model.predict(texts.where(texts.notna(), None).tolist())
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
-    held = docs.withColumn("_found", predict("text"))
-    return held.select(*[held[f"`{c}`"] for c in docs.columns], "_found.lang_pred", "_found.score")
+    rows = docs.withColumn(held, predict("text"))
+    return rows.select(*[rows[f"`{c}`"] for c in docs.columns], f"{held}.lang_pred", f"{held}.score")

@@ -9,15 +9,11 @@ shingle sets.  Groups are never expanded into all their pairs:
   confirmed links are closed into components;
 * where a bucket still holds several components, small buckets compare the members of
   different components, and the members of large ones go through an exact prefix
-  filter (rarest shingles first), which no linked pair can fail, and through a wide
-  one-bit sketch, which a linked pair fails with a chance of some millionths.
+  filter (rarest shingles first), which no linked pair can fail.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlens.llm.shared import components, written
+from feedlens.llm.shared import components, with_key, without_key, written
 from feedlens.llm.textkit import SPACE_BYTES, CirculantMinHash, WordHasher, batches, mix64, shingle_set
 
 BANDS = 24
 ROWS = 4
 SMALL_BUCKET = 16
-#: One-bit coordinates of the sketch of a member of a large bucket, and the allowance in standard deviations.
-SKETCH_WORDS = 16
-SKETCH_SIGMAS = 4.5
 
 _SIGNED = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("no_id", T.BooleanType()),
         T.StructField("class_hi", T.LongType()),
         T.StructField("class_lo", T.LongType()),
         T.StructField("n_shingles", T.LongType()),
@@ -73,6 +67,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = 5
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].to_numpy(),
+                        "no_id": part["no_id"].to_numpy(),
                         "class_hi": np.array(his, dtype=np.uint64).view(np.int64),
                         "class_lo": np.array(los, dtype=np.uint64).view(np.int64),
                         "n_shingles": np.array(sizes, dtype=np.int64),
@@ -80,11 +75,11 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = 5
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, _SIGNED)
+    return without_key(with_key(docs.select("doc_id", "text")).mapInPandas(sign, _SIGNED))
 
 
 def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Per document, its whole shingle set as sorted hashes."""
+    """Per document (no doc_id may be null), its whole shingle set as sorted hashes."""
 
     def collect(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = WordHasher(SPACE_BYTES)
@@ -116,48 +111,27 @@ def _apart(members: DataFrame, key: str) -> DataFrame:
     return members.join(mixed.where("lo < hi").select(key, "held"), key)
 
 
-def _across(members: DataFrame, key: str, percent: int, sketched: bool = False) -> DataFrame:
-    """Distinct pairs of members of one key in different components whose sizes (and sketches) allow a link."""
-    extra = ["sketch", "place"] if sketched else []
-    left = members.select(key, *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "comp", *extra)])
-    right = members.select(key, *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "comp", *extra)])
+def _across(members: DataFrame, key: str, percent: int, placed: bool = False) -> DataFrame:
+    """Distinct pairs of members of one key in different components whose sizes (and the key's places in their prefixes) allow a link."""
+    names = ["rep", "n", "comp", *(["place"] if placed else [])]
+    left = members.select(key, *[F.col(c).alias(f"{c}_a") for c in names])
+    right = members.select(key, *[F.col(c).alias(f"{c}_b") for c in names])
     fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b"))
     fits &= 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    if sketched:
-        differ = [F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH_WORDS)]
-        fits &= functools.reduce(operator.add, differ) <= sketch_allowance(percent)
+    if placed:
         # sets that share ``least`` items share one among the first n - least + 1 of each
         least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
         fits &= (F.col("place_a") <= F.col("n_a") - least + 1) & (F.col("place_b") <= F.col("n_b") - least + 1)
     return left.join(right, (left[key] == right[key]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
-def sketch_allowance(percent: int) -> int:
-    """Bits in which the sketches of two linked sets may differ."""
-    bits, same = 64 * SKETCH_WORDS, (1 + percent / 100) / 2
-    return math.ceil(bits * (1 - same) + SKETCH_SIGMAS * math.sqrt(bits * same * (1 - same)))
-
-
-def _sketched(sets: DataFrame) -> DataFrame:
-    """Adds to sets (rep, items) the lowest bit of each of many more circulant coordinates."""
-
-    def sketch(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        minhash = CirculantMinHash(64 * SKETCH_WORDS)
-        for part in parts:
-            bits = [minhash.signature(np.asarray(x, dtype=np.int64).view(np.uint64)) & np.uint32(1) for x in part["items"]]
-            words = [np.packbits(x.astype(np.uint8)).view(np.int64) for x in bits]
-            yield pd.DataFrame({"rep": part["rep"].to_numpy(), "sketch": words})
-
-    return sets.select("rep", "items").mapInPandas(sketch, "rep long, sketch array<long>")
-
-
 def _prefixes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (item, rep, n, comp, sketch, place): of each member the rarest shingles, one more than a linked text may lack."""
-    rows = members.join(sets, "rep").select("rep", "n", "comp", "sketch", F.explode("items").alias("item"))
+    """Rows (item, rep, n, comp, place): of each member the rarest shingles, one more than a linked text may lack."""
+    rows = members.join(sets, "rep").select("rep", "n", "comp", F.explode("items").alias("item"))
     counts = rows.groupBy("item").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "item"))
     lacking = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    return rows.join(counts, "item").withColumn("place", place).where(F.col("place") <= lacking).select("item", "rep", "n", "comp", "sketch", "place")
+    return rows.join(counts, "item").withColumn("place", place).where(F.col("place") <= lacking).select("item", "rep", "n", "comp", "place")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows: int = ROWS, k: int = 5) -> DataFrame:
@@ -167,7 +141,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     kept (doc_id = component_id).  Null or word-less texts have no shingles and link to
     nothing; fewer than k words are one shingle.  A null doc_id has a null component and
     is kept, as nothing can be said to repeat it.  Rows that share a doc_id count as one
-    node; all of them are returned.  Extra columns are ignored.
+    node; all of them are returned.  Long texts and long words are read whole; an empty
+    table gives no rows.  Extra columns are ignored.
     """
     signed = written(signatures(docs, bands, rows, k), "signed")
     real = signed.where("n_shingles > 0 and doc_id is not null")
@@ -196,9 +171,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = BANDS, rows
     mixed = written(_apart(placed, "bucket"), "mixed")
     few = _across(mixed.where(F.col("held") <= SMALL_BUCKET), "bucket", percent)
     many = mixed.where(F.col("held") > SMALL_BUCKET).select("rep", "n", "comp").distinct()
-    sketches = _sketched(sets.join(many, "rep", "left_semi"))
-    listed = _apart(_prefixes(many.join(sketches, "rep"), sets, percent), "item")
-    later = written(few.union(_across(listed, "item", percent, sketched=True)).distinct(), "later")
+    listed = _apart(_prefixes(many, sets, percent), "item")
+    later = written(few.union(_across(listed, "item", percent, placed=True)).distinct(), "later")
     more = written(confirmed(later, sets, percent), "more")
     same = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     closed = components(found.toDF("a", "b").union(more).union(same)).toDF("node", "component")

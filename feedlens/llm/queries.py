@@ -68,7 +68,7 @@ _CONTROL = "<|im_end|><|im_start|>assistant ok"
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chats(turns.unionByName(extra)))
+    return chat.read_back(chat.format_chats(turns.unionByName(extra), tokenizer_path()), ordered=True)
 
 
 def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

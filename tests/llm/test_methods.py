@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -167,11 +168,12 @@ def test_chat_round_trip_and_windows(spark):
     turns += [(2, 0, "assistant", "<\\|a <\\\\|b <| |> \n<|im_start|>"), (2, 1, "odd\nrole%0A<|", None), (3, None, None, None), (4, 5, "user", prose(1, 9000))]
     turns += [(5, i, "assistant", f"t{i}") for i in range(5000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS n_turns")
-    windows = chat.format_chats(df)
+    windows = chat.format_chats(df, queries.tokenizer_path())
     whole = defaultdict(list)
     for c, t, role, text in sorted(turns, key=lambda x: (x[0], -1 if x[1] is None else x[1])):
         whole[c].append((role or "", text or ""))
-    found = {r["conv_id"]: r for r in chat.read_back(windows).collect()}
+    found = {r["conv_id"]: r for r in chat.read_back(windows, ordered=True).collect()}
+    assert {r["conv_id"]: r for r in chat.read_back(windows.repartition(5)).collect()} == found
     assert set(found) == set(whole)
     for c, own in whole.items():
         told = "".join(f"{role}\n{text}\n" for role, text in own).encode()
@@ -181,10 +183,37 @@ def test_chat_round_trip_and_windows(spark):
     for w in windows.where("conv_id = 1").collect():
         parsed = chat.parse(w["formatted"])
         assert len(parsed) == w["n_turns"] and parsed[0] == whole[1][0]
-        assert w["n_tokens"] <= chat.BUDGET or w["n_turns"] - w["n_repeated"] == 1
+        assert w["n_tokens"] <= chat.BUDGET or (w["n_turns"] - w["n_repeated"] == 1 and w["n_repeated"] <= 1)
         assert parsed[w["n_repeated"] :] == whole[1][w["first_turn"] : w["first_turn"] + w["n_turns"] - w["n_repeated"]]
 
 
+def test_chat_windows_against_plain_python():
+    pick = random.Random(3)
+    for case in range(300):
+        turns = [chat.Turn(pick.choice(("user", "assistant")), f"t{i}", pick.choice((2, 30, 128, 200, 450, 600))) for i in range(pick.randrange(1, 30))]
+        if case % 2:
+            turns[0] = chat.Turn("system", "s", pick.choice((5, 100, 500)))
+        layout, found = chat.Layout(512, 128), []
+        for t in turns:
+            found.append(layout.add(t))
+        found = [x for x in (*found, layout.close()) if x]
+        prefix, at, want = [0, *np.cumsum([t.tokens for t in turns]).tolist()], 0, []
+        floor = turns[0].role == "system"
+        while at < len(turns):
+            held = turns[0].tokens if floor and at else 0
+            back = at
+            while back > floor and prefix[at] - prefix[back - 1] <= min(128, 512 - held - turns[at].tokens):
+                back -= 1
+            end = at + 1
+            while end < len(turns) and held + prefix[end + 1] - prefix[back] <= 512:
+                end += 1
+            size = held + prefix[end] - prefix[back]
+            assert size <= 512 or (end == at + 1 and back == at)
+            want.append((len(want), at, (1 if floor and at else 0) + end - back, (1 if floor and at else 0) + at - back, size))
+            at = end
+        assert [x[:5] for x in found] == want
+
+
 def test_compact_windows_cover_every_passage():
     pick = np.random.default_rng(5)
     for sizes in ([30], [3, 40, 12], [9, 10, 11, 64]):
