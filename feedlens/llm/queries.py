@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, secretscan, urltree
+from feedlens.llm.shared import written
 
 
 def tokenizer_path() -> str:
@@ -51,7 +52,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    found = secretscan.findings(docs, secretscan.scan(docs))
+    # the ledger is a table: a later run reads it to scan only what is new, and the join with it is dealt by its measured size
+    ledger = written(secretscan.scan(docs), "ledger")
+    found = secretscan.findings(docs, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(secretscan.BASE_RULES))
     return found.select(

@@ -122,7 +122,8 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     """New ledger rows (blob_id, rule_version, spans) for the blobs of a history (any columns, text) not yet scanned.
 
     A span is (start, rank, end, kind).  Null texts are empty blobs; an empty history adds
-    no rows; repeated texts are one blob.
+    no rows; repeated texts are one blob; spans of one start are ordered by rule.  Long texts
+    are read whole.
     """
     found = text_spans(F.col("text"), rules)
     return unseen(history, ledger, rules).select("blob_id", F.lit(rule_version(rules)).alias("rule_version"), found.alias("spans"))
