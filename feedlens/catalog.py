@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from html.entities import name2codepoint
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from feedlens.functions import decode
 from feedlens.functions import text as texts
 from feedlens.functions import urls
 from feedlens.operators import articles as store
@@ -39,7 +41,7 @@ _LOG = """WITH log AS (SELECT event_id AS seq, 'src' || (user_id % 25) AS source
   CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'timeout' ELSE 'ok' END AS fetch_status FROM events)
 """
 _ARTICLES = """WITH art AS (SELECT doc_id, 'https://' || source || '.example.com/' || lang || '/' || doc_id AS link, source, lang AS category,
-  substring(split_part(text, chr(10), 1), 1, 80) AS title, text AS summary, (DATE '2024-01-01' + (doc_id % 30)::INTEGER)::TIMESTAMP AS event_ts FROM documents)
+  split_part(text, chr(10), 1) AS title, text AS summary, (DATE '2024-01-01' + (doc_id % 30)::INTEGER)::TIMESTAMP AS event_ts FROM documents)
 """
 _RELIABILITY = """
   SELECT source, total - errors AS article_count, errors, round((total - errors)::DOUBLE / total, 4) AS success_rate, round(stale, 2) AS staleness_days,
@@ -235,12 +237,16 @@ def page_title(spark, d):
 
 _TEXT = r"regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'gis'), '</?(p|div|section|article|li|ul|ol|h[1-6]|br|tr|td|th)[^>]*>', chr(10), 'gi')"
 _TEXT = f"regexp_replace({_TEXT}, '<[^>]+>', '', 'g')"
-for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-    _TEXT = f"replace({_TEXT}, '{_a}', '{_b}')"
-_TEXT = rf"regexp_replace(regexp_replace(regexp_replace({_TEXT}, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+# the references of HTML 4 by name, decoded with their ampersand last; tests hold other ones against html.unescape
+_NAMED = [("&#39;", 39), ("&apos;", 39), *[(f"&{k};", v) for k, v in sorted(name2codepoint.items()) if k != "amp"], ("&amp;", 38)]
+_DECODED = "html"
+for _a, _b in _NAMED:
+    _DECODED = f"replace({_DECODED}, '{_a}', chr({_b}))"
+_PAGE = f"(SELECT page_id, {_DECODED} AS html FROM (SELECT page_id, {_TEXT} AS html FROM pages))"
+_TEXT = r"regexp_replace(regexp_replace(regexp_replace(html, '\r\n?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g')"
 
 
-@query(f"SELECT page_id, length({_TEXT})::INTEGER AS n_chars, md5({_TEXT}) AS text_md5 FROM pages")
+@query(f"SELECT page_id, length({_TEXT})::INTEGER AS n_chars, md5({_TEXT}) AS text_md5 FROM {_PAGE}")
 def page_text_length(spark, d):
     text = html_text(F.col("html"))
     return table(spark, d, "pages").select("page_id", F.length(text).alias("n_chars"), F.md5(text).alias("text_md5"))
@@ -419,30 +425,42 @@ SELECT doc_id, round(-sum(greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df
 FROM h JOIN f USING (q), s WHERE tf > 0 GROUP BY doc_id HAVING count(*) = KK ORDER BY rank, doc_id LIMIT 20"""
 
 
-def _search(spark: SparkSession, d: str, match: str) -> DataFrame:
+def _search(spark: SparkSession, d: str, match: search.Search) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
     return search.search(docs, "doc_id", match).withColumn("rank", F.round("rank", 6)).orderBy("rank", "doc_id")
 
 
 @query(_BM25.replace("QQ", "('license')").replace("KK", "1"))
 def bm25_single(spark, d):
-    return _search(spark, d, "license")
+    return _search(spark, d, search.Term("license"))
 
 
 @query(_BM25.replace("QQ", "('license'), ('version')").replace("KK", "2"))
 def bm25_and(spark, d):
-    return _search(spark, d, "license version")
+    return _search(spark, d, search.All((search.Term("license"), search.Term("version"))))
 
 
-@query()
+_PHRASE = r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+t AS (SELECT doc_id, len(w)::DOUBLE AS dl, len(list_filter(range(1, len(w)), lambda i: w[i] = 'general' AND w[i + 1] = 'public')) AS p,
+  len(list_filter(w, lambda x: x = 'apache')) AS a, len(list_filter(w, lambda x: x = 'mit')) AS m FROM w),
+s AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (WHERE p > 0) AS dp, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE m > 0) AS dm FROM t)
+SELECT doc_id, round(-(PART_p + PART_a + PART_m), 6) AS rank FROM t, s WHERE p > 0 OR (a > 0 AND m = 0) ORDER BY rank, doc_id LIMIT 20"""
+for _x in "pam":
+    _idf = f"greatest(1e-6::DOUBLE, ln((n - d{_x} + 0.5::DOUBLE) / (d{_x} + 0.5::DOUBLE)))"
+    _PHRASE = _PHRASE.replace(f"PART_{_x}", f"{_idf} * {_x} * 2.2::DOUBLE / ({_x} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))")
+
+
+@query(_PHRASE)
 def search_phrase_not(spark, d):
-    return _search(spark, d, '"general public" OR apache NOT mit')
+    """The phrase, or apache without mit: NOT holds only its own side."""
+    wanted = search.Any((search.Term("general public"), search.But(search.Term("apache"), search.Term("mit"))))
+    return _search(spark, d, wanted)
 
 
 @query()
 def search_snippet(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
-    return search.search(docs, "doc_id", "license").join(docs, "doc_id").select("doc_id", search.snippet(F.col("body"), ["license"]).alias("snippet"))
+    return search.search(docs, "doc_id", search.Term("license")).join(docs, "doc_id").select("doc_id", search.snippet(F.col("body"), ["license"]).alias("snippet"))
 
 
 _NL = ("최근 3일 AI 5개", "지난 2주", "최근 3개월 보안", "last 2 weeks top 10 security", "plain text")
@@ -589,3 +607,66 @@ def ontology_backfill_counts(spark, d):
     stale = F.map_concat("ontology", F.create_map(F.lit("stale"), F.lit("1")))
     old = new.select("doc_id", F.when(F.col("doc_id") % 4 == 0, stale).otherwise(F.col("ontology")).alias("ontology"))
     return ontology.backfill(old, new, "doc_id")[1]
+
+
+# --- stored values -------------------------------------------------------------------
+
+_BAD_ARTICLES = (
+    ("\t", "http://a.org/1", "s", "src", "cat"),
+    ("", "nonsense", " \n", "src", None),
+    (None, None, None, "", "cat"),
+    ("ok", "http://a.org/2", "fine", "src", "cat"),
+)
+
+
+@query(
+    """SELECT * FROM (VALUES ('title is empty', 1), ('title is missing or not a string', 2), ('link has invalid URL format: nonsense', 1),
+  ('link is missing or not a string', 1), ('summary is empty', 1), ('summary is missing or not a string', 1), ('category is missing or not a string', 1),
+  ('source is missing or not a string', 1)) t(error, n)"""
+)
+def article_validation_cases(spark, d):
+    rows = spark.createDataFrame(_BAD_ARTICLES, "title string, link string, summary string, source string, category string")
+    return rows.select(F.explode(quality.validation_errors()).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN NULL WHEN doc_id % 5 = 2 THEN NULL ELSE source || ':' || lang || ',2,None,True' END AS entities,
+  CASE WHEN doc_id % 5 = 1 THEN NULL ELSE lang END AS event FROM documents"""
+)
+def stored_json(spark, d):
+    """Entities and ontology of stored rows; some hold bad JSON or members of other kinds."""
+    docs = table(spark, d, "documents")
+    broken = F.when(F.col("doc_id") % 5 == 1, F.lit("{not json")).when(F.col("doc_id") % 5 == 2, F.lit('{"a": "text", "b": {"c": 1}}'))
+    entities = F.coalesce(broken, F.concat(F.lit('{"'), "source", F.lit('": ["'), "lang", F.lit('", 2, null, true], "no list": 3}')))
+    onto = F.when(F.col("doc_id") % 5 == 1, F.lit("[1]")).otherwise(F.concat(F.lit('{" ": 1, "event_model_id": "'), "lang", F.lit('"}')))
+    found = docs.select("doc_id", decode.decode_entities(entities).alias("e"), decode.decode_ontology(onto).alias("o"))
+    said = F.transform(F.map_entries("e"), lambda x: F.concat(x["key"], F.lit(":"), F.array_join(x["value"], ",")))
+    return found.select("doc_id", F.nullif(F.array_join(said, ";"), F.lit("")).alias("entities"), F.try_element_at("o", F.lit("event_model_id")).alias("event"))
+
+
+@query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS iso, (epoch(date_trunc('second', ts)) - 32400)::BIGINT AS mail FROM events")
+def stored_dates(spark, d):
+    """Dates of stored rows and of feeds: the same moment in ISO form and, nine hours east, as feeds write it."""
+    rows = table(spark, d, "events")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    mail = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0900"))
+    none = F.lit("yesterday")
+    return rows.select(
+        "event_id", F.unix_seconds(decode.iso_datetime(iso)).alias("iso"), F.unix_seconds(decode.feed_datetime(none, mail, F.lit(None))).alias("mail")
+    )
+
+
+@query(_ONTO + "SELECT 'docs' AS repo, count(*) AS n, min(doc_id) AS first_doc FROM o WHERE event_id = 'em.release' HAVING count(*) > 0")
+def ontology_violations(spark, d):
+    """What the gate in front of the store reports."""
+    articles = _annotated(spark, d)
+    values = ontology.payload(CONTRACT["event_model_field_specs"]["release"], articles.columns)
+    found = ontology.violations(articles, values, CONTRACT, "docs")
+    number = F.regexp_extract("link", r"(\d+)$", 1).cast("long")
+    return found.groupBy("repo").agg(F.count("*").alias("n"), F.min(number).alias("first_doc"))
+
+
+@query()
+def windowed_clusters(spark, d):
+    """Cluster ids written back to the English articles of the last week."""
+    return clustering.with_clusters(_articles(spark, d), as_of(), category="en").select("link", "cluster_id")

@@ -27,15 +27,15 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-def title_tokens(title: Column, compose: bool = False) -> Column:
+def title_tokens(title: Column, compose: bool = True) -> Column:
     """Lower-case words of two characters or more, without stopwords.
 
-    ``compose`` first applies NFKC, in an Arrow function (there is no built-in); leave it
-    off for titles that are known to be in that form.
+    ``compose`` first applies NFKC to titles that are not plain ASCII, in an Arrow function
+    (there is no built-in); turn it off for titles that are known to be in that form.
     """
     text = F.coalesce(title, F.lit(""))
     if compose:
-        text = F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text)
+        text = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     words = F.regexp_extract_all(F.lower(text), F.lit(f"[{_WORD}]+"), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*TITLE_STOPWORDS))
 

@@ -91,6 +91,21 @@ def validate(ontology: Column, values: Column, contract: Contract) -> Column:
     return F.filter(F.array(*messages), lambda m: m.isNotNull())
 
 
+def violations(articles: DataFrame, values: Column, contract: Contract, repo: str) -> DataFrame:
+    """Rows (repo, link, source, errors) of the articles whose ontology contradicts the contract."""
+    rows = articles.select(F.lit(repo).alias("repo"), "link", "source", validate(F.col("ontology"), values, contract).alias("errors"))
+    return rows.where(F.size("errors") > 0)
+
+
+def gated(articles: DataFrame, values: Column, contract: Contract | None, strict: bool = False) -> DataFrame:
+    """The articles to store: all of them, but a strict gate fails the write at the first violation; without a contract nothing is checked."""
+    if contract is None or not strict:
+        return articles
+    errors = validate(F.col("ontology"), values, contract)
+    failed = F.raise_error(F.concat(F.lit("ontology validation failed for "), "link", F.lit(": "), F.array_join(errors, "; ")))
+    return articles.withColumn("link", F.when(F.size(errors) > 0, failed).otherwise(F.col("link")))
+
+
 def backfill(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose ontology changed, and counters (scanned, updated, with_event_model_id)."""
     both = old.select(key, F.map_entries("ontology").alias("was")).join(new.select(key, "ontology", F.map_entries("ontology").alias("is")), key)

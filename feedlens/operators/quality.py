@@ -69,7 +69,7 @@ def run_all(rows: DataFrame, key: str, text: list[str], language: str, date: str
 
 def validation_errors() -> Column:
     """Messages of what is wrong with an article, in fixed order."""
-    blank = lambda c: F.length(F.trim(c)) == 0
+    blank = lambda c: c.rlike(r"(?U)\A[\s\x1C-\x1F]*\z")
 
     def text(name: str) -> Column:
         c = F.col(name)

@@ -1,98 +1,117 @@
-"""Full-text search over postings: BM25, all, any, phrase, prefix and excluded terms, snippets."""
+"""Full-text search: BM25 over words, phrases, prefixes and their combinations; snippets.
+
+A search is given as a tree of Term, All, Any and But; a language for it is left to the
+caller.  Each document is read on its own, so nothing but the corpus statistics, one
+row, moves between tasks.
+"""
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 _TOKEN = r"[\p{L}\p{N}]+"
+COLUMNS = ("title", "body")
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str, columns: tuple[str, ...] = ("title", "body")) -> DataFrame:
-    """(key, col, pos, token) of the indexed columns."""
-    parts = F.array(*[F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("words")) for c in columns])
-    rows = docs.select(key, F.inline(parts))
-    return rows.select(key, "col", F.posexplode("words").alias("pos", "token"))
-
-
-@dataclass
-class Query:
-    """All of ``groups`` must match, each by one of its terms, and none of ``none``; a term is a list of words."""
-
-    groups: list[list[tuple[str | None, tuple[str, ...], bool]]] = field(default_factory=list)
-    none: list[tuple[str | None, tuple[str, ...], bool]] = field(default_factory=list)
-
-
-def parse_match(text: str) -> Query:
-    """Words (all must match), OR, NOT, "phrases", prefix* and column:term."""
-    query, joined, negated = Query(), False, False
-    for part in re.findall(r'(?:\w+:)?"[^"]*"\*?|\S+', text):
-        if part in ("AND", "OR", "NOT"):
-            joined, negated = part == "OR", part == "NOT"
-            continue
-        column, sep, rest = part.partition(":")
-        column, rest = (column, rest) if sep else (None, part)
-        words = tuple(re.findall(r"[^\W_]+", rest.lower()))
-        if not words:
-            continue
-        term = (column, words, rest.endswith("*"))
-        if negated:
-            query.none.append(term)
-        elif joined and query.groups:
-            query.groups[-1].append(term)
-        else:
-            query.groups.append([term])
-        joined = negated = False
-    return query
-
-
-def _hits(rows: DataFrame, key: str, term: tuple[str | None, tuple[str, ...], bool]) -> DataFrame:
-    """Documents with a term, and how often."""
-    column, words, prefix = term
-    out = None
-    for i, word in enumerate(words):
-        last = prefix and i == len(words) - 1
-        own = rows.where(F.col("token").startswith(word) if last else F.col("token") == word)
-        if column:
-            own = own.where(F.col("col") == column)
-        own = own.select(key, "col", (F.col("pos") - i).alias("at"))
-        out = own if out is None else out.join(own, [key, "col", "at"], "left_semi")
-    return out.groupBy(key).agg(F.count("*").alias("tf"))
-
-
-def search(docs: DataFrame, key: str, match: str, limit: int = 20) -> DataFrame:
-    """(key, rank) of the best documents, rank ascending (negative is better).
-
-    Statistics take one aggregate; each term reads only its postings.
+@dataclass(frozen=True)
+class Term:
+    """Words that stand one after another, in one column or any; of a prefix, the last word may go on."""
+
+    words: str
+    column: str | None = None
+    prefix: bool = False
+
+
+@dataclass(frozen=True)
+class All:
+    """What matches every part."""
+
+    parts: tuple
+
+
+@dataclass(frozen=True)
+class Any:
+    """What matches some part."""
+
+    parts: tuple
+
+
+@dataclass(frozen=True)
+class But:
+    """What matches the first search and not the second."""
+
+    match: Term | All | Any | But
+    none: Term | All | Any | But
+
+
+Search = Term | All | Any | But
+
+
+def _terms(search: Search) -> list[Term]:
+    if isinstance(search, Term):
+        return [search]
+    parts = (search.match, search.none) if isinstance(search, But) else search.parts
+    return list(dict.fromkeys(t for p in parts for t in _terms(p)))
+
+
+def _count(term: Term, words: dict[str, Column]) -> Column:
+    """Places of a term in a document's words."""
+    own = re.findall(r"[^\W_]+", term.words.lower())
+    if not own:
+        return F.lit(0)
+
+    def places(held: Column) -> Column:
+        def here(first: Column, i: Column) -> Column:
+            parts = [first, *[F.get(held, i + j) for j in range(1, len(own))]]
+            tests = [p.startswith(w) if term.prefix and j == len(own) - 1 else p == w for j, (p, w) in enumerate(zip(parts, own, strict=True))]
+            return F.coalesce(functools.reduce(operator.and_, tests), F.lit(False))
+
+        return F.size(F.filter(held, here))
+
+    sizes = [places(words[name]) for name in ((term.column,) if term.column else COLUMNS)]
+    return functools.reduce(operator.add, sizes)
+
+
+def _matches(search: Search, counts: dict[Term, Column]) -> Column:
+    if isinstance(search, Term):
+        return counts[search] > 0
+    if isinstance(search, But):
+        return _matches(search.match, counts) & ~_matches(search.none, counts)
+    return functools.reduce(operator.and_ if isinstance(search, All) else operator.or_, [_matches(p, counts) for p in search.parts])
+
+
+def search(docs: DataFrame, key: str, match: Search, limit: int = 20) -> DataFrame:
+    """(key, rank) of the best documents (key, title, body), rank ascending (negative is better).
+
+    One pass counts the documents, their words and each term's documents; a second one
+    ranks the documents that match.
     """
-    query = parse_match(match)
-    if limit <= 0 or not query.groups:
+    terms = _terms(match)
+    if limit <= 0 or not any(re.search(r"[^\W_]", t.words) for t in terms):
         return docs.select(key, F.lit(0.0).alias("rank")).where(F.lit(False))
-    rows = postings(docs, key)
-    lengths = docs.select(key, (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("body")))).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = [(g, i, t) for g, group in enumerate(query.groups) for i, t in enumerate(group)]
-    found = None
-    for g, i, term in terms:
-        own = _hits(rows, key, term).select(key, F.lit(g).alias("g"), F.lit(i).alias("i"), "tf")
-        found = own if found is None else found.unionByName(own)
-    df = found.groupBy("g", "i").agg(F.count("*").alias("df"))
-    scored = found.join(F.broadcast(df), ["g", "i"]).join(lengths, key).crossJoin(F.broadcast(stats))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    ranked = scored.groupBy(key).agg((-F.sum(part)).alias("rank"), F.countDistinct("g").alias("groups")).where(F.col("groups") == len(query.groups))
-    for term in query.none:
-        ranked = ranked.join(_hits(rows, key, term).select(key), key, "left_anti")
-    return ranked.select(key, "rank").orderBy("rank", key).limit(limit)
+    words = docs.select(key, *[tokens(F.col(c)).alias(c) for c in COLUMNS])
+    counted = words.select(key, (F.size("title") + F.size("body")).alias("dl"), F.array(*[_count(t, {c: F.col(c) for c in COLUMNS}) for t in terms]).alias("tf"))
+    holding = [F.count_if(F.get("tf", F.lit(i)) > 0) for i in range(len(terms))]
+    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*holding).alias("df"))
+    tf = {t: F.get("tf", F.lit(i)) for i, t in enumerate(terms)}
+    found = counted.where(_matches(match, tf)).crossJoin(F.broadcast(stats))
+    ranks = []
+    for i, t in enumerate(terms):
+        df = F.get("df", F.lit(i))
+        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
+        ranks.append(F.when(idf <= 0, 1e-6).otherwise(idf) * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    return found.select(key, (-functools.reduce(operator.add, ranks)).alias("rank")).orderBy("rank", key).limit(limit)
 
 
 def snippet(body: Column, words: list[str], size: int = 32) -> Column:

@@ -13,22 +13,20 @@ Rules = list[tuple[str, list[str]]]
 def matched_entities(title: Column, summary: Column, rules: Rules) -> Column:
     """Map of each entity with hits to its keywords that hit, in rule order.
 
-    All rules are compiled into one projection.  Of entities with the same name, the last
-    one with hits counts.
+    All rules are compiled into one projection.  Of rules with the same name, the last one
+    with hits counts; the name stands where its first rule does.
     """
     text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(summary, F.lit("")))
-    entries = []
-    for i, (name, keywords) in enumerate(rules):
+    named: dict[str, list[Column]] = {}
+    for name, keywords in rules:
         hits = [F.when(holds_keyword(text, k), F.lit(k.lower())) for k in keywords if k]
-        if not hits:
-            continue
-        found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-        later = [j for j in range(i + 1, len(rules)) if rules[j][0] == name]
-        entries.append((F.lit(name), found, later))
-    if not entries:
+        if hits:
+            found = F.filter(F.array(*hits), lambda x: x.isNotNull())
+            named.setdefault(name, []).insert(0, F.when(F.size(found) > 0, found))
+    if not named:
         return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
-    rows = F.array(*[F.struct(name.alias("key"), found.alias("value")) for name, found, later in entries if not later])
-    return F.map_from_entries(F.filter(rows, lambda e: F.size(e["value"]) > 0))
+    rows = F.array(*[F.struct(F.lit(name).alias("key"), F.coalesce(*found).alias("value")) for name, found in named.items()])
+    return F.map_from_entries(F.filter(rows, lambda e: e["value"].isNotNull()))
 
 
 def entity_counts(tagged: DataFrame, order: str) -> DataFrame:

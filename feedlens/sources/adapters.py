@@ -37,7 +37,7 @@ def doc_articles(documents: DataFrame) -> DataFrame:
         link.alias("link"),
         "source",
         F.col("lang").alias("category"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("summary"),
         day.cast("timestamp_ntz").alias("event_ts"),
     )

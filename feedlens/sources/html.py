@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 #: What str.strip() drops; \s of Java is ASCII only.
 _BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Tags that end a line, and the pattern of a title.
 _BLOCKS = "p|div|section|article|li|ul|ol|h[1-6]|br|tr|td|th"
+_TITLE = "(?i)<title[^>]*>([^<]+)</title>"
 #: Href texts that are no links.
-PLACEHOLDERS = ("", "#", "javascript:", "javascript:;", "javascript:void(0)", "javascript:void(0);")
+PLACEHOLDERS = ("", "#", "#view", "javascript:;", "javascript:void(0)", "javascript:void(0);")
 
 
 def unescape(text: Column) -> Column:
@@ -27,7 +29,7 @@ def unescape(text: Column) -> Column:
 
 
 def html_title(html: Column, fallback: Column) -> Column:
-    found = F.regexp_extract(html, "(?i)<title[^>]*>([^<]+)</title>", 1)
+    found = F.regexp_extract(html, _TITLE, 1)
     return F.coalesce(F.nullif(F.trim(found), F.lit("")), fallback)
 
 

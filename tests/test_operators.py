@@ -158,9 +158,21 @@ def test_search_against_fts5(spark):
     con.execute("create virtual table f using fts5(link unindexed, title, body)")
     con.executemany("insert into f values (?, ?, ?)", docs)
     df = spark.createDataFrame(docs, "link string, title string, body string")
-    for match in ("epsilon", "alpha delta", '"public license"', "alpha NOT epsilon", "kap*", "title:eta", "theta OR kappa"):
+    term = search.Term
+    cases = {
+        "epsilon": term("epsilon"),
+        "alpha delta": search.All((term("alpha"), term("delta"))),
+        '"public license"': term("public license"),
+        "alpha NOT epsilon": search.But(term("alpha"), term("epsilon")),
+        "kap*": term("kap", prefix=True),
+        "title:eta": term("eta", column="title"),
+        "theta OR kappa": search.Any((term("theta"), term("kappa"))),
+        "beta gamma OR kappa": search.Any((search.All((term("beta"), term("gamma"))), term("kappa"))),
+        "kappa OR alpha NOT epsilon": search.Any((term("kappa"), search.But(term("alpha"), term("epsilon")))),
+    }
+    for match, wanted in cases.items():
         want = con.execute("select link, bm25(f) from f where f match ? order by 2, 1", (match,)).fetchall()
-        got = [(r["link"], r["rank"]) for r in search.search(df, "link", match).collect()]
+        got = [(r["link"], r["rank"]) for r in search.search(df, "link", wanted).collect()]
         assert [x[0] for x in got] == [x[0] for x in want], match
         if "*" not in match and ":" not in match:
             assert [x[1] for x in got] == pytest.approx([x[1] for x in want], rel=1e-6), match
