@@ -15,7 +15,7 @@ from feedlens.functions import urls
 from feedlens.operators import articles as store
 from feedlens.operators import clustering, health, ontology, quality, reports, search, tagging
 from feedlens.plans.storage import shared_dir
-from feedlens.sources import listings
+from feedlens.sources import config, listings
 from feedlens.sources.adapters import align, as_of, doc_articles, fetch_log, page_articles, table
 from feedlens.sources.html import html_text, html_title, resolve_link
 from feedlens.streaming import health as streaming
@@ -601,9 +601,15 @@ def ontology_validate(spark, d):
     return rows.groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query(_ONTO + "SELECT count(*) AS scanned, count(*) FILTER (WHERE doc_id % 4 = 0) AS updated, count(event_id) AS with_event_model_id FROM o")
+@query(
+    _ONTO
+    + """SELECT count(*) AS scanned, count(*) FILTER (WHERE doc_id % 4 = 0) AS updated, count(event_id) AS with_event_model_id,
+  count(event_id) FILTER (WHERE event_id = 'em.release') AS with_event_model_payload, 0::BIGINT AS default_fallback_applied FROM o"""
+)
 def ontology_backfill_counts(spark, d):
     new = _annotated(spark, d)
+    release = ontology.payload(CONTRACT["event_model_field_specs"]["release"], new.columns)
+    new = new.withColumn("event_model_payload", F.when(F.col("ontology")["event_model_id"] == "em.release", release))
     stale = F.map_concat("ontology", F.create_map(F.lit("stale"), F.lit("1")))
     old = new.select("doc_id", F.when(F.col("doc_id") % 4 == 0, stale).otherwise(F.col("ontology")).alias("ontology"))
     return ontology.backfill(old, new, "doc_id")[1]
@@ -670,3 +676,191 @@ def ontology_violations(spark, d):
 def windowed_clusters(spark, d):
     """Cluster ids written back to the English articles of the last week."""
     return clustering.with_clusters(_articles(spark, d), as_of(), category="en").select("link", "cluster_id")
+
+
+@query(
+    _ONTO
+    + """SELECT doc_id, coalesce(event_id, 'em.notice') AS event_model_id, event_id IS NULL AS used_default FROM o WHERE source <> 'src1'"""
+)
+def ontology_default_event(spark, d):
+    """Sources that name no event model take the default one."""
+    dim = [(f"src{i}", ("release", "notice", " ")[i % 3], "primary") for i in range(20)]
+    rows = _articles(spark, d).where("source <> 'src1'")
+    found = ontology.annotate(rows, CONTRACT, spark.createDataFrame(dim, "name string, event_model string, role string"), "notice")
+    return found.select("doc_id", F.col("ontology")["event_model_id"].alias("event_model_id"), "used_default")
+
+
+_TAG_SPEC = {"required_fields": ["tags"], "optional_fields": [], "field_enums": {"tags": ["Articles", "Connectors"]}}
+
+
+@query(
+    _TAGS
+    + """, t AS (SELECT doc_id, list_sort(list(DISTINCT entity)) AS tags FROM e GROUP BY doc_id)
+SELECT doc_id, array_to_string(tags, ',') AS tags, list_filter(tags, lambda x: x NOT IN ('Articles', 'Connectors'))[1] AS bad FROM t"""
+)
+def ontology_tags(spark, d):
+    """The tags of each article's payload, and the first that its vocabulary doesn't know."""
+    rows = _tagged(spark, d)
+    rows = rows.withColumn("v", ontology.list_payload(_TAG_SPEC, rows.columns)).where(F.size("v") > 0)
+    bad = ontology.list_violations(F.col("v"), _TAG_SPEC)
+    return rows.select("doc_id", F.array_join(F.col("v")["tags"], ",").alias("tags"), bad["value"].alias("bad"))
+
+
+# --- rankings, summaries, upkeep ------------------------------------------------------
+
+
+@query(_LOG + f", r AS ({_RELIABILITY.replace('{where}', '')}) SELECT source, score, CASE WHEN 100 * success_rate >= 80 THEN 'good' WHEN 100 * success_rate >= 50 THEN 'fair' ELSE 'poor' END AS band FROM r ORDER BY score DESC, (SELECT min(seq) FROM log WHERE log.source = r.source) LIMIT 10")
+def reliability_ranking(spark, d):
+    best = health.ranked(_log(spark, d), as_of()).limit(10)
+    return best.select("source", "score", health.rate_band(100 * F.col("success_rate")).alias("band"))
+
+
+@query(
+    _LOG
+    + f""", h AS (SELECT s_suppkey, 'src' || (s_suppkey % 30) AS source, s_suppkey % 4 <> 0 AS tracked FROM supplier),
+f AS (SELECT source, max(collected_at) FILTER (WHERE fetch_status = 'ok') AS m FROM log GROUP BY source),
+k AS (SELECT CASE WHEN NOT tracked THEN 'not_tracked' WHEN m IS NULL THEN 'missing' WHEN (epoch({_AS_OF}) - floor(epoch(m)))::DOUBLE / 3600 <= 6 THEN 'fresh' ELSE 'stale' END AS s FROM h LEFT JOIN f USING (source))
+SELECT count(*) AS total_sources, count(*) FILTER (WHERE s <> 'not_tracked') AS tracked_sources, count(*) FILTER (WHERE s = 'fresh') AS fresh_sources,
+  count(*) FILTER (WHERE s = 'stale') AS stale_sources, count(*) FILTER (WHERE s = 'missing') AS missing_sources, count(*) FILTER (WHERE s = 'not_tracked') AS not_tracked_sources FROM k"""
+)
+def freshness_sla_summary(spark, d):
+    key = F.col("s_suppkey")
+    sources = table(spark, d, "supplier").select(F.concat(F.lit("src"), (key % 30).cast("string")).alias("source"), (key % 4 != 0).alias("tracked"))
+    return health.sla_summary(sources, health.freshness(_log(spark, d), as_of(), 6))
+
+
+@query(
+    _LOG
+    + f""", h AS ({_COUNTERS}), s AS (SELECT s_suppkey AS id, 'src' || (s_suppkey % 30) AS source, s_suppkey % 7 = 0 AS bypass FROM supplier)
+SELECT id, source FROM s WHERE bypass OR source NOT IN (SELECT source FROM h WHERE disabled)"""
+)
+def sources_active(spark, d):
+    """Sources to fetch: those that aren't disabled, and those with the bypass setting."""
+    key = F.col("s_suppkey")
+    setting = F.when(key % 7 == 0, F.lit(" Yes ")).when(key % 7 == 1, F.lit("no"))
+    sources = table(spark, d, "supplier").select(key.alias("id"), F.concat(F.lit("src"), (key % 30).cast("string")).alias("source"), setting.alias("bypass"))
+    return health.active_sources(sources, health.counters(_log(spark, d), 150), F.col("bypass")).select("id", "source")
+
+
+@query(
+    _TAGS
+    + """, c AS (SELECT (SELECT count(*) FROM art) AS a, (SELECT count(DISTINCT source) FROM art) AS s, (SELECT count(DISTINCT doc_id) FROM e) AS m)
+SELECT 'article_count' AS section, '' AS name, a AS count FROM c UNION ALL SELECT 'source_count', '', s FROM c UNION ALL SELECT 'matched_count', '', m FROM c
+UNION ALL SELECT 'sources', source, count(*) FROM art WHERE source <> '' GROUP BY source
+UNION ALL SELECT 'top_entities', entity, sum(hits)::BIGINT FROM e GROUP BY entity"""
+)
+def summary_sections(spark, d):
+    return reports.summary_rows(_tagged(spark, d), "doc_id")
+
+
+@query(
+    _TAGS
+    + """SELECT link, title, strftime(event_ts, '%Y-%m-%dT%H:%M:%S') AS published_at, NULL::VARCHAR AS collected_at, coalesce((SELECT count(*) FROM e WHERE e.doc_id = art.doc_id), 0)::INTEGER AS n_entities FROM art"""
+)
+def report_articles(spark, d):
+    rows = reports.report_rows(_tagged(spark, d))
+    return rows.select("link", "title", "published_at", "collected_at", F.size("matched_entities").alias("n_entities"))
+
+
+@query(
+    """SELECT count(*) FILTER (WHERE day < DATE '2024-01-31' - 7) AS raw_removed, count(*) FILTER (WHERE day < DATE '2024-01-31' - 20) AS report_removed, 0::BIGINT AS snapshots_removed
+FROM (SELECT DISTINCT ts::DATE AS day FROM events)"""
+)
+def retention_policy_counts(spark, d):
+    days = _log(spark, d).select(F.date_format("collected_at", "yyyy-MM-dd").alias("day")).distinct()
+    kinds = F.array(
+        F.struct(F.lit("raw").alias("kind"), F.col("day").alias("name")),
+        F.struct(F.lit("report").alias("kind"), F.concat("day", F.lit(".html")).alias("name")),
+        F.struct(F.lit("snapshot").alias("kind"), F.col("day").alias("name")),
+    )
+    extra = spark.createDataFrame([("raw", "notes"), ("report", "index.html"), ("snapshot", "latest")], "kind string, name string")
+    return store.retention_policy(days.select(F.inline(kinds)).unionByName(extra), F.to_date(as_of()), 7, 20, -1)
+
+
+@query(_ARTICLES + f"SELECT link, 'run-' || (doc_id % 3) AS run_id, CASE WHEN doc_id % 3 <> 2 THEN {_AS_OF} END AS fetched_at FROM art WHERE doc_id % 3 <> 2 UNION ALL SELECT link, NULL, NULL FROM art WHERE doc_id % 3 = 2")
+def lineage_stamp(spark, d):
+    """Rows of two runs that tell their id, and of one that tells nothing."""
+    rows = _articles(spark, d)
+    runs = [store.stamped(rows.where(F.col("doc_id") % 3 == i), as_of(), f"run-{i}" if i < 2 else None) for i in range(3)]
+    return listings.collected(runs).select("link", "run_id", "fetched_at")
+
+
+_ROUTES = """WITH s AS (SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN 'RSS ' WHEN 1 THEN 'JavaScript' WHEN 2 THEN 'reddit' WHEN 3 THEN 'mcp' ELSE 'API' END AS type,
+  s_suppkey % 6 <> 0 AS enabled FROM supplier)
+"""
+
+
+def _sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as configuration rows; some values are texts, numbers or references to variables."""
+    key = F.col("s_suppkey")
+    kind = F.get(F.array(*[F.lit(x) for x in ("RSS ", "JavaScript", "reddit", "mcp", "API")]), (key % 5).cast("int"))
+    enabled = F.when(key % 6 == 0, F.lit('" No "')).when(key % 6 == 1, F.lit("true")).otherwise(F.lit('"maybe"'))
+    weight = F.when(key % 3 == 0, F.lit('" 2.5 "')).when(key % 3 == 1, key.cast("string")).otherwise(F.lit("[1]"))
+    body = F.format_string(
+        '{"name": "%s", "type": "%s", "url": "https://${HOST}/%d?k=${NONE}$", "enabled": %s, "weight": %s, "info_purpose": [" a ", "", %d]}',
+        "s_name", kind, key, enabled, weight, key,
+    )
+    return config.typed_sources(table(spark, d, "supplier").select(key.alias("id_"), body.alias("body")), {"HOST": "news.example.com"})
+
+
+@query(
+    _ROUTES
+    + """SELECT name, type, 'https://news.example.com/' || id || '?k=$' AS url, enabled, CASE id % 3 WHEN 0 THEN 2.5 WHEN 1 THEN id ELSE 1 END::DOUBLE AS weight,
+  'a,' || id AS info_purpose, 'T3_professional' AS trust_tier FROM s"""
+)
+def source_config(spark, d):
+    return _sources(spark, d).select("name", "type", "url", "enabled", "weight", F.array_join("info_purpose", ",").alias("info_purpose"), "trust_tier")
+
+
+@query(_ROUTES + "SELECT name AS source, name || ': Source type ' || chr(39) || type || chr(39) || ' is cataloged but not collected by the standard pipeline' AS error FROM s WHERE enabled AND type IN ('mcp', 'API')")
+def source_errors(spark, d):
+    return listings.unsupported_errors(listings.route(_sources(spark, d)))
+
+
+_RSS = """<rss xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>t</title>
+<item><title>One &amp;amp; two</title><link> https://e.org/1 </link><description>d</description><pubDate>Tue, 02 Jan 2024 09:00:00 +0900</pubDate></item>
+<item><title>No link</title></item>
+<item><title> </title><link>https://e.org/2</link><content:encoded>long</content:encoded><dc:date>2024-01-03T00:00:00Z</dc:date></item></channel></rss>"""
+_ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>
+<entry><title>Atom</title><link rel="self" href="https://e.org/self"/><link href="https://e.org/3"/><content>c</content><updated>2024-01-04T01:00:00+01:00</updated></entry></feed>"""
+
+
+@query(
+    """SELECT * FROM (VALUES ('rss', 0, 'One & two', 'https://e.org/1', 'd', 1704153600::BIGINT), ('rss', 2, '(no title)', 'https://e.org/2', 'long', 1704240000),
+  ('atom', 0, 'Atom', 'https://e.org/3', 'c', 1704326400)) t(source, pos, title, link, summary, published)"""
+)
+def feed_parse(spark, d):
+    raw = spark.createDataFrame([("rss", "c", _RSS), ("atom", "c", _ATOM)], "source string, category string, body string")
+    return listings.parse_feeds(raw).select("source", "pos", "title", "link", "summary", F.unix_seconds("published").alias("published"))
+
+
+@query("SELECT source, count(*) AS n FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS source FROM pages UNION ALL SELECT unnest(['rss', 'rss', 'atom', 'x', 'x'])) GROUP BY 1")
+def collector_union(spark, d):
+    """Articles of feeds, listings and pages together, by source."""
+    feeds = spark.createDataFrame([("rss", "c", _RSS), ("atom", "c", _ATOM)], "source string, category string, body string")
+    listed = spark.createDataFrame([("x", "c", _LISTING)], "source string, category string, body string")
+    parts = [listings.parse_feeds(feeds), listings.parse_listings(listed), page_articles(table(spark, d, "pages"))]
+    return listings.collected(parts).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query(
+    r"""WITH n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'renewed ' || lang ELSE text END AS text FROM documents),
+p AS (SELECT doc_id, unnest(w) AS token, unnest(range(len(w))) AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM n))
+SELECT token, count(DISTINCT doc_id) AS documents, count(*) AS places, sum(place)::BIGINT AS sum_of_places FROM p GROUP BY token ORDER BY 2 DESC, 1 LIMIT 100"""
+)
+def search_index_upsert(spark, d):
+    """Postings after a tenth of the documents have a new body, for the most common words."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"), "lang")
+    new = docs.where("doc_id % 10 = 0").withColumn("body", F.concat(F.lit("renewed "), "lang"))
+    held = search.upsert_postings(search.postings(docs, "doc_id"), new, "doc_id")
+    sums = held.groupBy("token").agg(
+        F.count_distinct("doc_id").alias("documents"),
+        F.sum(F.size("places")).alias("places"),
+        F.sum(F.aggregate("places", F.lit(0).cast("long"), lambda a, x: a + x)).alias("sum_of_places"),
+    )
+    return sums.orderBy(F.desc("documents"), "token").limit(100)
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'))::INTEGER AS n_words FROM documents")
+def blank_token_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(texts.blank_tokens(F.col("text"))).alias("n_words"))

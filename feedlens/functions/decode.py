@@ -55,5 +55,5 @@ def mail_datetime(value: Column) -> Column:
 
 
 def feed_datetime(published: Column, updated: Column, date: Column) -> Column:
-    """The first of a feed entry's dates that can be read."""
-    return F.coalesce(*[mail_datetime(c) for c in (published, updated, date)])
+    """The first of a feed entry's dates that can be read, written as in mail or in ISO form."""
+    return F.coalesce(*[f(c) for c in (published, updated, date) for f in (mail_datetime, lambda x: iso_datetime(F.trim(x)))])

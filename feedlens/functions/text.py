@@ -40,6 +40,11 @@ def title_tokens(title: Column, compose: bool = True) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*TITLE_STOPWORDS))
 
 
+def blank_tokens(text: Column) -> Column:
+    """A text cut at blanks, as words are taken where there is no analyser for its language."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: w != "")
+
+
 def plain_title(title: Column) -> Column:
     """Lower case, blanks collapsed, punctuation but hyphens dropped."""
     text = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import date, datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,8 +77,40 @@ def is_expired_report(name: Column, today: Column, keep_days: int) -> Column:
     stem = F.regexp_replace(name, r"\.html$", "")
     digits = F.try_to_date(F.regexp_extract(stem, r"(\d{8})$", 1), "yyyyMMdd")
     day = F.coalesce(digits, F.try_to_date(F.regexp_extract(stem, r"^(\d{4}-\d{2}-\d{2})$", 1), "yyyy-MM-dd"))
-    return F.coalesce((name != "index.html") & (day < F.date_sub(today, max(keep_days, 0))), F.lit(False))
+    return F.coalesce((name != "index.html") & (day < F.date_sub(today, keep_days)), F.lit(False)) if keep_days >= 0 else F.lit(False)
 
 
 def is_expired_folder(name: Column, today: Column, keep_days: int) -> Column:
-    return F.coalesce(F.try_to_date(name, "yyyy-MM-dd") < F.date_sub(today, max(keep_days, 0)), F.lit(False))
+    """Whether a dated folder is too old; names of other forms never are, and a negative number of days keeps all."""
+    return F.coalesce(F.try_to_date(name, "yyyy-MM-dd") < F.date_sub(today, keep_days), F.lit(False)) if keep_days >= 0 else F.lit(False)
+
+
+def retention_policy(files: DataFrame, today: Column, raw_days: int, report_days: int, snapshot_days: int = 30) -> DataFrame:
+    """One row of what retention removes from a listing (kind, name): raw_removed, report_removed, snapshots_removed."""
+    name = F.col("name")
+    old = {
+        "raw_removed": (F.col("kind") == "raw") & is_expired_folder(name, today, raw_days),
+        "report_removed": (F.col("kind") == "report") & is_expired_report(name, today, report_days),
+        "snapshots_removed": (F.col("kind") == "snapshot") & is_expired_folder(name, today, snapshot_days),
+    }
+    return files.agg(*[F.count_if(c).alias(n) for n, c in old.items()])
+
+
+def stamped(articles: DataFrame, at: Column, run_id: str | None = None, version: str | None = None, status: str | None = None) -> DataFrame:
+    """Articles with their run's columns; fetched_at is set only if the run says anything of itself."""
+    told = any(v is not None for v in (run_id, version, status))
+    given = {"run_id": run_id, "collector_version": version, "fetch_status": status}
+    rows = articles.withColumns({n: F.lit(v).cast("string") for n, v in given.items()})
+    return rows.withColumn("fetched_at", at.cast("timestamp_ntz") if told else F.lit(None).cast("timestamp_ntz"))
+
+
+def make_run_id(at: datetime, prefix: str = "radar", run: str | None = None) -> str:
+    """The id of a scheduler's run where there is one, else one of the time (UTC) and a random part."""
+    return f"{prefix}-gh-{run}" if run else f"{prefix}-{at:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
+
+
+def write_snapshot(articles: DataFrame, root: str, day: date) -> str:
+    """Writes the store as it is under a folder of the day, and returns its path."""
+    path = f"{root.rstrip('/')}/snapshots/{day.isoformat()}"
+    articles.write.mode("overwrite").parquet(path)
+    return path

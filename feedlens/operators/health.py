@@ -34,6 +34,17 @@ def reliability(log: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def ranked(log: DataFrame, as_of: Column) -> DataFrame:
+    """Reliability with the best score first; equal scores in order of the sources' first rows (``seq``)."""
+    first = log.groupBy("source").agg(F.min("seq").alias("_first"))
+    return reliability(log, as_of).join(first, "source").orderBy(F.desc("score"), "_first").drop("_first")
+
+
+def rate_band(rate: Column) -> Column:
+    """Band of a success rate in per cent: good from 80, fair from 50, else poor; null has none."""
+    return F.when(rate >= 80, "good").when(rate >= 50, "fair").when(rate.isNotNull(), "poor")
+
+
 def counters(events: DataFrame, threshold: int = 10) -> DataFrame:
     """Per source: successes, failures, last delay, last error and whether it is disabled."""
     failed = F.lower("fetch_status").isin(*FAILURES)
@@ -62,6 +73,19 @@ def merge_counters(old: DataFrame | None, new: DataFrame, threshold: int = 10) -
     )
 
 
+def is_bypass(value: Column) -> Column:
+    """Whether a setting says that a source is fetched even while it is disabled."""
+    return F.coalesce(F.lower(F.trim(value)).isin("1", "true", "yes", "y", "on"), F.lit(False))
+
+
+def active_sources(sources: DataFrame, health: DataFrame, bypass: Column | None = None) -> DataFrame:
+    """Sources that are fetched: those that aren't disabled, and those that ``bypass`` lets through all the same."""
+    kept = without_disabled(sources, health)
+    if bypass is None:
+        return kept
+    return without_disabled(sources.where(~is_bypass(bypass)), health).unionByName(sources.where(is_bypass(bypass)))
+
+
 def without_disabled(rows: DataFrame, health: DataFrame) -> DataFrame:
     return rows.join(health.where("disabled").select("source"), "source", "left_anti")
 
@@ -160,3 +184,19 @@ def freshness(log: DataFrame, as_of: Column, sla_hours: float) -> DataFrame:
     hours = (F.unix_seconds(as_of.cast("timestamp")) - F.unix_seconds(F.col("last_seen").cast("timestamp"))) / 3600.0
     status = F.when(F.col("last_seen").isNull(), "missing").when(hours <= sla_hours, "fresh").otherwise("stale")
     return last.select("source", F.round(hours, 2).alias("age_hours"), status.alias("status"))
+
+
+def sla_summary(sources: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row of how many sources (source, tracked) there are, are tracked, and are fresh, stale, missing or not tracked.
+
+    A tracked source of which ``fresh`` (source, status) says nothing is missing.
+    """
+    known = fresh.select("source", "status")
+    status = F.when(~F.coalesce("tracked", F.lit(False)), "not_tracked").otherwise(F.coalesce("status", F.lit("missing")))
+    rows = sources.join(known, "source", "left").select(status.alias("status"))
+    kinds = ("fresh", "stale", "missing", "not_tracked")
+    return rows.agg(
+        F.count("*").alias("total_sources"),
+        F.count_if(F.col("status") != "not_tracked").alias("tracked_sources"),
+        *[F.count_if(F.col("status") == k).alias(f"{k}_sources") for k in kinds],
+    )

@@ -35,13 +35,19 @@ def _drop_empty(entries: dict[str, Column]) -> Column:
     return F.map_filter(whole, lambda _, v: v.isNotNull() & (v != ""))
 
 
-def annotate(articles: DataFrame, contract: Contract, sources: DataFrame) -> DataFrame:
+def annotate(articles: DataFrame, contract: Contract, sources: DataFrame, default_event: str | None = None) -> DataFrame:
     """Adds ontology (map) by the article's source; sources (name, event_model, role) is a small dimension.
 
+    Articles of sources without an event model take ``default_event`` where it is given,
+    and are marked in used_default.
+
     The join is left to the optimizer, which broadcasts the dimension if its size allows.
     """
     dim = sources.select(F.trim("name").alias("_name"), F.col("event_model").alias("_event"), F.col("role").alias("_role"))
     rows = articles.join(dim, F.trim("source") == F.col("_name"), "left")
+    if default_event is not None:
+        lacking = F.coalesce(F.trim("_event"), F.lit("")) == ""
+        rows = rows.withColumn("used_default", lacking).withColumn("_event", F.when(F.col("used_default"), default_event).otherwise(F.col("_event")))
     entries = {
         "repo": F.lit(contract.get("repo", "")),
         "category": F.lit(contract.get("category", "")),
@@ -72,6 +78,53 @@ def enum_violations(values: Column, spec: dict[str, Any]) -> Column:
     return F.coalesce(*found) if found else F.lit(None).cast("struct<field:string,value:string>")
 
 
+def list_payload(spec: dict[str, Any], columns: list[str]) -> Column:
+    """Declared fields that are lists: the article's own, and as tags the sorted names of its entities; empty ones are absent."""
+    names = dict.fromkeys([*spec.get("required_fields", []), *spec.get("optional_fields", [])])
+    own = {n: F.col(n).cast("array<string>") for n in spec.get("list_fields", []) if n in names and n in columns}
+    if "tags" in names and "matched_entities" in columns:
+        own["tags"] = F.array_sort(F.array_distinct(F.map_keys("matched_entities")))
+    if not own:
+        return F.create_map().cast("map<string,array<string>>")
+    return F.map_filter(F.create_map(*[x for n, c in own.items() for x in (F.lit(n), c)]), lambda _, v: F.size(v) > 0)
+
+
+def list_violations(values: Column, spec: dict[str, Any]) -> Column:
+    """Struct (field, value) of the first list entry that is not in its field's vocabulary, else null."""
+    found = []
+    for name, allowed in spec.get("field_enums", {}).items():
+        wrong = F.filter(F.try_element_at(values, F.lit(name)), lambda v: ~v.isin(*allowed))  # noqa: B023
+        found.append(F.when(F.size(wrong) > 0, F.struct(F.lit(name).alias("field"), F.get(wrong, F.lit(0)).alias("value"))))
+    return F.coalesce(*found) if found else F.lit(None).cast("struct<field:string,value:string>")
+
+
+def checked_payload(values: Column, violation: Column, strict: bool = False) -> Column:
+    """The payload where nothing violates it; else the write fails if strict, and there is no payload if not."""
+    if not strict:
+        return F.when(violation.isNull(), values)
+    told = F.concat(F.lit("value '"), violation["value"], F.lit("' not allowed for "), violation["field"])
+    return F.when(violation.isNotNull(), F.raise_error(told)).otherwise(values)
+
+
+def summary_metadata(contract: Contract | None, repo: str, category: str | None = None) -> dict[str, Any] | None:
+    """What a summary says of its contract: ids sorted and distinct, mappings, and no empty entries; None without a contract."""
+    if contract is None:
+        return None
+    events, roles = contract.get("event_model_mappings") or {}, contract.get("source_role_mappings") or {}
+    told = {
+        "repo": repo,
+        "category": str(contract.get("category") or category or "").strip(),
+        "ontology_version": str(contract.get("ontology_version") or "").strip(),
+        "event_model_ids": sorted(set(events.values())),
+        "event_model_mappings": events,
+        "entity_type_hints": contract.get("entity_type_hints") or [],
+        "source_role_ids": sorted(set(roles.values())),
+        "source_role_mappings": roles,
+        "evidence_policy_ids": contract.get("evidence_policy_ids") or [],
+    }
+    return {k: v for k, v in told.items() if v}
+
+
 def validate(ontology: Column, values: Column, contract: Contract) -> Column:
     """Messages of what contradicts the contract; no ontology is valid."""
     event, role = F.try_element_at(ontology, F.lit("event_model_id")), F.try_element_at(ontology, F.lit("source_role_id"))
@@ -107,10 +160,23 @@ def gated(articles: DataFrame, values: Column, contract: Contract | None, strict
 
 
 def backfill(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose ontology changed, and counters (scanned, updated, with_event_model_id)."""
-    both = old.select(key, F.map_entries("ontology").alias("was")).join(new.select(key, "ontology", F.map_entries("ontology").alias("is")), key)
+    """Rows whose ontology changed, and counters of all rows.
+
+    Counters: scanned, updated, with_event_model_id, with_event_model_payload (a column
+    ``event_model_payload`` of ``new`` that isn't empty) and default_fallback_applied (its
+    ``used_default``, where there is an event model); without these columns they are 0.
+    """
+    event = F.map_contains_key("ontology", "event_model_id").alias("has_event")
+    paid = F.size("event_model_payload") > 0 if "event_model_payload" in new.columns else F.lit(False)
+    default = F.col("used_default") if "used_default" in new.columns else F.lit(False)
+    told = new.select(key, "ontology", F.map_entries("ontology").alias("is"), event, paid.alias("paid"), default.alias("by_default"))
+    both = old.select(key, F.map_entries("ontology").alias("was")).join(told, key)
     changed = ~F.array_sort("was").eqNullSafe(F.array_sort("is"))
     counters = both.agg(
-        F.count("*").alias("scanned"), F.count_if(changed).alias("updated"), F.count_if(F.map_contains_key("ontology", "event_model_id")).alias("with_event_model_id")
+        F.count("*").alias("scanned"),
+        F.count_if(changed).alias("updated"),
+        F.count_if("has_event").alias("with_event_model_id"),
+        F.count_if("paid").alias("with_event_model_payload"),
+        F.count_if(F.col("has_event") & F.col("by_default")).alias("default_fallback_applied"),
     )
     return both.where(changed).select(key, "ontology"), counters

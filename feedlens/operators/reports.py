@@ -1,10 +1,12 @@
-"""Source selection, the index of published reports and notification texts."""
+"""Source selection, summaries, report rows, the index of published reports and notification texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.operators.tagging import summary_row, top_entities
+
 #: Longest text that a messenger takes.
 MESSAGE_LIMIT = 4096
 
@@ -56,3 +58,52 @@ def notification_text(category: Column, at: Column, sources: Column, collected:
     if url is not None:
         text = F.concat(text, F.when(F.coalesce(url, F.lit("")) != "", F.format_string("\n\n[Report](%s)", url)).otherwise(""))
     return F.when(F.length(text) > MESSAGE_LIMIT, F.concat(F.substring(text, 1, MESSAGE_LIMIT - 3), F.lit("..."))).otherwise(text)
+
+
+def iso_text(at: Column) -> Column:
+    """ISO text of a time; the fraction is written only where there is one."""
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(at, "SSSSSS")
+    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+
+
+def report_rows(articles: DataFrame) -> DataFrame:
+    """Articles as a report lists them: texts, ISO times (null where missing), entities (an empty map where missing), and the payload if there is such a column."""
+    empty = F.create_map().cast("map<string,array<string>>")
+    when = {
+        "published_at": [c for c in ("published_at", "published", "event_ts") if c in articles.columns],
+        "collected_at": [c for c in ("collected_at",) if c in articles.columns],
+    }
+    times = [iso_text(F.coalesce(*cs)).alias(n) if cs else F.lit(None).cast("string").alias(n) for n, cs in when.items()]
+    rest = [c for c in ("event_model_payload",) if c in articles.columns]
+    return articles.select("title", "link", "source", "summary", *times, F.coalesce("matched_entities", empty).alias("matched_entities"), *rest)
+
+
+def summary_rows(tagged: DataFrame, order: str, top: int = 20) -> DataFrame:
+    """A summary as rows (section, name, count): article_count, source_count and matched_count, each source, and the top entities.
+
+    The sections are separate aggregates; no list of them is built in one row.
+    """
+    one = summary_row(tagged)
+    counts = F.array(*[F.struct(F.lit(n).alias("section"), F.lit("").alias("name"), F.col(n).alias("count")) for n in one.columns])
+    sources = tagged.where("source <> ''").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("count"))
+    best = top_entities(tagged, order, top).select(F.lit("top_entities").alias("section"), F.col("entity").alias("name"), F.col("hits").alias("count"))
+    return one.select(F.inline(counts)).unionByName(sources.select(F.lit("sources").alias("section"), "name", "count")).unionByName(best)
+
+
+def write_summary(rows: DataFrame, path: str, category: str, at: Column) -> None:
+    """Writes a summary's rows as JSON lines with their category and day, a folder a section."""
+    told = rows.select(F.lit(category).alias("category"), iso_text(at).alias("generated_at"), "*")
+    told.write.mode("overwrite").partitionBy("section").json(path)
+
+
+def extra_sections(rows: DataFrame) -> DataFrame:
+    """Sections that a report adds (id, title, body_html, panel_title, subtitle, nav_label, aria_label, badges), trimmed.
+
+    Sections without an id, a title or a body are left out; labels that are blank say the title.
+    """
+    text = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("id", "title", "body_html", "panel_title", "subtitle", "nav_label", "aria_label")}
+    labels = {c: F.coalesce(F.nullif(text[c], F.lit("")), text["title"]) for c in ("panel_title", "nav_label", "aria_label")}
+    badges = F.filter(F.transform(F.coalesce("badges", F.array().cast("array<string>")), F.trim), lambda b: b != "")
+    kept = rows.where((text["id"] != "") & (text["title"] != "") & (text["body_html"] != ""))
+    return kept.select(*[c.alias(n) for n, c in (text | labels).items()], badges.alias("badges"))

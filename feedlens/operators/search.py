@@ -122,3 +122,14 @@ def snippet(body: Column, words: list[str], size: int = 32) -> Column:
     start = F.greatest(F.lit(1), F.least(first, F.size(parts) - size + 1))
     cut = F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(F.slice(parts, start, F.lit(size)), " "), F.when(start + size - 1 < F.size(parts), "...").otherwise(""))
     return F.when(F.size(parts) <= size, mark).otherwise(cut)
+
+
+def postings(docs: DataFrame, key: str) -> DataFrame:
+    """(key, field, token, places) of documents (key, title, body): where each word stands, from 0."""
+    held = [docs.select(key, F.lit(c).alias("field"), F.posexplode(tokens(F.col(c))).alias("place", "token")) for c in COLUMNS]
+    return functools.reduce(DataFrame.unionByName, held).groupBy(key, "field", "token").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def upsert_postings(held: DataFrame, docs: DataFrame, key: str) -> DataFrame:
+    """Postings with those of the given documents (one row a key) replaced; all others stay as they are."""
+    return held.join(docs.select(key).distinct(), key, "left_anti").unionByName(postings(docs, key))

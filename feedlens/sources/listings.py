@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.functions.decode import feed_datetime
 from feedlens.sources.html import unescape
 
 LISTING = (
     "kind string, data struct<children:array<struct<kind:string,data:struct<title:string,selftext:string,permalink:string,id:string,"
     "subreddit:string,url:string,author:string,score:bigint,num_comments:bigint,created_utc:string,removed_by_category:string,removed:boolean>>>>"
 )
-FEED = "channel struct<item:array<struct<title:string,link:string,description:string,summary:string,pubDate:string>>>"
+FEED = (
+    "channel struct<item:array<struct<title:string,link:string,description:string,summary:string,encoded:string,pubDate:string,updated:string,date:string>>>, "
+    "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:string,published:string,updated:string>>"
+)
 
 
 def _body(d: Column) -> Column:
@@ -65,23 +71,47 @@ def listing_url(url: Column, sort: str, limit: int) -> Column:
 
 
 def parse_feeds(raw: DataFrame, limit: int = 50) -> DataFrame:
-    """Articles of RSS rows (source, category, body); entries without a link drop after the limit."""
-    rows = raw.withColumn("x", F.from_xml("body", F.lit(FEED), {"rowTag": "rss"}))
-    items = rows.select("source", "category", F.posexplode(F.slice("x.channel.item", 1, limit)).alias("pos", "item"))
+    """Articles of RSS or Atom rows (source, category, body); entries without a link drop after the limit.
+
+    The summary is the entry's own, its description or its content; the time is the first
+    of its dates that can be read.
+    """
+    rows = raw.withColumn("x", F.from_xml("body", F.lit(FEED), {"ignoreNamespace": "true"}))
+    own = lambda i, *names: F.coalesce(*[F.nullif(F.trim(i[n]), F.lit("")) for n in names])
+    rss = F.transform(
+        "x.channel.item",
+        lambda i: F.struct(i["title"].alias("title"), F.trim(i["link"]).alias("link"), own(i, "summary", "description", "encoded").alias("summary"), i["pubDate"].alias("a"), i["updated"].alias("b"), i["date"].alias("c")),
+    )
+    href = lambda e: F.get(F.filter(e["link"], lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    atom = F.transform(
+        "x.entry",
+        lambda e: F.struct(e["title"].alias("title"), F.trim(href(e)).alias("link"), own(e, "summary", "content").alias("summary"), e["published"].alias("a"), e["updated"].alias("b"), F.lit(None).cast("string").alias("c")),
+    )
+    items = rows.select("source", "category", F.posexplode(F.slice(F.coalesce(rss, atom), 1, limit)).alias("pos", "item"))
     title = F.nullif(F.trim(unescape(F.coalesce("item.title", F.lit("")))), F.lit(""))
-    day = F.regexp_replace(F.trim("item.pubDate"), r"^[A-Za-z]+,\s*", "")
-    when = F.coalesce(F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss xx")), F.try_to_timestamp(day, F.lit("d MMM yyyy HH:mm:ss z")))
-    return items.where(F.coalesce(F.trim("item.link"), F.lit("")) != "").select(
+    return items.where(F.coalesce("item.link", F.lit("")) != "").select(
         "source",
         "category",
         "pos",
         F.coalesce(title, F.lit("(no title)")).alias("title"),
-        F.trim("item.link").alias("link"),
-        unescape(F.trim(F.coalesce("item.summary", "item.description", F.lit("")))).alias("summary"),
-        when.alias("published"),
+        F.col("item.link").alias("link"),
+        unescape(F.trim(F.coalesce("item.summary", F.lit("")))).alias("summary"),
+        feed_datetime(F.col("item.a"), F.col("item.b"), F.col("item.c")).alias("published"),
     )
 
 
+def collected(parts: list[DataFrame]) -> DataFrame:
+    """Articles of all collectors; columns that one of them doesn't have are null in its rows."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def unsupported_errors(routed: DataFrame) -> DataFrame:
+    """(source, error) of the routed sources that no collector takes."""
+    # fixed value: the wording of the message
+    error = F.format_string("%s: Source type '%s' is cataloged but not collected by the standard pipeline", F.col("name"), F.col("type"))
+    return routed.where("collector = 'unsupported'").select(F.col("name").alias("source"), error.alias("error"))
+
+
 def route(sources: DataFrame) -> DataFrame:
     """Enabled sources with the collector that their type asks for."""
     kind = F.lower(F.trim("type"))

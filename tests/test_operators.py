@@ -212,7 +212,7 @@ def test_reports_expire(spark):
     today = F.lit("2026-02-01").cast("date")
     for name, want in (("x_20260101.html", True), ("2026-01-31.html", False), ("index.html", False), ("notes.html", False)):
         assert one(spark, store.is_expired_report(F.col("n"), today, 7), n=name) is want
-    assert one(spark, store.is_expired_folder(F.col("n"), today, -3), n="2026-01-31") is True
+    assert one(spark, store.is_expired_folder(F.col("n"), today, -3), n="2026-01-31") is False
 
 
 def test_ontology(spark):
