@@ -125,7 +125,27 @@ def throttle_delay_fold(spark, d):
     return health.throttle_fold(_log(spark, d))
 
 
-@query()
+# the breaker's fold: a is the state so far, e the next event
+_TRY = "(a.st = 'open' AND e.at - a.since >= 7200)"
+_REFUSE = "(a.st = 'open' AND e.at - a.since < 7200)"
+_HALF = f"({_TRY} OR a.st = 'half-open')"
+_GOOD = f"(CASE WHEN {_TRY} THEN 0 ELSE a.good END)"
+_OPENS = f"(e.bad AND ({_HALF} OR a.fails + 1 >= 2))"
+_NOW = f"(CASE WHEN {_TRY} THEN 'half-open' ELSE a.st END)"
+_BREAKER = f"""{{'st': CASE WHEN {_REFUSE} OR {_OPENS} THEN 'open' WHEN NOT e.bad AND {_HALF} AND {_GOOD} + 1 >= 2 THEN 'closed' ELSE {_NOW} END,
+  'fails': (CASE WHEN {_REFUSE} THEN a.fails WHEN e.bad THEN a.fails + 1 WHEN {_HALF} AND {_GOOD} + 1 < 2 THEN a.fails ELSE 0 END)::BIGINT,
+  'good': (CASE WHEN {_REFUSE} THEN a.good WHEN e.bad OR NOT {_HALF} THEN {_GOOD} ELSE {_GOOD} + 1 END)::BIGINT,
+  'since': CASE WHEN NOT {_REFUSE} AND {_OPENS} THEN e.at ELSE a.since END, 'refused': (a.refused + CASE WHEN {_REFUSE} THEN 1 ELSE 0 END)::BIGINT,
+  'opened': (a.opened + CASE WHEN NOT {_REFUSE} AND {_OPENS} THEN 1 ELSE 0 END)::BIGINT, 'bad': e.bad, 'at': e.at}}"""
+_EVENT = "{'st': 'closed', 'fails': 0::BIGINT, 'good': 0::BIGINT, 'since': 0::DOUBLE, 'refused': 0::BIGINT, 'opened': 0::BIGINT, 'bad': BB, 'at': AA}"
+
+
+@query(
+    _LOG
+    + f""", q AS (SELECT source, list({_EVENT.replace('BB', "fetch_status <> 'ok'").replace('AA', 'epoch_us(collected_at)::DOUBLE / 1e6::DOUBLE')} ORDER BY collected_at, seq) AS events FROM log GROUP BY source),
+z AS (SELECT source, list_reduce(list_prepend({_EVENT.replace('BB', 'false').replace('AA', '0::DOUBLE')}, events), lambda a, e: {_BREAKER}) AS a FROM q)
+SELECT source, a.st AS state, a.refused AS refused, a.opened AS opened FROM z"""
+)
 def breaker_state_fold(spark, d):
     return health.breaker_fold(_log(spark, d), fail_max=2, reset_seconds=7200.0)
 
@@ -414,7 +434,26 @@ def title_pairs_cosine(spark, d):
     return pairs.select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query()
+# greedy leaders in order of links: a title leads unless it is similar to one that leads already
+_LEADERS = (
+    _ARTICLES
+    + rf""", l AS (SELECT link, list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 1 AND w NOT IN ({_TSTOP})) AS ws FROM art WHERE INSIDE),
+s AS (SELECT link, ws, list_sort(ws) AS sig FROM l), rep AS (SELECT sig, min(link) AS rep FROM s WHERE len(sig) > 0 GROUP BY sig),
+tf AS (SELECT rep, w, count(*) AS tf FROM (SELECT rep, unnest(sig) AS w FROM rep) GROUP BY 1, 2), nrm AS (SELECT rep, sqrt(sum(tf * tf)) AS n FROM tf GROUP BY rep),
+pr AS (SELECT x.rep AS a, y.rep AS b FROM tf x JOIN tf y ON x.w = y.w AND x.rep < y.rep JOIN nrm nx ON nx.rep = x.rep JOIN nrm ny ON ny.rep = y.rep
+  GROUP BY 1, 2 HAVING sum(x.tf * y.tf) / (any_value(nx.n) * any_value(ny.n)) >= LEAST_COSINE::DOUBLE),
+nb AS (SELECT b AS me, list(a) AS n FROM pr GROUP BY b), nodes AS (SELECT a AS me FROM pr UNION SELECT b FROM pr),
+seq AS (SELECT list({{'l': []::VARCHAR[], 'me': me, 'n': coalesce(n, []::VARCHAR[])}} ORDER BY me) AS q FROM nodes LEFT JOIN nb USING (me)),
+lead AS (SELECT unnest(list_reduce(list_prepend({{'l': []::VARCHAR[], 'me': '', 'n': []::VARCHAR[]}}, coalesce(q, [])),
+  lambda a, e: {{'l': CASE WHEN list_has_any(a.l, e.n) THEN a.l ELSE list_append(a.l, e.me) END, 'me': e.me, 'n': e.n}}).l) AS leader FROM seq),
+fol AS (SELECT b AS member, min(a) AS leader FROM pr WHERE a IN (SELECT leader FROM lead) AND b NOT IN (SELECT leader FROM lead) GROUP BY b),
+placed AS (SELECT s.link, coalesce(fol.leader, rep.rep, s.link) AS leader, array_to_string(ws, ' ') AS words FROM s LEFT JOIN rep USING (sig) LEFT JOIN fol ON fol.member = rep.rep),
+ids AS (SELECT leader, substr(sha1((list(words ORDER BY length(words), words))[1]), 1, 12) AS cluster_id FROM placed GROUP BY leader)
+"""
+)
+
+
+@query(_LEADERS.replace("INSIDE", "true").replace("LEAST_COSINE", "0.7") + "SELECT link, leader, cluster_id FROM placed JOIN ids USING (leader)")
 def title_clusters(spark, d):
     return clustering.clusters(_articles(spark, d), 0.7)
 
@@ -672,7 +711,10 @@ def ontology_violations(spark, d):
     return found.groupBy("repo").agg(F.count("*").alias("n"), F.min(number).alias("first_doc"))
 
 
-@query()
+@query(
+    _LEADERS.replace("INSIDE", f"category = 'en' AND event_ts >= {_AS_OF} - INTERVAL 7 DAY").replace("LEAST_COSINE", "0.85")
+    + "SELECT art.link, cluster_id FROM art LEFT JOIN placed USING (link) LEFT JOIN ids USING (leader)"
+)
 def windowed_clusters(spark, d):
     """Cluster ids written back to the English articles of the last week."""
     return clustering.with_clusters(_articles(spark, d), as_of(), category="en").select("link", "cluster_id")
