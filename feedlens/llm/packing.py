@@ -36,6 +36,38 @@ _CACHED_WORDS = 150_000
 _SLICE = 1 << 20
 
 
+def laid(store: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of a store that begin at ``first``, end to end."""
+    after = np.cumsum(size)
+    total = after[-1] if len(after) else 0
+    return store[np.arange(total) + np.repeat(first - (after - size), size)]
+
+
+class WordIds:
+    """Ids of words by the words' 64-bit hashes, in order of the hashes."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, dtype=np.uint64)
+        self.first = self.size = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(0, dtype="<u4")
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hashes, and whether they are held."""
+        at = np.searchsorted(self.hashes, hashes)
+        held = np.zeros(len(hashes), dtype=bool)
+        inside = at < len(self.hashes)
+        held[inside] = self.hashes[at[inside]] == hashes[inside]
+        return at, held
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Adds ascending hashes that aren't held, with their words' ids end to end."""
+        at = np.searchsorted(self.hashes, hashes)
+        self.first = np.insert(self.first, at, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, at, size)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.ids = np.concatenate((self.ids, ids))
+
+
 class WordTokenizer:
     """Ids of whole texts as the ``tokenizers`` model gives them, mostly from remembered words.
 
@@ -78,29 +110,32 @@ class WordTokenizer:
         kinds = [self._SPACE if chr(i).isspace() else {"L": self._LETTER, "N": self._NUMBER}.get(unicodedata.category(chr(i))[0], self._OTHER) for i in range(0x20AD)]
         self.kinds = np.array(kinds, dtype=np.uint8)
         self.weights = mix64(np.arange(1, 0x20AE, dtype=np.uint64))
-        self.younger: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.younger, self.older = WordIds(), WordIds()
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of new words, and the ids end to end."""
         ids = np.array(self.ranks.encode_ordinary(self._END.join(words) + self._END), dtype="<u4")
         cut = np.flatnonzero(self.ends[ids]) + 1
-        first = 0
-        raw = ids.tobytes()
-        for word, last in zip(words, cut.tolist(), strict=True):
-            self.younger[word] = raw[4 * first : 4 * last]
-            first = last
-
-    def _recall(self, words: list[str]) -> list[bytes]:
-        """The ids of distinct words."""
-        if len(self.younger) > _CACHED_WORDS:
-            self.younger, self.older = {}, self.younger
-        lacking = [w for w in words if w not in self.younger]
-        if lacking:
-            self.younger.update((w, self.older[w]) for w in lacking if w in self.older)
-            new = [w for w in lacking if w not in self.older]
-            if new:
-                self._learn(new)
-        return [self.younger[w] for w in words]
+        if len(cut) != len(words):
+            raise ValueError("the model's words differ from those of the text")
+        return np.diff(cut, prepend=0), ids
+
+    def _recall(self, whole: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Places in the younger memory of the words with these ascending hashes; each stands in ``whole``."""
+        if len(self.younger.hashes) > _CACHED_WORDS:
+            self.younger, self.older = WordIds(), self.younger
+        at, held = self.younger.find(hashes)
+        lacking = np.flatnonzero(~held)
+        if len(lacking):
+            place, kept = self.older.find(hashes[lacking])
+            place, again, new = place[kept], lacking[kept], lacking[~kept]
+            size = self.older.size[place]
+            self.younger.add(hashes[again], size, laid(self.older.ids, self.older.first[place], size))
+            if len(new):
+                words = [whole[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
+                self.younger.add(hashes[new], *self._encode(words))
+            at, _ = self.younger.find(hashes)
+        return at
 
     def _bounds(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the words among lower-case characters; the last two characters must be spaces."""
@@ -129,16 +164,13 @@ class WordTokenizer:
         up, down = powers(len(points) + 1)
         prefix = np.zeros(len(points) + 1, dtype=np.uint64)
         np.cumsum(self.weights[points] * up[: len(points)], out=prefix[1:])
-        # of one hash and length, words of a batch are the same
+        # words of one hash are the same
         hashes = mix64((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        found = self._recall([whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        store = np.frombuffer(b"".join(found), dtype="<u4")
-        offsets = np.cumsum(sizes) - sizes
-        own = sizes[which]
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = self._recall(whole, distinct, starts[first], ends[first])
+        own = self.younger.size[at][which]
+        ids = laid(self.younger.ids, self.younger.first[at][which], own)
         after = np.cumsum(own)
-        ids = store[np.arange(after[-1] if len(after) else 0) + np.repeat(offsets[which] - (after - own), own)]
         cut = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in pieces])[:-1])
         return np.split(ids, np.concatenate(([0], after))[cut])
 
