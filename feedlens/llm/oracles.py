@@ -100,9 +100,97 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
 """
 
+
+
+def _edit_rows() -> str:
+    """From each state by each symbol: goal, cost, initials, inserted lines and the role given (null: the own one; empty: none)."""
+    answers = {0: (2, "user"), 1: (2, "user"), 2: (3, "assistant"), 3: (2, "user")}
+    rows = []
+    for symbol in "suaoSUAOx":
+        for origin in range(4):
+            for inserted in range(3):
+                state, lines = origin, ""
+                for _ in range(inserted):
+                    state, role = answers[state]
+                    lines += f"|{role}:"
+                head = f"{origin}, '{symbol}'"
+                rows.append(f"({head}, {state}, {2 * inserted + 3}, '{'I' * inserted}D', '{lines}', '')")
+                if symbol == "x":
+                    continue
+                late = int(symbol in "SUAO")
+                goal, role = answers[state]
+                rows.append(f"({head}, {goal}, {2 * inserted + 2 + late}, '{'I' * inserted}R', '{lines}', '{role}')")
+                kind = symbol.lower()
+                if kind == role[0] or (kind == "s" and state == 0):
+                    rows.append(f"({head}, {1 if kind == 's' else goal}, {2 * inserted + late}, '{'I' * inserted}K', '{lines}', NULL)")
+    return ", ".join(rows)
+
+
+OP11 = rf"""
+WITH RECURSIVE g(n, k, c) AS (
+  SELECT n, 0, n FROM range(256) t(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM g WHERE k < 8
+),
+crc AS (SELECT list(c ORDER BY n) AS t FROM g WHERE k = 8),
+known AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+o AS (
+  SELECT c, turn::BIGINT AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20 AS kind
+  FROM conversations JOIN known USING (conv_id) CROSS JOIN crc
+  UNION ALL
+  SELECT c, turn::BIGINT, coalesce(role, ' '), coalesce(text, ' '),
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(' :' || coalesce(turn::VARCHAR, ' '), ''), lambda x: unicode(x)::BIGINT)),
+      lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 20
+  FROM conversations JOIN known ON conversations.conv_id IS NULL AND known.conv_id IS NULL CROSS JOIN crc
+),
+d AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM o, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'none' END AS fault,
+    lag(role[1]) OVER (PARTITION BY c ORDER BY i) || role[1] AS two
+  FROM n
+),
+s AS (
+  SELECT c, i, role, text, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN fault = 'truncated' THEN upper(CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END)
+    WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS symbol
+  FROM f
+),
+e(origin, symbol, goal, cost, initials, lines, given) AS (VALUES {_edit_rows()}),
+w(c, i, state, way) AS (
+  SELECT DISTINCT c, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'said': ''}} FROM d
+  UNION ALL
+  SELECT w.c, s.i, e.goal, min({{'cost': way.cost + e.cost, 'audit': way.audit || e.initials,
+    'said': way.said || replace(e.lines, '|', chr(10)) || CASE WHEN e.given = '' THEN '' ELSE chr(10) || coalesce(e.given, s.role) || ':' || s.text END}})
+  FROM w JOIN s ON s.c = w.c AND s.i = w.i + 1 JOIN e ON e.origin = w.state AND e.symbol = s.symbol
+  GROUP BY w.c, s.i, e.goal
+),
+z AS (
+  SELECT c, min({{'cost': way.cost + CASE state WHEN 1 THEN 4 WHEN 2 THEN 2 ELSE 0 END, 'audit': way.audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'said': way.said || CASE state WHEN 1 THEN chr(10) || 'user:' || chr(10) || 'assistant:' WHEN 2 THEN chr(10) || 'assistant:' ELSE '' END}}) AS way
+  FROM w JOIN (SELECT c, max(i) AS i FROM n GROUP BY c) USING (c, i) GROUP BY c
+),
+a AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(way.cost, 0)::BIGINT AS cost,
+  coalesce(way.audit, '') AS audit, sha256(coalesce(substr(way.said, 2), '')) AS repaired_sha256
+FROM known LEFT JOIN a USING (c) LEFT JOIN z USING (c)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_licenses": OP2,
     "op5_near_duplicates": OP5,
     "op6_decontamination": OP6,
     "op7_secrets": OP7,
+    "op11_structure_repair": OP11,
 }

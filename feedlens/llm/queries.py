@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, secretscan, urltree
+from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, secretscan, structure, urltree
 from feedlens.llm.shared import written
 
 
@@ -82,6 +82,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return structure.report(turns, structure.repair(structure.damage(turns)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -95,5 +100,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat,
         op9_passages,
         op10_packing,
+        op11_structure_repair,
     )
 }

@@ -63,6 +63,7 @@ def no_null_ids(folder: str, spark, tmp_path_factory) -> str:
     out = str(tmp_path_factory.mktemp("known"))
     spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null").dropDuplicates(["doc_id", "text"]).write.parquet(f"{out}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").drop("doc_id").write.parquet(f"{out}/benchmark.parquet")
+    spark.read.parquet(f"{folder}/conversations.parquet").write.parquet(f"{out}/conversations.parquet")
     return out
 
 
