@@ -150,9 +150,11 @@ d AS (
 ),
 n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
 f AS (
-  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank'
     WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
-    WHEN NOT regexp_matches(text, '[.!?][ 	-]*\z') THEN 'truncated' ELSE 'none' END AS fault,
+    WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 'truncated' ELSE 'none' END AS fault,
     lag(role[1]) OVER (PARTITION BY c ORDER BY i) || role[1] AS two
   FROM n
 ),
@@ -187,10 +189,32 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
 FROM known LEFT JOIN a USING (c) LEFT JOIN z USING (c)
 """
 
+
+def _terms(table: str) -> str:
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT *, row_number() OVER () AS r, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM {table} WHERE text IS NOT NULL"
+
+
+OP12 = rf"""
+WITH d AS ({_terms("documents")}), i AS ({_terms("benchmark")}),
+c AS (SELECT count(*)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+p AS (SELECT r, word, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY r, word),
+q AS (SELECT r AS q, word, count(*)::BIGINT AS times FROM (SELECT r, unnest(w) AS word FROM i) GROUP BY r, word),
+f AS (SELECT word, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight FROM p CROSS JOIN c GROUP BY word),
+m AS (SELECT r, doc_id, 100 - 75 + (75 * len(w) * nn) // ll AS m FROM d CROSS JOIN c WHERE len(w) > 0),
+s AS (
+  SELECT q, r, m.doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN p USING (word) JOIN f USING (word) JOIN m USING (r) GROUP BY q, r, m.doc_id
+),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN i ON i.r = k.q WHERE rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_licenses": OP2,
     "op5_near_duplicates": OP5,
     "op6_decontamination": OP6,
     "op7_secrets": OP7,
     "op11_structure_repair": OP11,
+    "op12_ranked_search": OP12,
 }

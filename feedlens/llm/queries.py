@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, secretscan, structure, urltree
+from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, ranked, secretscan, structure, urltree
 from feedlens.llm.shared import written
 
 
@@ -87,6 +87,12 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.report(turns, structure.repair(structure.damage(turns)))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    totals = ranked.corpus(docs)
+    return ranked.search(ranked.index(docs, totals), totals, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_passages,
         op10_packing,
         op11_structure_repair,
+        op12_ranked_search,
     )
 }

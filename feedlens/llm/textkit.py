@@ -102,6 +102,17 @@ class WordHasher:
             size += len(data) + 1
         yield from self._flush(held)
 
+    def counts(self, texts: list[str | None]) -> Iterator[int]:
+        """The number of words of each text, without their hashes."""
+        for text in texts:
+            data = (text or "").encode("utf-8", "surrogatepass")
+            total, before = 0, False
+            for at in range(0, len(data), CHUNK):
+                inside = self._is_word[np.frombuffer(data, dtype=np.uint8, count=min(CHUNK, len(data) - at), offset=at)]
+                total += int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(inside[0] and not before)
+                before = bool(inside[-1])
+            yield total
+
     def _flush(self, held: list[bytes]) -> Iterator[np.ndarray]:
         if not held:
             return
