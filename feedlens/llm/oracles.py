@@ -39,25 +39,32 @@ FROM d LEFT JOIN s USING (r)
 """
 
 
-def _shingles(table: str, key: str, pattern: str) -> str:
+def _shingles(table: str, key: str, pattern: str, k: int = 5) -> str:
     return rf"""
-  SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' ')) END) AS s
   FROM (SELECT {key}, regexp_extract_all({_LOWERED}, '{pattern}') AS w FROM {table})"""
 
 
-OP5 = rf"""
-WITH RECURSIVE s AS ({_shingles("documents", "doc_id", "[^\\x20\\x09-\\x0D]+").replace(chr(92) * 2, chr(92))}),
+def _linked(k: int) -> str:
+    """Documents with their component: all pairs that share a shingle, counted, then followed to the end."""
+    return rf"""
+WITH RECURSIVE s AS ({_shingles("documents", "doc_id", "[^\\x20\\x09-\\x0D]+", k).replace(chr(92) * 2, chr(92))}),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
   JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
   GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
 ),
-c AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.doc_id)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(c.c) AS component_id, d.doc_id = min(c.c) AS kept
-FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
-"""
+c AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.doc_id),
+l AS (
+  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(c.c) AS component_id
+  FROM documents d JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id, n.n
+)"""
+
+
+OP5 = f"{_linked(5)} SELECT *, doc_id = component_id AS kept FROM l"
+OP13 = f"{_linked(4)} SELECT * FROM l"
 
 OP6 = rf"""
 WITH d AS ({_shingles("documents", "doc_id", _WORDS)}), i AS ({_shingles("benchmark", "item_id", _WORDS)}),
@@ -217,4 +224,5 @@ ORACLES: dict[str, str] = {
     "op7_secrets": OP7,
     "op11_structure_repair": OP11,
     "op12_ranked_search": OP12,
+    "op13_ngram_join": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, ranked, secretscan, structure, urltree
+from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, ranked, secretscan, setjoin, structure, urltree
 from feedlens.llm.shared import written
 
 
@@ -93,6 +93,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.search(ranked.index(docs, totals), totals, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(_documents(spark, sf_dir).select("doc_id", "text"), percent=85, k=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,5 +112,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_packing,
         op11_structure_repair,
         op12_ranked_search,
+        op13_ngram_join,
     )
 }
