@@ -32,7 +32,7 @@ COUNTERS_ROW = 1 << 16
 CHUNK_SETS = 512
 #: Class ids that a task remembers so as to list a class of copies once.
 SEEN = 1 << 18
-LEAST_BITS, MOST_BITS = 64, 1024
+LEAST_BITS, MOST_BITS = 64, 4096
 
 _SIGNED = "doc_id long, no_id boolean, rep long, n long, text_hash long, block int, counts binary"
 _LISTED = "item long, rep long, n long"
@@ -168,8 +168,8 @@ def _shared(starts: list[int]):
 
 
 def bit_width(n: int) -> int:
-    """Bits of a bitmap: half the set's size, so that unlike sets differ in more bits than linked ones can."""
-    return min(max(1 << max(0, (n // 2 - 1).bit_length()), LEAST_BITS), MOST_BITS)
+    """Bits of a bitmap: twice the set's size, so that few differences fall on one bit and half-alike sets are told apart, too."""
+    return min(max(1 << (2 * n - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
