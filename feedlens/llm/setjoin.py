@@ -10,7 +10,8 @@ above: each bit in which they differ is at least one item that only one of them
 What the bound lets pass is confirmed on the full sets.
 
 Equal sets are one class, and before tiles are compared the sets of one item and band
-meet the first of them: sets already connected need no further comparison.
+meet the first of them, and in further turns those of each tile meet some of them: sets already connected need no
+further comparison, so a group of near copies is not expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ COUNTERS = 1 << 20
 COUNTERS_ROW = 1 << 16
 #: Sets of a chunk of a crowded tile.
 CHUNK_SETS = 512
+#: Times that the sets of an item meet one of them before tiles are compared.
+MEETINGS = 3
+#: Sets of a tile that all others of other components meet in each turn but the first.
+HOSTS = 8
 #: Class ids that a task remembers so as to list a class of copies once.
 SEEN = 1 << 18
 LEAST_BITS, MOST_BITS = 64, 4096
@@ -235,6 +240,17 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return written(rows.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
 
 
+def meetings(listed: DataFrame, placed: DataFrame, starts: list[int], turn: int) -> DataFrame:
+    """Pairs of a set and those that it meets in this turn: of each tile with several components, HOSTS by the turn's hashes."""
+    band = _band(F.col("n"), starts)
+    rows = listed.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select("item", "rep", F.explode(F.array(band, band - 1)).alias("tile"), F.coalesce("component", "rep").alias("comp"))
+    hosts = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * HOSTS + i)).alias("hash"), "rep", "comp")).alias(f"host{i}") for i in range(HOSTS)]
+    mixed = rows.groupBy("item", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *hosts).where("lo < hi")
+    met = mixed.select("item", "tile", F.explode(F.array_distinct(F.array(*[f"host{i}" for i in range(HOSTS)]))).alias("host"))
+    pairs = rows.join(met.select("item", "tile", F.col("host.rep").alias("met"), F.col("host.comp").alias("met_comp")), ["item", "tile"])
+    return pairs.where("comp <> met_comp").select(F.least("rep", "met").alias("a"), F.greatest("rep", "met").alias("b")).distinct()
+
+
 def _compared(starts: list[int], percent: int):
     """Pairs of different components within each tile of sorted rows that their bitmaps allow to link."""
     edges = np.array(starts, dtype=np.int64)
@@ -325,6 +341,10 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, counters: int = COUNT
     star = written(listed.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "star")
     links = confirmed(star, held, percent)
     placed = components(links)
+    for turn in range(1, MEETINGS):
+        met = written(meetings(listed, placed, starts, turn).join(star, ["a", "b"], "left_anti"), "met")
+        star = star.union(met)
+        placed = components(placed.toDF("a", "b").union(confirmed(met, held, percent)))
     keys = ["item", "tile", "low", "high"]
     dealt = tiles(listed, placed, held, starts, chunk_sets).repartition(*keys).sortWithinPartitions(*keys, "n", "rep")
     pairs = dealt.mapInPandas(_compared(starts, percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
