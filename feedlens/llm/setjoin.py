@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.shared import components, with_key, without_key, written
@@ -35,12 +35,15 @@ CHUNK_SETS = 512
 MEETINGS = 3
 #: Sets of a tile that all others of other components meet in each turn but the first.
 HOSTS = 8
+#: Pairs that are sent whole to the tasks that read the sets, at most (16 bytes each).
+BROADCAST_PAIRS = 1 << 18
 #: Class ids that a task remembers so as to list a class of copies once.
 SEEN = 1 << 18
 LEAST_BITS, MOST_BITS = 64, 4096
 
 _SIGNED = "doc_id long, no_id boolean, rep long, n long, text_hash long, block int, counts binary"
 _LISTED = "item long, rep long, n long"
+_SHARED = f"{_LISTED}, band long, leader long"
 
 
 def bands(percent: int) -> list[int]:
@@ -54,16 +57,12 @@ def bands(percent: int) -> list[int]:
     return out
 
 
-def _band(n: Column, starts: list[int]) -> Column:
-    return F.size(F.filter(F.lit(starts), lambda x: x <= n)) - 1
-
-
 def _class(items: np.ndarray) -> int:
     return int(mix64(np.sum(mix64(items ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64, keepdims=True) + np.uint64(len(items))).view(np.int64)[0])
 
 
 def _slots(items: np.ndarray, counters: int) -> np.ndarray:
-    return (items >> np.uint64(20)).astype(np.int64) % counters
+    return ((items >> np.uint64(20)) % np.uint64(counters)).astype(np.int32)
 
 
 def signed(docs: DataFrame, k: int, counters: int = COUNTERS) -> DataFrame:
@@ -157,14 +156,14 @@ def _shared(starts: list[int]):
             item, rep, n = item[new], rep[new], n[new]
             same = item[1:] == item[:-1]
             kept = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            band = np.searchsorted(edges, n, side="right")
+            band = np.searchsorted(edges, n, side="right") - 1
             head = np.concatenate(([True], (~same) | (band[1:] != band[:-1])))
             first = rep[np.maximum.accumulate(np.where(head, np.arange(len(item)), 0))]
             if last is not None:
                 first[: np.flatnonzero(head)[1] if head.sum() > 1 else len(head)] = leader
                 if given:
                     kept[0] = False
-            yield pd.DataFrame({"item": item[kept], "rep": rep[kept], "n": n[kept], "leader": first[kept]})
+            yield pd.DataFrame({"item": item[kept], "rep": rep[kept], "n": n[kept], "band": band[kept], "leader": first[kept]})
             alone = len(item) == 1 and last is not None
             given = given if alone else bool(len(same) and same[-1])
             last, leader = (int(item[-1]), int(rep[-1]), int(n[-1])), int(first[-1])
@@ -231,22 +230,37 @@ def confirmed(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
                 kept[at] = may_link(a, b, n_a[at], n_b[at], percent)
             yield part.loc[kept, ["a", "b"]]
 
-    small = [held.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab"]
-    sized = pairs.join(small[0], "a").join(small[1], "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    left = written(sized.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInPandas(bound, "a long, b long"), "bounded")
-    whole = [held.select(F.col("rep").alias(c), F.col("items").alias(f"of_{c}")) for c in "ab"]
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    rows = left.join(whole[0], "a").join(whole[1], "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b") - both).alias("either"))
+    sized = _beside(pairs, held, "n", "bits").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    left = written(sized.mapInPandas(bound, "a long, b long"), "bounded")
+    both = F.size(F.array_intersect("items_a", "items_b"))
+    rows = _beside(left, held, "items").select("a", "b", both.alias("both"), (F.size("items_a") + F.size("items_b") - both).alias("either"))
     return written(rows.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"), "links")
 
 
-def meetings(listed: DataFrame, placed: DataFrame, starts: list[int], turn: int) -> DataFrame:
-    """Pairs of a set and those that it meets in this turn: of each tile with several components, HOSTS by the turn's hashes."""
-    band = _band(F.col("n"), starts)
-    rows = listed.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select("item", "rep", F.explode(F.array(band, band - 1)).alias("tile"), F.coalesce("component", "rep").alias("comp"))
+def _beside(pairs: DataFrame, held: DataFrame, *columns: str) -> DataFrame:
+    """Stored pairs (a, b) with the sets' columns of both.
+
+    Up to BROADCAST_PAIRS pairs are sent to the stored sets, so that only wanted sets are
+    shuffled; more pairs are joined by their keys.
+    """
+    few = F.broadcast if pairs.count() <= BROADCAST_PAIRS else lambda x: x
+    sets_of = {c: held.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns]) for c in "ab"}
+    left = sets_of["a"].join(few(pairs), "a")
+    return left.join(sets_of["b"].join(few(pairs.select("b").distinct()), "b"), "b")
+
+
+def mixed(rows: DataFrame, placed: DataFrame, *key: str) -> DataFrame:
+    """The rows (..., rep, n) of keys that hold several components, with theirs as comp, stored."""
+    rows = rows.join(placed.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    several = rows.groupBy(*key).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(*key)
+    return written(rows.join(several, list(key)), "mixed")
+
+
+def meetings(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a set and those that it meets in this turn: of each tile of mixed rows, HOSTS by the turn's hashes."""
     hosts = [F.min(F.struct(F.xxhash64("rep", F.lit(turn * HOSTS + i)).alias("hash"), "rep", "comp")).alias(f"host{i}") for i in range(HOSTS)]
-    mixed = rows.groupBy("item", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *hosts).where("lo < hi")
-    met = mixed.select("item", "tile", F.explode(F.array_distinct(F.array(*[f"host{i}" for i in range(HOSTS)]))).alias("host"))
+    found = rows.groupBy("item", "tile").agg(*hosts)
+    met = found.select("item", "tile", F.explode(F.array_distinct(F.array(*[f"host{i}" for i in range(HOSTS)]))).alias("host"))
     pairs = rows.join(met.select("item", "tile", F.col("host.rep").alias("met"), F.col("host.comp").alias("met_comp")), ["item", "tile"])
     return pairs.where("comp <> met_comp").select(F.least("rep", "met").alias("a"), F.greatest("rep", "met").alias("b")).distinct()
 
@@ -305,13 +319,9 @@ def _compared(starts: list[int], percent: int):
     return compare
 
 
-def tiles(listed: DataFrame, placed: DataFrame, held: DataFrame, starts: list[int], chunk_sets: int = CHUNK_SETS) -> DataFrame:
-    """Rows of tiles that hold several components, crowded ones dealt out as pairs of chunks."""
-    rows = listed.join(placed.withColumnRenamed("node", "rep"), "rep", "left").select("item", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    band = _band(F.col("n"), starts)
-    rows = rows.select("*", F.explode(F.array(band, band - 1)).alias("tile"))
-    mixed = rows.groupBy("item", "tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
-    chunks = mixed.select("item", "tile", F.ceil(F.col("rows") / chunk_sets).cast("int").alias("chunks"))
+def tiles(rows: DataFrame, held: DataFrame, chunk_sets: int = CHUNK_SETS) -> DataFrame:
+    """Mixed rows of tiles with their bitmaps, crowded tiles dealt out as pairs of chunks."""
+    chunks = rows.groupBy("item", "tile").agg(F.ceil(F.count("*") / chunk_sets).cast("int").alias("chunks"))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
     dealt = rows.join(chunks, ["item", "tile"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
@@ -334,19 +344,22 @@ def linked(docs: DataFrame, percent: int = 80, k: int = 5, counters: int = COUNT
     real = known.where("block is null and n > 0 and not no_id")
     named = docs.where(F.col("doc_id").isNotNull())
     rows = prefixes(named, level, percent, k).repartition("item").sortWithinPartitions("item", "n", "rep")
-    listed = written(rows.mapInPandas(_shared(starts), f"{_LISTED}, leader long"), "listed")
+    listed = written(rows.mapInPandas(_shared(starts), _SHARED), "listed")
     first = real.groupBy("rep").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
     wanted = listed.select("rep").distinct().join(first, "rep").select("rep", "row.doc_id", "row.text_hash")
     held = sets(named, wanted, k)
     star = written(listed.where("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct(), "star")
     links = confirmed(star, held, percent)
     placed = components(links)
+    rows = mixed(listed.select("item", "rep", "n", "band"), placed, "item").select("item", "rep", "n", F.explode(F.array("band", F.col("band") - 1)).alias("tile"))
+    rows = mixed(rows, placed, "item", "tile")
     for turn in range(1, MEETINGS):
-        met = written(meetings(listed, placed, starts, turn).join(star, ["a", "b"], "left_anti"), "met")
+        met = written(meetings(rows, turn).join(star, ["a", "b"], "left_anti"), "met")
         star = star.union(met)
         placed = components(placed.toDF("a", "b").union(confirmed(met, held, percent)))
+        rows = mixed(rows.drop("comp"), placed, "item", "tile")
     keys = ["item", "tile", "low", "high"]
-    dealt = tiles(listed, placed, held, starts, chunk_sets).repartition(*keys).sortWithinPartitions(*keys, "n", "rep")
+    dealt = tiles(rows, held, chunk_sets).repartition(*keys).sortWithinPartitions(*keys, "n", "rep")
     pairs = dealt.mapInPandas(_compared(starts, percent), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
     more = confirmed(written(pairs, "pairs"), held, percent)
     closed = components(placed.toDF("a", "b").union(more)).toDF("rep", "label")
