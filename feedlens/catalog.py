@@ -14,7 +14,9 @@ from feedlens.functions import text as texts
 from feedlens.functions import urls
 from feedlens.operators import articles as store
 from feedlens.operators import clustering, health, ontology, quality, reports, search, tagging
+from feedlens.operators import index as indexes
 from feedlens.plans.storage import shared_dir
+from feedlens.plans.versions import Versions
 from feedlens.sources import config, listings
 from feedlens.sources.adapters import align, as_of, doc_articles, fetch_log, page_articles, table
 from feedlens.sources.html import html_text, html_title, resolve_link
@@ -280,6 +282,20 @@ def page_link_targets(spark, d):
     return links.groupBy("page_id").agg(F.count(resolve_link(F.col("href"), F.col("url"))).alias("n_links"))
 
 
+@query(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1)) AS h, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS root, regexp_extract(url, '^([^?#]*)', 1) AS bare FROM pages),
+t AS (SELECT DISTINCT page_id, root, bare, substr(h, 2) AS tail FROM l WHERE regexp_matches(h, '^/[^/.?#]+$'))
+SELECT page_id, tail, root || '/' || tail AS absolute, root || '/x/' || tail AS up, regexp_replace(bare, '[^/]*$', '') || tail AS beside, bare || '?' || tail AS asked FROM t"""
+)
+def page_link_urls(spark, d):
+    """URLs of each page's links, and of references made of them: absolute, with dot segments, relative, a query."""
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a[^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
+    rows = links.where(F.col("href").rlike(r"^/[^/.?#]+$")).withColumn("tail", F.substring("href", 2, 1 << 20)).distinct()
+    made = {"absolute": F.col("href"), "up": F.concat(F.lit("/x/y/./z/../../"), "tail"), "beside": F.concat(F.lit("./"), "tail"), "asked": F.concat(F.lit("?"), "tail")}
+    return rows.select("page_id", "tail", *[resolve_link(c, F.col("url")).alias(n) for n, c in made.items()])
+
+
+
 @query("SELECT page_id, coalesce(regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+'), false) AS valid FROM pages")
 def url_validity(spark, d):
     return table(spark, d, "pages").select("page_id", urls.is_valid_url(F.col("url")).alias("valid"))
@@ -496,6 +512,36 @@ def search_phrase_not(spark, d):
     return _search(spark, d, wanted)
 
 
+def _index(spark: SparkSession, d: str) -> indexes.Index:
+    """An index of the documents in two segments; a tenth of the first one's bodies are out of date."""
+    docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
+    index = indexes.Index(f"{shared_dir(spark)}/indexes/{uuid.uuid4().hex}", "doc_id")
+    stale = F.when(F.col("doc_id") % 10 == 0, "license version general public apache").otherwise(F.col("body"))
+    index.add(docs.withColumn("body", stale))
+    index.add(docs.where("doc_id % 10 = 0"))
+    return index
+
+
+def _indexed(spark: SparkSession, d: str, match: search.Search) -> DataFrame:
+    return indexes.search(_index(spark, d), spark, match).withColumn("rank", F.round("rank", 6)).orderBy("rank", "doc_id")
+
+
+@query(_BM25.replace("QQ", "('license')").replace("KK", "1"))
+def indexed_single(spark, d):
+    return _indexed(spark, d, search.Term("license"))
+
+
+@query(_BM25.replace("QQ", "('license'), ('version')").replace("KK", "2"))
+def indexed_and(spark, d):
+    return _indexed(spark, d, search.All((search.Term("license"), search.Term("version"))))
+
+
+@query(_PHRASE)
+def indexed_phrase_not(spark, d):
+    """search_phrase_not over the stored index."""
+    return _indexed(spark, d, search.Any((search.Term("general public"), search.But(search.Term("apache"), search.Term("mit")))))
+
+
 @query()
 def search_snippet(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.lit("").alias("title"), F.col("text").alias("body"))
@@ -632,6 +678,49 @@ def ontology_enum_violations(spark, d):
     return bad.groupBy(F.col("v.value").alias("value")).agg(F.count("*").alias("n"))
 
 
+@query(
+    _ONTO
+    + """, v AS (SELECT doc_id, source, category, event_id, CASE WHEN source = 'src3' THEN 'xx' WHEN source = 'src6' THEN NULL ELSE category END AS c FROM o WHERE event_id = 'em.release')
+SELECT doc_id, CASE WHEN c IS NULL OR c IN ('en', 'de', 'fr') THEN CASE WHEN source = 'src3' THEN 'team three' WHEN source = 'src0' THEN 'team zero' END END AS owner,
+  CASE WHEN c IN ('en', 'de', 'fr') THEN c END AS category, CASE WHEN c NOT IN ('en', 'de', 'fr') THEN c END AS refused,
+  c IS NULL OR c IN ('en', 'de', 'fr') AS has_payload FROM v"""
+)
+def ontology_payload_overrides(spark, d):
+    """Payloads of releases, with overrides of some sources: replaced, completed, taken out, and refused values."""
+    articles = _annotated(spark, d)
+    over = [("src0", {"owner": " team zero "}), ("src3", {"owner": "team three", "category": "xx"}), ("src6", {"category": None}), ("src1", {"owner": "nobody"})]
+    found = ontology.payloads(articles, CONTRACT, articles.select("source").where("false"), spark.createDataFrame(over, f"source string, overrides {ontology.OVERRIDES}"))
+    paid = F.col("event_model_payload")
+    return found.where(F.col("ontology")["event_model_id"] == "em.release").select(
+        "doc_id", F.try_element_at(paid, F.lit("owner")).alias("owner"), F.try_element_at(paid, F.lit("category")).alias("category"), F.col("violation.value").alias("refused"), paid.isNotNull().alias("has_payload")
+    )
+
+
+@query(_ONTO + "SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN '2' ELSE '1' END AS ontology_version, count(*) OVER () AS scanned FROM o")
+def ontology_backfill_stored(spark, d):
+    """A stored table after a backfill that changes some ontologies and rewrites their buckets only."""
+    articles = _annotated(spark, d).select("doc_id", "title", "ontology")
+    held = Versions(f"{shared_dir(spark)}/articles/{uuid.uuid4().hex}", "doc_id", 16)
+    held.replace(articles)
+    newer = F.map_concat(F.map_filter("ontology", lambda k, _: k != "ontology_version"), F.create_map(F.lit("ontology_version"), F.lit("2")))
+    new = articles.withColumn("ontology", F.when(F.col("doc_id") % 50 == 0, newer).otherwise(F.col("ontology")))
+    changed, counters = ontology.backfill(held.read(spark), new, "doc_id")
+    ontology.stored_backfill(held, changed)
+    rows = held.read(spark).select("doc_id", F.col("ontology")["ontology_version"].alias("ontology_version"))
+    return rows.crossJoin(F.broadcast(counters.select("scanned")))
+
+
+@query(_ARTICLES + "SELECT link, CASE WHEN doc_id % 9 = 0 THEN 'renewed' ELSE title END AS title, CASE WHEN doc_id % 9 = 0 AND doc_id % 2 = 0 THEN 'other' ELSE source END AS source FROM art WHERE doc_id % 2 = 1 OR doc_id % 9 = 0")
+def store_versions(spark, d):
+    """A versioned store after a merge: stored rows keep their source, others come in with the batch's."""
+    articles = _articles(spark, d).withColumn("seq", F.col("doc_id"))
+    held = Versions(f"{shared_dir(spark)}/articles/{uuid.uuid4().hex}", "link", 16)
+    held.replace(store.upsert(None, articles.where("doc_id % 2 = 1").select("link", "title", "source", "seq")))
+    batch = articles.where("doc_id % 9 = 0").select("link", F.lit("renewed").alias("title"), F.lit("other").alias("source"), "seq")
+    store.merge_stored(held, batch)
+    return held.read(spark).select("link", "title", "source")
+
+
 @query(_ONTO + "SELECT 'event_model_payload missing required field ''owner'' for ''em.release''' AS error, count(*) AS n FROM o WHERE event_id = 'em.release' HAVING count(*) > 0")
 def ontology_validate(spark, d):
     articles = _annotated(spark, d)

@@ -8,6 +8,8 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.plans.versions import Versions
+
 #: Of a conflicting link, the stored row keeps these.
 FIRST_WINS = ("category", "source", "cluster_id")
 LINEAGE = {
@@ -43,6 +45,18 @@ def require_links(staged: DataFrame, key: str = "link") -> DataFrame:
     return staged.withColumn(key, checked)
 
 
+def merge_stored(table: Versions, staged: DataFrame, seq: str = "seq") -> int | None:
+    """Merges staged rows into a stored table as one new version; a row without a key fails the batch, and the old version stays.
+
+    Only buckets with a staged key are read and rewritten.
+    """
+
+    def merged(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        return upsert(None if old is None else old.drop("bucket"), rows, table.key, seq)
+
+    return table.change(require_links(staged, table.key), merged)
+
+
 def recent(articles: DataFrame, as_of: Column, days: int, limit: int, category: str | None = None, ts: str = "event_ts", tie: str = "link") -> DataFrame:
     """The newest articles of the last days (a top-k, no full sort)."""
     rows = articles.where(F.col(ts) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
@@ -104,7 +118,7 @@ def stamped(articles: DataFrame, at: Column, run_id: str | None = None, version:
     return rows.withColumn("fetched_at", at.cast("timestamp_ntz") if told else F.lit(None).cast("timestamp_ntz"))
 
 
-def make_run_id(at: datetime, prefix: str = "radar", run: str | None = None) -> str:
+def make_run_id(at: datetime, prefix: str, run: str | None = None) -> str:
     """The id of a scheduler's run where there is one, else one of the time (UTC) and a random part."""
     return f"{prefix}-gh-{run}" if run else f"{prefix}-{at:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
 

@@ -9,6 +9,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.plans.versions import Versions
+
 Contract = dict[str, Any]
 
 
@@ -35,8 +37,10 @@ def _drop_empty(entries: dict[str, Column]) -> Column:
     return F.map_filter(whole, lambda _, v: v.isNotNull() & (v != ""))
 
 
-def annotate(articles: DataFrame, contract: Contract, sources: DataFrame, default_event: str | None = None) -> DataFrame:
-    """Adds ontology (map) by the article's source; sources (name, event_model, role) is a small dimension.
+def annotate(articles: DataFrame, contract: Contract, sources: DataFrame, default_event: str | None = None, repo: str | None = None) -> DataFrame:
+    """Adds ontology (map) and evidence_policy_ids by the article's source; sources (name, event_model, role) is a small dimension.
+
+    ``repo`` is the caller's name, else the contract's; a source's role is mapped by its own name, else by its role.
 
     Articles of sources without an event model take ``default_event`` where it is given,
     and are marked in used_default.
@@ -49,14 +53,15 @@ def annotate(articles: DataFrame, contract: Contract, sources: DataFrame, defaul
         lacking = F.coalesce(F.trim("_event"), F.lit("")) == ""
         rows = rows.withColumn("used_default", lacking).withColumn("_event", F.when(F.col("used_default"), default_event).otherwise(F.col("_event")))
     entries = {
-        "repo": F.lit(contract.get("repo", "")),
+        "repo": F.lit(repo or contract.get("repo", "")),
         "category": F.lit(contract.get("category", "")),
         "ontology_version": F.lit(contract.get("ontology_version", "")),
         "source_event_model": F.col("_event"),
-        "source_role_id": _lookup(contract.get("source_role_mappings", {}), F.col("_role")),
+        "source_role_id": F.coalesce(*[_lookup(contract.get("source_role_mappings", {}), c) for c in (F.trim("source"), F.col("_role"))]),
         "event_model_id": _lookup(contract.get("event_model_mappings", {}), F.col("_event")),
     }
-    return rows.withColumn("ontology", _drop_empty(entries)).drop("_name", "_event", "_role")
+    evidence = F.array(*[F.lit(x) for x in contract.get("evidence_policy_ids") or []]).cast("array<string>")
+    return rows.withColumn("ontology", _drop_empty(entries)).withColumn("evidence_policy_ids", evidence).drop("_name", "_event", "_role")
 
 
 def payload(spec: dict[str, Any], columns: list[str], overrides: dict[str, str | None] | None = None) -> Column:
@@ -69,6 +74,41 @@ def payload(spec: dict[str, Any], columns: list[str], overrides: dict[str, str |
     return _drop_empty(entries)
 
 
+OVERRIDES = "map<string,string>"
+
+
+def payloads(articles: DataFrame, contract: Contract, sources: DataFrame, explicit: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Annotated articles with event_model_payload (map) and violation (struct of field, value, allowed).
+
+    Overrides (source, overrides: a map) come from ``explicit`` where it is given, even if it
+    names no source, else from ``sources`` (name, overrides).  They replace or complete the
+    article's own fields; an override that is null or empty takes the field out.  Only articles with
+    a contracted event model have a payload.  A value outside its vocabulary leaves no payload but a
+    violation, and fails the write if ``strict``.  The dimension is joined by source; the
+    optimizer broadcasts it if its size allows.
+    """
+    given = sources.select(F.col("name").alias("source"), "overrides") if explicit is None else explicit.select("source", "overrides")
+    dim = given.select(F.trim("source").alias("_name"), F.col("overrides").cast(OVERRIDES).alias("_over")).where("_over is not null")
+    rows = articles.join(dim, F.trim("source") == F.col("_name"), "left")
+    event, over = F.try_element_at("ontology", F.lit("source_event_model")), F.coalesce("_over", F.create_map().cast(OVERRIDES))
+    found, wrong = F.lit(None).cast(OVERRIDES), F.lit(None).cast("struct<field:string,value:string,allowed:array<string>>")
+    for key in contract.get("event_model_mappings", {}):
+        spec = contract.get("event_model_field_specs", {}).get(key)
+        if spec is None:
+            continue
+        declared = list(dict.fromkeys([*spec.get("required_fields", []), *spec.get("optional_fields", [])]))
+        own = F.map_filter(payload(spec, articles.columns), lambda k, _: ~F.map_contains_key(over, k))
+        set_ = F.map_filter(over, lambda k, v: k.isin(*declared) & v.isNotNull() & (F.trim(v) != ""))  # noqa: B023
+        values = F.map_concat(own, F.transform_values(set_, lambda _, v: F.trim(v)))
+        bad = enum_violations(values, spec)
+        vocabulary = F.create_map(*[x for name, allowed in spec.get("field_enums", {}).items() for x in (F.lit(name), F.array(*[F.lit(a) for a in allowed]))]) if spec.get("field_enums") else F.lit(None).cast("map<string,array<string>>")
+        told = F.when(bad.isNotNull(), F.struct(bad["field"].alias("field"), bad["value"].alias("value"), F.try_element_at(vocabulary, bad["field"]).alias("allowed")))
+        mine = (event == key) & F.map_contains_key("ontology", "event_model_id")
+        found = F.when(mine, F.when(F.size(values) > 0, checked_payload(values, bad, strict))).otherwise(found)
+        wrong = F.when(mine, told).otherwise(wrong)
+    return rows.withColumns({"event_model_payload": found, "violation": wrong}).drop("_name", "_over")
+
+
 def enum_violations(values: Column, spec: dict[str, Any]) -> Column:
     """Struct (field, value) of the first field whose value is not in its vocabulary, else null."""
     found = []
@@ -159,6 +199,23 @@ def gated(articles: DataFrame, values: Column, contract: Contract | None, strict
     return articles.withColumn("link", F.when(F.size(errors) > 0, failed).otherwise(F.col("link")))
 
 
+def stored_backfill(table: Versions, changed: DataFrame) -> int | None:
+    """Puts changed ontologies (key, ontology) into a stored table as a new version that rewrites their buckets only.
+
+    Keys that the table doesn't hold are left out; without changes there is no new version.
+    """
+    new = changed.select(F.col(table.key).alias("_key"), F.col("ontology").alias("_new"))
+
+    def merged(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        if old is None:
+            return rows.where(F.lit(False))
+        old = old.drop("bucket")
+        both = old.join(rows, old[table.key] == rows["_key"], "left")
+        return both.select(*[F.when(F.col("_key").isNotNull(), F.col("_new")).otherwise(old["ontology"]).alias(c) if c == "ontology" else old[c] for c in old.columns])
+
+    return table.change(new.withColumn(table.key, F.col("_key")), merged)
+
+
 def backfill(old: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose ontology changed, and counters of all rows.
 

@@ -91,6 +91,12 @@ def _matches(search: Search, counts: dict[Term, Column]) -> Column:
     return functools.reduce(operator.and_ if isinstance(search, All) else operator.or_, [_matches(p, counts) for p in search.parts])
 
 
+def weight(tf: Column, df: Column, dl: Column, n: Column, avgdl: Column) -> Column:
+    """BM25 of one term in one document; a term that half of the documents hold hardly counts."""
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, 1e-6).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def search(docs: DataFrame, key: str, match: Search, limit: int = 20) -> DataFrame:
     """(key, rank) of the best documents (key, title, body), rank ascending (negative is better).
 
@@ -106,11 +112,7 @@ def search(docs: DataFrame, key: str, match: Search, limit: int = 20) -> DataFra
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.array(*holding).alias("df"))
     tf = {t: F.get("tf", F.lit(i)) for i, t in enumerate(terms)}
     found = counted.where(_matches(match, tf)).crossJoin(F.broadcast(stats))
-    ranks = []
-    for i, t in enumerate(terms):
-        df = F.get("df", F.lit(i))
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5))
-        ranks.append(F.when(idf <= 0, 1e-6).otherwise(idf) * tf[t] * (K1 + 1) / (tf[t] + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
+    ranks = [weight(tf[t], F.get("df", F.lit(i)), F.col("dl"), F.col("n"), F.col("avgdl")) for i, t in enumerate(terms)]
     return found.select(key, (-functools.reduce(operator.add, ranks)).alias("rank")).orderBy("rank", key).limit(limit)
 
 

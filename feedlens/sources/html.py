@@ -63,23 +63,48 @@ def is_placeholder(href: Column) -> Column:
     return F.lower(F.trim(F.coalesce(href, F.lit("")))).isin(*PLACEHOLDERS)
 
 
-def resolve_link(href: Column, base: Column) -> Column:
-    """Absolute form of an href on a page: mail, phone, script and empty ones are null."""
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+
+
+def join_url(href: Column, base: Column) -> Column:
+    """A reference resolved against an http(s) page's URL, as RFC 3986 and urljoin have it.
+
+    Dot segments are taken out by a fold over the path's segments; of a relative path, empty
+    segments between others go, too.  A reference with another scheme, or with a host, stays as it is.
+    """
     raw = F.trim(F.coalesce(href, F.lit("")))
-    low = F.lower(raw)
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"(?<=[^/:])/[^/]*$", "")
-    dropped = is_placeholder(href) | low.startswith("mailto:") | low.startswith("tel:") | low.startswith("javascript:")
-    return (
-        F.when(dropped, F.lit(None).cast("string"))
-        .when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), raw)
-        .when(raw.startswith("//"), F.concat(scheme, F.lit(":"), raw))
-        .when(raw.startswith("/"), F.concat(root, raw))
-        .when(raw.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), raw))
-        .when(raw.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), raw))
-        .otherwise(F.concat(folder, F.lit("/"), raw))
+    part = lambda c, p: F.regexp_extract(c, p, 1)
+    scheme, own = F.lower(part(base, _SCHEME)), F.lower(part(raw, _SCHEME))
+    # of the page's own scheme without a host, what follows is a relative reference
+    rest = F.when((own == scheme) & ~raw.rlike(_SCHEME + "//"), F.regexp_replace(raw, _SCHEME, "")).otherwise(raw)
+    whole = raw.rlike(_SCHEME) & ((own != scheme) | raw.rlike(_SCHEME + "//"))
+    root, base_path = part(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"), part(base, r"^[^?#]*?://[^/?#]*([^?#]*)")
+    base_query = part(base, r"^[^?#]*(\?[^#]*)")
+    path, query, fragment = part(rest, r"^([^?#]*)"), part(rest, r"^[^?#]*(\?[^#]*)"), part(rest, r"(#.*)$")
+    query, fragment = F.when(query == "?", "").otherwise(query), F.when(fragment == "#", "").otherwise(fragment)
+    before = F.split(base_path, "/")
+    folder = F.when(F.element_at(before, -1) == "", before).otherwise(F.slice(before, 1, F.size(before) - 1))
+    joined = F.when(path.startswith("/"), F.split(path, "/")).otherwise(F.concat(folder, F.split(path, "/")))
+    last = F.size(joined) - 1
+    segments = F.when(path.startswith("/"), joined).otherwise(F.filter(joined, lambda x, i: (x != "") | (i == 0) | (i == last)))
+    stacked = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == "..", F.slice(held, F.lit(1), F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x))),
     )
+    ended = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(stacked, F.array(F.lit("")))).otherwise(stacked)
+    text = F.array_join(ended, "/")
+    text = F.when(text == "", "/").when(text.startswith("/"), text).otherwise(F.concat(F.lit("/"), text))
+    found = F.concat(root, F.when(path == "", base_path).otherwise(text), F.when((path == "") & (query == ""), base_query).otherwise(query), fragment)
+    return F.when(raw == "", base).when(whole, raw).when(rest.startswith("//"), F.concat(scheme, F.lit(":"), rest)).otherwise(found)
+
+
+def resolve_link(href: Column, base: Column, templates: dict[str, str] | None = None) -> Column:
+    """Absolute form of an href on a page: mail, phone and empty ones are null, scripts without a template too."""
+    low = F.lower(F.trim(F.coalesce(href, F.lit(""))))
+    dropped = is_placeholder(href) | low.startswith("mailto:") | low.startswith("tel:")
+    script = F.nullif(script_link(F.trim(href), templates or {}), F.lit(""))
+    return F.when(dropped, F.lit(None).cast("string")).when(low.startswith("javascript:"), script).otherwise(join_url(href, base))
 
 
 def script_link(href: Column, templates: dict[str, str]) -> Column:
