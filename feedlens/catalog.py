@@ -339,6 +339,14 @@ def entity_match_map(spark, d):
     return rows.select("doc_id", "entity", F.size("found").alias("hits"))
 
 
+@query(_TAGS + "SELECT doc_id, entity, hits::INTEGER AS hits FROM e")
+def entity_table_map(spark, d):
+    """entity_match_map with the rules as a table."""
+    rules = spark.createDataFrame([(i, name, words) for i, (name, words) in enumerate(RULES)], "rule long, name string, keywords array<string>")
+    rows = tagging.tag_by_table(_articles(spark, d), rules, "doc_id").select("doc_id", F.explode("matched_entities").alias("entity", "found"))
+    return rows.select("doc_id", "entity", F.size("found").alias("hits"))
+
+
 @query(_TAGS + "SELECT entity, sum(hits)::BIGINT AS hits, min(doc_id) AS first_pos FROM e GROUP BY entity ORDER BY 2 DESC, 3, 1 LIMIT 20")
 def entity_top20(spark, d):
     return tagging.top_entities(_tagged(spark, d), "doc_id")

@@ -19,7 +19,8 @@ ENTITY_STOPWORDS = (
     "이 그 저 수 것 등 및 또 더 한 할 위 위한 통해 대한 관련 오늘 내일 어제 의 를 을 에 가 은 는 로 으로 와 과 도 만 부터 까지 에서 "
     "the a an is are was were in on at to for of and or"
 ).split()
-_WORD = r"\p{L}\p{N}_"
+#: What words are made of.
+WORD = r"\p{L}\p{N}_"
 
 
 @F.pandas_udf(T.StringType())
@@ -36,7 +37,7 @@ def title_tokens(title: Column, compose: bool = True) -> Column:
     text = F.coalesce(title, F.lit(""))
     if compose:
         text = F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"[{_WORD}]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"[{WORD}]+"), F.lit(0))
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*TITLE_STOPWORDS))
 
 
@@ -48,7 +49,7 @@ def blank_tokens(text: Column) -> Column:
 def plain_title(title: Column) -> Column:
     """Lower case, blanks collapsed, punctuation but hyphens dropped."""
     text = F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), r"\s+", " "))
-    text = F.regexp_replace(text, rf"[^{_WORD}\s\-]", "")
+    text = F.regexp_replace(text, rf"[^{WORD}\s\-]", "")
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
@@ -58,9 +59,11 @@ def holds_keyword(text: Column, keyword: str) -> Column:
     if not low.isascii():
         return F.contains(F.lower(text), F.lit(low))
     inner = lambda c: c.isalnum() or c == "_"
-    before = f"(?<![{_WORD}])" if inner(low[0]) else f"(?<=[{_WORD}])"
-    after = f"(?![{_WORD}])" if inner(low[-1]) else f"(?=[{_WORD}])"
-    return text.rlike(f"(?iu){before}{re.escape(low)}{after}")
+    own = re.escape(low)
+    # the keyword comes first: what stands before it is looked at only where it stands
+    before = f"(?<![{WORD}]{own})" if inner(low[0]) else f"(?<=[{WORD}]{own})"
+    after = f"(?![{WORD}])" if inner(low[-1]) else f"(?=[{WORD}])"
+    return text.rlike(f"(?iu){own}{before}{after}")
 
 
 def query_days(text: Column) -> Column:
@@ -71,7 +74,7 @@ def query_days(text: Column) -> Column:
 _TIMES = ((r"(?:최근|지난)\s*(\d+)\s*일", 1), (r"(?:최근|지난)\s*(\d+)\s*주", 7), (r"(?:최근|지난)\s*(\d+)\s*개월", 30)) + tuple(
     (rf"(?i)\blast\s+(\d+)\s*{unit}s?\b", days) for unit, days in (("day", 1), ("week", 7), ("month", 30))
 )
-_LIMITS = ((rf"(\d+)\s*개(?![{_WORD}])", 1), (r"(?i)\btop\s+(\d+)\b", 1))
+_LIMITS = ((rf"(\d+)\s*개(?![{WORD}])", 1), (r"(?i)\btop\s+(\d+)\b", 1))
 
 
 def _earliest(text: Column, phrases=_TIMES) -> tuple[Column, Column]:

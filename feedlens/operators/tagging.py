@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.functions.text import ENTITY_STOPWORDS, holds_keyword
+from feedlens.functions.text import ENTITY_STOPWORDS, WORD, holds_keyword
 
 Rules = list[tuple[str, list[str]]]
 
@@ -29,6 +31,68 @@ def matched_entities(title: Column, summary: Column, rules: Rules) -> Column:
     return F.map_from_entries(F.filter(rows, lambda e: e["value"].isNotNull()))
 
 
+#: Letters that a search in any case takes for ASCII ones, though they don't become these in lower case.
+_ALIKE = {"\u017f": "s", "\u0130": "i", "\u0131": "i"}
+
+
+def rule_table(rules: DataFrame) -> DataFrame:
+    """Rules (rule, name, keywords) by keyword: (feature, kind, rule, name, first, pos, low, pattern).
+
+    A text that holds a keyword has its feature: the longest word of a keyword of whole
+    words, or else its first two characters.
+    """
+    first = rules.groupBy("name").agg(F.min("rule").alias("first"))
+    rows = rules.select("rule", "name", F.posexplode("keywords").alias("pos", "keyword")).where("keyword <> ''").join(first, "name")
+    low = F.lower("keyword")
+    rows = rows.withColumn("low", low).withColumn("plain", ~F.col("low").rlike(r"[^\x00-\x7F]"))
+    words = F.regexp_extract_all("low", F.lit(r"[a-z0-9_]+"), F.lit(0))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    by_word = F.col("plain") & (F.size(words) > 0)
+    inner = lambda c: c.rlike("^[a-z0-9_]$")
+    before = F.when(inner(F.substring("low", 1, 1)), f"(?<![{WORD}]").otherwise(f"(?<=[{WORD}]")
+    after = F.when(inner(F.substring("low", -1, 1)), f"(?![{WORD}])").otherwise(f"(?=[{WORD}])")
+    escaped = F.regexp_replace("low", r"([^a-z0-9_])", r"\\$1")
+    return rows.select(
+        F.when(by_word, longest).otherwise(F.substring("low", 1, 2)).alias("feature"),
+        F.when(by_word, "word").when(F.length("low") > 1, "pair").otherwise("letter").alias("kind"),
+        "rule", "name", "first", "pos", "low",
+        F.when(F.col("plain"), F.concat(F.lit("(?iu)"), escaped, before, escaped, F.lit(")"), after)).alias("pattern"),
+    )
+
+
+def tag_by_table(articles: DataFrame, rules: DataFrame, key: str = "link") -> DataFrame:
+    """Articles (key, title, summary, ...) with matched_entities, as ``matched_entities`` gives them, by a table of rules.
+
+    Rules (rule, name, keywords) may be many: an article's distinct words, and pairs of
+    letters if a rule needs them, meet the rules' features in a join of narrow rows, and only
+    rules that meet are tested on the text.  Keys are unique; an article without hits has an empty map.
+    """
+    table = rule_table(rules)
+    kinds = {r["kind"] for r in table.select("kind").distinct().collect()}
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
+    rows = articles.select(key, text.alias("_text"))
+    low = F.lower(F.translate("_text", "".join(_ALIKE), "".join(_ALIKE.values())))
+    letters = F.split(F.lower("_text"), "")
+    features = {
+        "word": lambda: F.regexp_extract_all(low, F.lit(f"[{WORD}]+"), F.lit(0)),
+        "pair": lambda: F.transform(letters, lambda c, i: F.concat(c, F.coalesce(F.get(letters, i + 1), F.lit("")))),
+        "letter": lambda: letters,
+    }
+    held = [rows.select(key, F.lit(kind).alias("kind"), F.explode(F.array_distinct(features[kind]())).alias("feature")) for kind in sorted(kinds)]
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
+    if not held:
+        return articles.withColumn("matched_entities", empty)
+    met = functools.reduce(DataFrame.unionByName, held).join(table, ["kind", "feature"]).groupBy(key)
+    met = met.agg(F.collect_list(F.struct("rule", "name", "first", "pos", "low", "pattern")).alias("_rules"))
+    fits = F.filter("_rules", lambda r: F.when(r["pattern"].isNull(), F.contains(F.lower("_text"), r["low"])).otherwise(F.regexp_like("_text", r["pattern"])))
+    hits = rows.join(met, key).select(key, F.inline(fits))
+    by_rule = hits.groupBy(key, "name", "first", "rule").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "low"))), lambda x: x["low"]).alias("found"))
+    by_name = by_rule.groupBy(key, "name", "first").agg(F.max_by("found", "rule").alias("found"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("first", "name", "found"))), lambda x: F.struct(x["name"], x["found"]))
+    tagged = by_name.groupBy(key).agg(F.map_from_entries(entries).alias("matched_entities"))
+    return articles.join(tagged, key, "left").withColumn("matched_entities", F.coalesce("matched_entities", empty))
+
+
 def entity_counts(tagged: DataFrame, order: str) -> DataFrame:
     """Per entity the number of keyword hits and its first place, for stable ties."""
     rows = tagged.select(order, F.explode("matched_entities").alias("entity", "hits"))
