@@ -13,7 +13,7 @@ from feedlens.functions import decode
 from feedlens.functions import text as texts
 from feedlens.functions import urls
 from feedlens.operators import articles as store
-from feedlens.operators import clustering, health, ontology, quality, reports, search, tagging
+from feedlens.operators import clustering, duplicates, health, ontology, quality, reports, search, tagging
 from feedlens.operators import index as indexes
 from feedlens.plans.storage import shared_dir
 from feedlens.plans.versions import Versions
@@ -312,6 +312,12 @@ def source_counts(spark, d):
     return page_articles(table(spark, d, "pages")).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(15)
 
 
+@query()
+def duplicate_articles(spark, d):
+    """Pairs of pages with similar titles and paths on one host; held against all pairs in tests."""
+    return duplicates.duplicate_articles(page_articles(table(spark, d, "pages")).select("link", "title"))
+
+
 # --- entities ------------------------------------------------------------------------
 
 RULES: tagging.Rules = [("Connectors", ["of", "and", "with"]), ("Articles", ["the", "der", "le", "la"]), ("Licences", ["license", "rights reserved"]), ("Accents", ["é", "ü"])]

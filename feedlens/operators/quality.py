@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from feedlens.functions.text import plain_title
 from feedlens.functions.urls import is_valid_url
+from feedlens.operators.duplicates import sequence_ratio, url_host, url_path
 
 
 def missing_fields(rows: DataFrame, conditions: dict[str, str]) -> DataFrame:
@@ -84,16 +81,9 @@ def validation_errors() -> Column:
     return F.filter(F.array(text("title"), link, text("summary"), present("source"), present("category")), lambda e: e.isNotNull())
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; no built-in function computes it."""
-    return pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
-
-
 def similar_articles(pairs: DataFrame, title_at_least: float = 0.85, url_at_least: float = 0.8) -> DataFrame:
     """Pairs (title1, url1, title2, url2) that are the same article: similar titles, then equal hosts and similar paths."""
-    host = lambda c: F.regexp_extract(c, "://([^/?#]*)", 1)
-    path = lambda c: F.regexp_extract(c, "://[^/?#]*([^?#]*)", 1)
-    near = pairs.where(host("url1") == host("url2"))
+    near = pairs.where(url_host(F.col("url1")) == url_host(F.col("url2")))
     near = near.where(sequence_ratio(plain_title(F.col("title1")), plain_title(F.col("title2"))) >= title_at_least)
-    return near.where((path("url1") == path("url2")) | (sequence_ratio(path("url1"), path("url2")) >= url_at_least))
+    paths = url_path(F.col("url1")), url_path(F.col("url2"))
+    return near.where((paths[0] == paths[1]) | (sequence_ratio(*paths) >= url_at_least))
