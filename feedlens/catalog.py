@@ -562,29 +562,46 @@ def search_snippet(spark, d):
     return search.search(docs, "doc_id", search.Term("license")).join(docs, "doc_id").select("doc_id", search.snippet(F.col("body"), ["license"]).alias("snippet"))
 
 
-_NL = ("최근 3일 AI 5개", "지난 2주", "최근 3개월 보안", "last 2 weeks top 10 security", "plain text")
-
-
 @query(
-    "SELECT * FROM (VALUES ('최근 3일 AI 5개', 'AI', 3, 5), ('지난 2주', '', 14, NULL), ('최근 3개월 보안', '보안', 90, NULL), ('last 2 weeks top 10 security', 'security', 14, 10), ('plain text', 'plain text', NULL, NULL)) t(raw, search_text, days, \"limit\")"
+    """WITH q AS (SELECT doc_id, source, doc_id % 9 + 1 AS a, doc_id % 7 + 1 AS b, doc_id % 5 AS k FROM documents)
+SELECT doc_id, CASE k WHEN 1 THEN '' WHEN 4 THEN 'plain ' || source ELSE source END AS search_text,
+  CASE k WHEN 0 THEN a WHEN 1 THEN a * 7 WHEN 2 THEN a * 30 WHEN 3 THEN a * 7 END::INTEGER AS days, CASE WHEN k IN (0, 3) THEN b END::INTEGER AS "limit" FROM q"""
 )
 def nl_query_parse(spark, d):
-    rows = spark.createDataFrame([(x,) for x in _NL], "raw string")
-    return rows.select("raw", texts.parse_query(F.col("raw")).alias("q")).select("raw", "q.*")
+    """Searches in words, made of each document's source and number."""
+    a, b, k = ((F.col("doc_id") % m + n).cast("string") for m, n in ((9, 1), (7, 1), (5, 0)))
+    raw = (
+        F.when(k == "0", F.concat(F.lit("최근 "), a, F.lit("일 "), "source", F.lit(" "), b, F.lit("개")))
+        .when(k == "1", F.concat(F.lit("지난 "), a, F.lit("주")))
+        .when(k == "2", F.concat(F.lit("최근 "), a, F.lit("개월 "), "source"))
+        .when(k == "3", F.concat(F.lit("last "), a, F.lit(" weeks top "), b, F.lit(" "), "source"))
+        .otherwise(F.concat(F.lit("plain "), "source"))
+    )
+    return table(spark, d, "documents").select("doc_id", texts.parse_query(raw).alias("q")).select("doc_id", "q.*")
 
 
-_LISTING = """{"kind":"Listing","data":{"children":[{"kind":"t3","data":{"title":"One &amp; two","selftext":"body","permalink":"/r/x/comments/1/","author":"a","score":3,"num_comments":2,"subreddit":"x","created_utc":1700000000}},
-{"kind":"t1","data":{"title":"comment"}},{"kind":"t3","data":{"title":"[deleted]","permalink":"/r/x/2/"}},{"kind":"t3","data":{"title":"Gone","removed_by_category":"moderator","permalink":"/r/x/3/"}},
-{"kind":"t3","data":{"title":"Linked","id":"q4","url":"https://example.org/a","subreddit":"x","author":"b"}}]}}"""
+def _listings(spark: SparkSession, d: str) -> DataFrame:
+    """A listing a document: an entry of its own (gone for every third), a comment, a deleted entry and a link."""
+    data = lambda **own: F.struct(*[v.alias(k) for k, v in own.items()])
+    no, lang, source = F.col("doc_id").cast("string"), F.col("lang"), F.col("source")
+    title = F.concat(F.lit("T"), no, F.lit(" &amp; "), lang)
+    own = data(title=title, selftext=F.concat(F.lit(" body "), source), permalink=F.concat(F.lit("/r/x/"), no, F.lit("/")), author=source, score=F.col("doc_id"), num_comments=F.lit(2), subreddit=F.lit("x"))
+    gone = data(title=title, permalink=F.concat(F.lit("/r/x/"), no, F.lit("/")), removed_by_category=F.lit("moderator"))
+    linked = data(title=F.concat(F.lit("Linked "), no), id=F.concat(F.lit("q"), no), url=F.concat(F.lit("https://example.org/"), no), subreddit=F.lit("x"), author=F.lit("b"))
+    child = lambda kind, x: F.to_json(F.struct(F.lit(kind).alias("kind"), x.alias("data")))
+    first = F.when(F.col("doc_id") % 3 == 0, child("t3", gone)).otherwise(child("t3", own))
+    rest = (child("t1", data(title=F.lit("comment"))), child("t3", data(title=F.lit("[deleted]"), permalink=F.lit("/r/x/2/"))), child("t3", linked))
+    body = F.concat(F.lit('{"kind":"Listing","data":{"children":['), F.concat_ws(",", first, *rest), F.lit("]}}"))
+    return table(spark, d, "documents").select(F.lit("x").alias("source"), lang.alias("category"), body.alias("body"))
 
 
 @query(
-    r"""SELECT * FROM (VALUES (0, 'One & two', 'https://www.reddit.com/r/x/comments/1/', '[r/x] by u/a | 3 points | 2 comments' || chr(10) || chr(10) || 'body'),
-(4, 'Linked', 'https://www.reddit.com/r/x/comments/q4/', '[r/x] by u/b | 0 points | 0 comments' || chr(10) || chr(10) || 'Link: https://example.org/a')) t(pos, title, link, summary)"""
+    r"""SELECT 0 AS pos, 'T' || doc_id || ' & ' || lang AS title, 'https://www.reddit.com/r/x/' || doc_id || '/' AS link,
+  '[r/x] by u/' || source || ' | ' || doc_id || ' points | 2 comments' || chr(10) || chr(10) || 'body ' || source AS summary FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT 3, 'Linked ' || doc_id, 'https://www.reddit.com/r/x/comments/q' || doc_id || '/', '[r/x] by u/b | 0 points | 0 comments' || chr(10) || chr(10) || 'Link: https://example.org/' || doc_id FROM documents"""
 )
 def listing_parse(spark, d):
-    raw = spark.createDataFrame([("x", "c", _LISTING)], "source string, category string, body string")
-    return listings.parse_listings(raw).select("pos", "title", "link", "summary")
+    return listings.parse_listings(_listings(spark, d)).select("pos", "title", "link", "summary")
 
 
 # --- sources, reports and messages ------------------------------------------------------
@@ -646,10 +663,15 @@ def notification_messages(spark, d):
     return sums.select("category", text.alias("message"))
 
 
-@query("SELECT * FROM (VALUES ('12', 12.0::DOUBLE), ('900', 60.0), ('Wed, 31 Jan 2024 00:00:30 GMT', 30.0), ('soon', 0.5), (NULL, 0.5)) t(header, delay)")
+@query(
+    """SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(event_id % 100 + 1, 60) WHEN 1 THEN event_id % 50 + 1 ELSE 0.5 END::DOUBLE AS delay FROM events"""
+)
 def retry_after(spark, d):
-    rows = spark.createDataFrame([("12",), ("900",), ("Wed, 31 Jan 2024 00:00:30 GMT",), ("soon",), (None,)], "header string")
-    return rows.select("header", health.retry_after(F.col("header"), as_of(), 0.5, 60.0).alias("delay"))
+    """Delays that answers ask for: seconds, dates, and what can't be read."""
+    at = F.timestamp_seconds(F.unix_timestamp(as_of().cast("timestamp")) + F.col("event_id") % 50 + 1)
+    dated = F.concat(F.date_format(at, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    header = F.when(F.col("event_id") % 4 == 0, (F.col("event_id") % 100 + 1).cast("string")).when(F.col("event_id") % 4 == 1, dated).when(F.col("event_id") % 4 == 2, "soon")
+    return table(spark, d, "events").select("event_id", health.retry_after(header, as_of(), 0.5, 60.0).alias("delay"))
 
 
 # --- ontology ---------------------------------------------------------------------------
@@ -759,21 +781,24 @@ def ontology_backfill_counts(spark, d):
 
 # --- stored values -------------------------------------------------------------------
 
-_BAD_ARTICLES = (
-    ("\t", "http://a.org/1", "s", "src", "cat"),
-    ("", "nonsense", " \n", "src", None),
-    (None, None, None, "", "cat"),
-    ("ok", "http://a.org/2", "fine", "src", "cat"),
-)
-
-
 @query(
-    """SELECT * FROM (VALUES ('title is empty', 1), ('title is missing or not a string', 2), ('link has invalid URL format: nonsense', 1),
-  ('link is missing or not a string', 1), ('summary is empty', 1), ('summary is missing or not a string', 1), ('category is missing or not a string', 1),
-  ('source is missing or not a string', 1)) t(error, n)"""
+    """WITH k AS (SELECT page_id, page_id % 4 AS k FROM pages)
+SELECT error, count(*) AS n FROM (SELECT unnest(CASE k WHEN 0 THEN ['title is empty']
+  WHEN 1 THEN ['title is missing or not a string', 'link has invalid URL format: nonsense ' || page_id % 3, 'summary is empty', 'category is missing or not a string']
+  WHEN 2 THEN ['title is missing or not a string', 'link is missing or not a string', 'summary is missing or not a string', 'source is missing or not a string'] ELSE [] END) AS error FROM k) GROUP BY error"""
 )
 def article_validation_cases(spark, d):
-    rows = spark.createDataFrame(_BAD_ARTICLES, "title string, link string, summary string, source string, category string")
+    """What is wrong with articles of pages of which three in four lack something."""
+    k = F.col("page_id") % 4
+    pick = lambda a, b, c, rest: F.when(k == 0, a).when(k == 1, b).when(k == 2, c).otherwise(rest)
+    none, text = F.lit(None).cast("string"), F.lit("text")
+    rows = table(spark, d, "pages").select(
+        pick(F.lit("\t"), F.lit(""), none, text).alias("title"),
+        pick(F.col("url"), F.concat(F.lit("nonsense "), (F.col("page_id") % 3).cast("string")), none, F.col("url")).alias("link"),
+        pick(text, F.lit(" \n"), none, text).alias("summary"),
+        pick(text, text, F.lit(""), text).alias("source"),
+        pick(text, none, text, text).alias("category"),
+    )
     return rows.select(F.explode(quality.validation_errors()).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
@@ -963,28 +988,45 @@ def source_errors(spark, d):
 
 
 _RSS = """<rss xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>t</title>
-<item><title>One &amp;amp; two</title><link> https://e.org/1 </link><description>d</description><pubDate>Tue, 02 Jan 2024 09:00:00 +0900</pubDate></item>
+<item><title>One &amp;amp; two</title><link> https://e.org/1/NO </link><description>d</description><pubDate>RFC</pubDate></item>
 <item><title>No link</title></item>
-<item><title> </title><link>https://e.org/2</link><content:encoded>long</content:encoded><dc:date>2024-01-03T00:00:00Z</dc:date></item></channel></rss>"""
+<item><title> </title><link>https://e.org/2/NO</link><content:encoded>long</content:encoded><dc:date>ISO</dc:date></item></channel></rss>"""
 _ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title>
-<entry><title>Atom</title><link rel="self" href="https://e.org/self"/><link href="https://e.org/3"/><content>c</content><updated>2024-01-04T01:00:00+01:00</updated></entry></feed>"""
+<entry><title>Atom</title><link rel="self" href="https://e.org/self"/><link href="https://e.org/3/NO"/><content>c</content><updated>EAST</updated></entry></feed>"""
+
+
+def _feeds(spark: SparkSession, d: str) -> DataFrame:
+    """A feed a document: RSS with an entry, one without a link and one without a title, or Atom with an entry."""
+    no, day = F.col("doc_id").cast("string"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int"))
+    stamp = {"RFC": F.concat(F.date_format(day, "EEE, dd MMM yyyy"), F.lit(" 09:00:00 +0900")), "ISO": F.concat(day.cast("string"), F.lit("T00:00:00Z")), "EAST": F.concat(day.cast("string"), F.lit("T01:00:00+01:00"))}
+
+    def filled(text: str):
+        out = F.replace(F.lit(text), F.lit("NO"), no)
+        for mark, value in stamp.items():
+            out = F.replace(out, F.lit(mark), value)
+        return out
+
+    body = F.when(F.col("doc_id") % 2 == 0, filled(_RSS)).otherwise(filled(_ATOM))
+    return table(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "rss").otherwise("atom").alias("source"), F.col("lang").alias("category"), body.alias("body"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('rss', 0, 'One & two', 'https://e.org/1', 'd', 1704153600::BIGINT), ('rss', 2, '(no title)', 'https://e.org/2', 'long', 1704240000),
-  ('atom', 0, 'Atom', 'https://e.org/3', 'c', 1704326400)) t(source, pos, title, link, summary, published)"""
+    """WITH f AS (SELECT doc_id, epoch(DATE '2024-01-01' + (doc_id % 28)::INTEGER)::BIGINT AS published FROM documents)
+SELECT 'rss' AS source, 0 AS pos, 'One & two' AS title, 'https://e.org/1/' || doc_id AS link, 'd' AS summary, published FROM f WHERE doc_id % 2 = 0
+UNION ALL SELECT 'rss', 2, '(no title)', 'https://e.org/2/' || doc_id, 'long', published FROM f WHERE doc_id % 2 = 0
+UNION ALL SELECT 'atom', 0, 'Atom', 'https://e.org/3/' || doc_id, 'c', published FROM f WHERE doc_id % 2 = 1"""
 )
 def feed_parse(spark, d):
-    raw = spark.createDataFrame([("rss", "c", _RSS), ("atom", "c", _ATOM)], "source string, category string, body string")
-    return listings.parse_feeds(raw).select("source", "pos", "title", "link", "summary", F.unix_seconds("published").alias("published"))
+    return listings.parse_feeds(_feeds(spark, d)).select("source", "pos", "title", "link", "summary", F.unix_seconds("published").alias("published"))
 
 
-@query("SELECT source, count(*) AS n FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS source FROM pages UNION ALL SELECT unnest(['rss', 'rss', 'atom', 'x', 'x'])) GROUP BY 1")
+@query(
+    """SELECT source, count(*) AS n FROM (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS source FROM pages UNION ALL SELECT CASE doc_id % 2 WHEN 0 THEN 'rss' ELSE 'atom' END FROM documents
+  UNION ALL SELECT 'rss' FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'x' FROM documents UNION ALL SELECT 'x' FROM documents WHERE doc_id % 3 <> 0) GROUP BY 1"""
+)
 def collector_union(spark, d):
     """Articles of feeds, listings and pages together, by source."""
-    feeds = spark.createDataFrame([("rss", "c", _RSS), ("atom", "c", _ATOM)], "source string, category string, body string")
-    listed = spark.createDataFrame([("x", "c", _LISTING)], "source string, category string, body string")
-    parts = [listings.parse_feeds(feeds), listings.parse_listings(listed), page_articles(table(spark, d, "pages"))]
+    parts = [listings.parse_feeds(_feeds(spark, d)), listings.parse_listings(_listings(spark, d)), page_articles(table(spark, d, "pages"))]
     return listings.collected(parts).groupBy("source").agg(F.count("*").alias("n"))
 
 
