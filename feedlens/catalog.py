@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from feedlens.functions import decode
 from feedlens.functions import text as texts
 from feedlens.functions import urls
+from feedlens.functions.encode import json_text
 from feedlens.operators import articles as store
 from feedlens.operators import clustering, duplicates, health, ontology, quality, reports, search, tagging
 from feedlens.operators import index as indexes
@@ -817,6 +818,19 @@ def stored_json(spark, d):
     return found.select("doc_id", F.nullif(F.array_join(said, ";"), F.lit("")).alias("entities"), F.try_element_at("o", F.lit("event_model_id")).alias("event"))
 
 
+@query(
+    r"""SELECT doc_id, '{"' || source || '": ["' || lang || '", "q\"' || doc_id || '"], "n": []}' AS entities,
+  '{"source": "' || source || '", "title": ' || CASE WHEN doc_id % 3 = 0 THEN 'null' ELSE '"t\n' || doc_id || '"' END || ', "doc_id": ' || doc_id || '}' AS whole FROM documents"""
+)
+def json_texts(spark, d):
+    """Entities and rows as the JSON text that stores them."""
+    docs = table(spark, d, "documents")
+    entities = F.create_map("source", F.array(F.col("lang"), F.concat(F.lit('q"'), F.col("doc_id").cast("string"))), F.lit("n"), F.array().cast("array<string>"))
+    title = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("t\n"), F.col("doc_id").cast("string")))
+    rows = docs.select("doc_id", entities.alias("e"), F.struct("source", title.alias("title"), "doc_id").alias("w"))
+    return rows.select("doc_id", *[json_text(F.col(c), rows.schema[c].dataType).alias(n) for c, n in (("e", "entities"), ("w", "whole"))])
+
+
 @query("SELECT event_id, epoch(date_trunc('second', ts))::BIGINT AS iso, (epoch(date_trunc('second', ts)) - 32400)::BIGINT AS mail FROM events")
 def stored_dates(spark, d):
     """Dates of stored rows and of feeds: the same moment in ISO form and, nine hours east, as feeds write it."""

@@ -117,11 +117,18 @@ def search(docs: DataFrame, key: str, match: Search, limit: int = 20) -> DataFra
 
 
 def snippet(body: Column, words: list[str], size: int = 32) -> Column:
-    """The body with hits in <b></b>, cut to the window that starts at the first hit if it is longer."""
+    """The body with hits in <b></b>; a longer one is cut to the window of ``size`` words that holds the most hits.
+
+    Words lie between blanks.  Of equal windows the first counts; it begins at its first
+    hit, or earlier where the body ends before the window does.
+    """
     mark = F.regexp_replace(body, rf"(?iu)(?<![\p{{L}}\p{{N}}])({'|'.join(map(re.escape, words))})(?![\p{{L}}\p{{N}}])", "<b>$1</b>")
     parts = F.split(mark, r"\s+")
-    first = F.array_position(F.transform(parts, lambda p: p.contains("<b>")), True).cast("int")
-    start = F.greatest(F.lit(1), F.least(first, F.size(parts) - size + 1))
+    hits = F.filter(F.transform(parts, lambda p, i: F.when(p.contains("<b>"), i)), lambda i: i.isNotNull())
+    # from hit to hit, how many lie before the window's end; the hits are in order
+    held = F.transform(hits, lambda x, i: F.struct((F.size(F.filter(F.slice(hits, i + 1, F.lit(size)), lambda y: y < x + size))).alias("n"), (-x).alias("back")))
+    first = -F.array_max(held)["back"]
+    start = F.greatest(F.lit(1), F.least(F.coalesce(first, F.lit(0)) + 1, F.size(parts) - size + 1))
     cut = F.concat(F.when(start > 1, "...").otherwise(""), F.array_join(F.slice(parts, start, F.lit(size)), " "), F.when(start + size - 1 < F.size(parts), "...").otherwise(""))
     return F.when(F.size(parts) <= size, mark).otherwise(cut)
 
