@@ -298,8 +298,8 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
     Returns one row per piece: doc_id, start (ids of its document before it), length,
     ids_crc32, doc_tokens, sequence_id and offset.  A null or empty text is the end id
     alone.  Ties on the curve are ordered by a hash of the row; repeated rows are
-    documents of their own; an empty table gives no rows.  Long texts are tokenized in
-    slices.  Extra columns are ignored.
+    documents of their own; an empty table gives no rows.  Long texts within
+    the plain range are tokenized in slices, others at once.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     rows = written(tokenized(docs, path, end_id), "tokens")

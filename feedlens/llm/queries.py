@@ -52,7 +52,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    # the ledger is a table: a later run reads it to scan only what is new, and the join with it is dealt by its measured size
+    # the ledger is a table, so the join with it is dealt by its measured size; a run that is given an earlier ledger scans only what is new
     ledger = written(secretscan.scan(docs), "ledger")
     found = secretscan.findings(docs, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")

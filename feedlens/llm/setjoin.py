@@ -40,6 +40,8 @@ BROADCAST_PAIRS = 1 << 18
 #: Class ids that a task remembers so as to list a class of copies once.
 SEEN = 1 << 18
 LEAST_BITS, MOST_BITS = 64, 4096
+#: Bytes of text that are hashed at once.
+TEXT_CHUNK = 1 << 18
 
 _SIGNED = "doc_id long, no_id boolean, rep long, n long, text_hash long, block int, counts binary"
 _LISTED = "item long, rep long, n long"
@@ -72,7 +74,7 @@ def signed(docs: DataFrame, k: int, counters: int = COUNTERS) -> DataFrame:
     """
 
     def sign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, total = WordHasher(SPACE_BYTES), np.zeros(counters, dtype=np.int64)
+        hasher, total = WordHasher(SPACE_BYTES, TEXT_CHUNK), np.zeros(counters, dtype=np.int64)
         for whole in parts:
             for part in batches(whole):
                 reps, sizes, held = [], [], []
@@ -117,7 +119,7 @@ def prefixes(docs: DataFrame, level: np.ndarray, percent: int, k: int) -> DataFr
     """(item, rep, n): each set's first items, rare counters first, one more than a linked set may lack."""
 
     def listed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, seen = WordHasher(SPACE_BYTES), set()
+        hasher, seen = WordHasher(SPACE_BYTES, TEXT_CHUNK), set()
         for whole in parts:
             for part in batches(whole):
                 items, reps, sizes, lengths = [np.zeros(0, dtype=np.uint64)], [], [], []
@@ -201,7 +203,7 @@ def sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, n, items, bits) of the wanted rows (rep, doc_id, text_hash): sorted items and bitmap."""
 
     def collect(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = WordHasher(SPACE_BYTES)
+        hasher = WordHasher(SPACE_BYTES, TEXT_CHUNK)
         for whole in parts:
             for part in batches(whole):
                 held = [shingle_set(words, k) for words in hasher.words(part["text"].tolist())]

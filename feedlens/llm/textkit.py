@@ -44,7 +44,9 @@ class WordHasher:
     of non-ASCII characters always belong to words.
     """
 
-    def __init__(self, separators: bytes = SPACE_BYTES) -> None:
+    def __init__(self, separators: bytes = SPACE_BYTES, chunk: int | None = None) -> None:
+        # bytes that are read at once: scratch memory is some fifty times as many
+        self._chunk = CHUNK if chunk is None else chunk
         table = np.arange(256, dtype=np.uint8)
         table[0x41:0x5B] += 0x20
         lowered_separators = np.zeros(256, dtype=bool)
@@ -54,8 +56,8 @@ class WordHasher:
         self._weight = np.where(self._is_word, weights[table], np.uint64(0))
 
     def _sums(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per word of a buffer of at most CHUNK bytes, its weighted sum, start and end."""
-        up, down = powers(CHUNK + 1)
+        """Per word of a buffer of at most a chunk, its weighted sum, start and end."""
+        up, down = powers(self._chunk + 1)
         raw = np.frombuffer(data, dtype=np.uint8)
         inside = self._is_word[raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
@@ -67,8 +69,8 @@ class WordHasher:
     def _long(self, data: bytes) -> np.ndarray:
         """Word hashes of a long text, read in slices; a word that goes on in the next slice is carried over."""
         out, carried, size = [], 0, 0
-        for at in range(0, len(data), CHUNK):
-            piece = data[at : at + CHUNK]
+        for at in range(0, len(data), self._chunk):
+            piece = data[at : at + self._chunk]
             sums, starts, ends = self._sums(piece)
             if size and (not len(starts) or starts[0]):
                 out.append(np.array([carried], dtype=np.uint64))
@@ -90,12 +92,12 @@ class WordHasher:
         size = 0
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
-            if len(data) >= CHUNK:
+            if len(data) >= self._chunk:
                 yield from self._flush(held)
                 held, size = [], 0
                 yield self._long(data)
                 continue
-            if size + len(data) + 1 > CHUNK:
+            if size + len(data) + 1 > self._chunk:
                 yield from self._flush(held)
                 held, size = [], 0
             held.append(data)
@@ -107,8 +109,8 @@ class WordHasher:
         for text in texts:
             data = (text or "").encode("utf-8", "surrogatepass")
             total, before = 0, False
-            for at in range(0, len(data), CHUNK):
-                inside = self._is_word[np.frombuffer(data, dtype=np.uint8, count=min(CHUNK, len(data) - at), offset=at)]
+            for at in range(0, len(data), self._chunk):
+                inside = self._is_word[np.frombuffer(data, dtype=np.uint8, count=min(self._chunk, len(data) - at), offset=at)]
                 total += int(np.count_nonzero(inside[1:] & ~inside[:-1])) + int(inside[0] and not before)
                 before = bool(inside[-1])
             yield total
