@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -53,17 +54,28 @@ def plain_title(title: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def holds_keyword(text: Column, keyword: str) -> Column:
-    """Whether a text holds a keyword: ASCII ones as whole words in any case, others anywhere."""
-    low = keyword.lower()
-    if not low.isascii():
-        return F.contains(F.lower(text), F.lit(low))
+#: Letters that a search in any case takes for ASCII ones, though they don't become these in lower case.
+ALIKE = {"\u017f": "s", "\u0130": "i", "\u0131": "i"}
+
+
+def folded(text: Column) -> Column:
+    """Lower case, with the letters that count as ASCII ones in any case."""
+    alike = F.translate(text, "".join(ALIKE), "".join(ALIKE.values()))
+    rare = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in ALIKE])
+    return F.lower(F.when(rare, alike).otherwise(text))
+
+
+def holds_keyword(low: Column, fold: Column, keyword: str) -> Column:
+    """Whether a text (in lower case, and folded) holds a keyword: ASCII ones as whole words, others anywhere."""
+    own = keyword.lower()
+    if not own.isascii():
+        return F.contains(low, F.lit(own))
     inner = lambda c: c.isalnum() or c == "_"
-    own = re.escape(low)
+    word = re.escape(own)
     # the keyword comes first: what stands before it is looked at only where it stands
-    before = f"(?<![{WORD}]{own})" if inner(low[0]) else f"(?<=[{WORD}]{own})"
-    after = f"(?![{WORD}])" if inner(low[-1]) else f"(?=[{WORD}])"
-    return text.rlike(f"(?iu){own}{before}{after}")
+    before = f"(?<![{WORD}]{word})" if inner(own[0]) else f"(?<=[{WORD}]{word})"
+    after = f"(?![{WORD}])" if inner(own[-1]) else f"(?=[{WORD}])"
+    return F.contains(fold, F.lit(own)) & fold.rlike(f"{word}{before}{after}")
 
 
 def query_days(text: Column) -> Column:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.functions.text import ENTITY_STOPWORDS, WORD, holds_keyword
+from feedlens.functions.text import ENTITY_STOPWORDS, WORD, folded, holds_keyword
 
 Rules = list[tuple[str, list[str]]]
 
@@ -15,24 +15,27 @@ Rules = list[tuple[str, list[str]]]
 def matched_entities(title: Column, summary: Column, rules: Rules) -> Column:
     """Map of each entity with hits to its keywords that hit, in rule order.
 
-    All rules are compiled into one projection.  Of rules with the same name, the last one
-    with hits counts; the name stands where its first rule does.
+    All rules are compiled into one projection, which folds the text once for all of them.
+    Of rules with the same name, the last one with hits counts; the name stands where its
+    first rule does.
     """
     text = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(summary, F.lit("")))
-    named: dict[str, list[Column]] = {}
+    named: dict[str, list[list[str]]] = {}
     for name, keywords in rules:
-        hits = [F.when(holds_keyword(text, k), F.lit(k.lower())) for k in keywords if k]
-        if hits:
-            found = F.filter(F.array(*hits), lambda x: x.isNotNull())
-            named.setdefault(name, []).insert(0, F.when(F.size(found) > 0, found))
+        if any(keywords):
+            named.setdefault(name, []).insert(0, [k for k in keywords if k])
     if not named:
         return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<array<string>>"))
-    rows = F.array(*[F.struct(F.lit(name).alias("key"), F.coalesce(*found).alias("value")) for name, found in named.items()])
-    return F.map_from_entries(F.filter(rows, lambda e: e["value"].isNotNull()))
 
+    def hits(held: Column, keywords: list[str]) -> Column:
+        found = F.array_compact(F.array(*[F.when(holds_keyword(held["low"], held["fold"], k), F.lit(k.lower())) for k in keywords]))
+        return F.when(F.size(found) > 0, found)
 
-#: Letters that a search in any case takes for ASCII ones, though they don't become these in lower case.
-_ALIKE = {"\u017f": "s", "\u0130": "i", "\u0131": "i"}
+    def entries(held: Column) -> Column:
+        rows = [F.struct(F.lit(name).alias("key"), F.coalesce(*[hits(held, ks) for ks in groups]).alias("value")) for name, groups in named.items()]
+        return F.map_from_entries(F.filter(F.array(*rows), lambda e: e["value"].isNotNull()))
+
+    return F.get(F.transform(F.array(F.struct(F.lower(text).alias("low"), folded(text).alias("fold"))), entries), F.lit(0))
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def tag_by_table(articles: DataFrame, rules: DataFrame, key: str = "link") -> Da
     kinds = {r["kind"] for r in table.select("kind").distinct().collect()}
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce("summary", F.lit("")))
     rows = articles.select(key, text.alias("_text"))
-    low = F.lower(F.translate("_text", "".join(_ALIKE), "".join(_ALIKE.values())))
+    low = folded(F.col("_text"))
     letters = F.split(F.lower("_text"), "")
     features = {
         "word": lambda: F.regexp_extract_all(low, F.lit(f"[{WORD}]+"), F.lit(0)),
