@@ -20,7 +20,7 @@ from feedlens.plans.storage import shared_dir
 from feedlens.plans.versions import Versions
 from feedlens.sources import config, listings
 from feedlens.sources.adapters import align, as_of, doc_articles, fetch_log, page_articles, table
-from feedlens.sources.html import html_text, html_title, resolve_link
+from feedlens.sources.html import extracted, html_summary, html_text, html_title, resolve_link
 from feedlens.streaming import health as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -313,6 +313,47 @@ def source_counts(spark, d):
     return page_articles(table(spark, d, "pages")).groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(15)
 
 
+@query("SELECT regexp_extract(url, '://([^/?#]+)', 1) AS source, count(*) AS success, 0::BIGINT AS failure, count(*) AS total, 100.0::DOUBLE AS rate FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def source_shares(spark, d):
+    return store.source_shares(page_articles(table(spark, d, "pages")))
+
+
+@query(
+    """SELECT s_suppkey, 'https://' || CASE WHEN s_suppkey % 2 = 0 THEN 'old' ELSE 'www' END || '.reddit.com/r/s' || s_suppkey || '/top.json?limit=' || CASE WHEN s_suppkey % 2 = 0 THEN 100 ELSE 25 END || '&raw_json=1' AS url FROM supplier"""
+)
+def listing_urls(spark, d):
+    """Addresses of listings in the forms that a configuration has."""
+    key = F.col("s_suppkey")
+    host, end = F.when(key % 3 == 0, "old.").when(key % 3 == 1, "www.").otherwise(""), F.when(key % 4 == 0, "/.rss").when(key % 4 == 1, "/").when(key % 4 == 2, ".rss/").otherwise("")
+    url = F.concat(F.lit("https://"), host, F.lit("reddit.com/r/s"), key.cast("string"), end)
+    found = F.when(key % 2 == 0, listings.listing_url(url, "top", 250, old=True)).otherwise(listings.listing_url(url, "top"))
+    return table(spark, d, "supplier").select("s_suppkey", F.regexp_replace(found, "(?<!:)//", "/").alias("url"))
+
+
+@query(
+    r"""SELECT page_id, CASE k WHEN 0 THEN t WHEN 1 THEN url END AS content, CASE k WHEN 0 THEN 'title' WHEN 1 THEN 'address' END AS extractor,
+  k AS n_fallbacks, CASE WHEN k = 2 THEN 'All extractors failed for ' || url || '. Tried: [''title'', ''address'', ''heading'']' END AS error
+FROM (SELECT page_id, url, regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1) AS t, (page_id % 3)::INTEGER AS k FROM pages)"""
+)
+def page_extractors(spark, d):
+    """What a chain of extractors finds; for two pages in three the first one has nothing, for one none has."""
+    kind = F.col("page_id") % 3
+    title = F.regexp_extract("html", "(?i)<title[^>]*>([^<]+)</title>", 1)
+    found = extracted(F.col("url"), {"title": F.when(kind == 0, title), "address": F.when(kind == 1, F.col("url")), "heading": F.lit(None).cast("string")})
+    rows = table(spark, d, "pages").withColumn("x", found)
+    return rows.select("page_id", "x.content", "x.extractor", F.size("x.fallbacks").alias("n_fallbacks"), "x.error")
+
+
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN '한국어 뉴스 ' || page_id || ' <meta charset=euc-kr>' WHEN 1 THEN 'A & B' WHEN 2 THEN 'of ' || page_id ELSE regexp_replace(url, '&amp;', '&', 'g') END AS summary FROM pages")
+def page_summaries(spark, d):
+    """Summaries of Korean pages read as Latin-1, of selected text, of a body's text and of tags around an address."""
+    number, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    korean = F.concat(F.lit("한국어 뉴스 ".encode("euc-kr").decode("latin-1")), number, F.lit(" \n <meta charset=euc-kr>"))
+    page = F.when(kind == 0, korean).otherwise(F.concat(F.lit("<p>\n<b>"), "url", F.lit("</b> ")))
+    found = html_summary(page, F.when(kind == 1, " A &amp; B\n"), F.when(kind == 2, F.concat(F.lit("\tof "), number)))
+    return table(spark, d, "pages").select("page_id", found.alias("summary"))
+
+
 @query()
 def duplicate_articles(spark, d):
     """Pairs of pages with similar titles and paths on one host; held against all pairs in tests."""
@@ -387,6 +428,22 @@ def title_word_days(spark, d):
     return tagging.title_word_days(_articles(spark, d), "event_ts")
 
 
+@query(
+    _TAGS
+    + f""", p AS (SELECT doc_id, unnest(regexp_split_to_array(trim(title), '\\s+')) AS w, generate_subscripts(regexp_split_to_array(trim(title), '\\s+'), 1) AS pos, event_ts FROM art WHERE doc_id NOT IN (SELECT doc_id FROM e)),
+w AS (SELECT doc_id, trim(w, '.,!?;:()[]"' || chr(39)) AS entity, pos, event_ts FROM p),
+f AS (SELECT entity, event_ts::DATE AS day, doc_id, list_position(['Connectors', 'Articles', 'Licences', 'Accents'], entity) AS pos FROM e UNION ALL SELECT entity, event_ts::DATE, doc_id, pos FROM w WHERE length(entity) >= 2 AND lower(entity) NOT IN ({_STOP})),
+t AS (SELECT entity, row_number() OVER (ORDER BY total DESC, first) AS position FROM (SELECT entity, count(*) AS total, min((doc_id, pos)) AS first FROM f GROUP BY entity) QUALIFY position <= 15),
+c AS (SELECT entity, position, unnest(generate_series(DATE '2024-01-17', DATE '2024-01-30', INTERVAL 1 DAY))::DATE AS day FROM t),
+n AS (SELECT entity, day, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT position::INTEGER AS position, entity, strftime(day, '%m-%d') AS label, coalesce(n, 0)::BIGINT AS n FROM c LEFT JOIN n USING (entity, day)"""
+)
+def entity_chart(spark, d):
+    """The chart of the top entities by day, with the words of titles where nothing is tagged."""
+    days = tagging.entity_or_word_days(_tagged(spark, d), F.to_date("event_ts"), "doc_id")
+    return tagging.entity_matrix(days, F.lit("2024-01-30").cast("date"))
+
+
 # --- quality -----------------------------------------------------------------------------
 
 
@@ -431,6 +488,30 @@ def quality_all(spark, d):
     return quality.run_all(_articles(spark, d), "link", ["title", "summary"], "category", "event_ts", as_of())
 
 
+_TWICE = _ARTICLES + ", b AS (SELECT * FROM art UNION ALL SELECT * FROM art WHERE doc_id % 50 = 0 UNION ALL SELECT * FROM art WHERE doc_id % 100 = 0)\n"
+
+
+@query(
+    _TWICE
+    + """SELECT 'total' AS "check", NULL::VARCHAR AS key, 'n' AS metric, count(*)::DOUBLE AS value FROM b
+UNION ALL SELECT 'missing', 'title', 'n', count(*) FILTER (WHERE title = '') FROM b UNION ALL SELECT 'missing', 'title', 'ratio', round(100.0::DOUBLE * count(*) FILTER (WHERE title = '') / count(*), 4) FROM b
+UNION ALL SELECT 'missing', 'early', 'n', count(*) FILTER (WHERE event_ts < TIMESTAMP '2024-01-10') FROM b
+UNION ALL SELECT 'missing', 'early', 'ratio', round(100.0::DOUBLE * count(*) FILTER (WHERE event_ts < TIMESTAMP '2024-01-10') / count(*), 4) FROM b
+UNION ALL SELECT 'length', 'summary', 'avg', round(avg(length(summary)), 4) FROM b UNION ALL SELECT 'length', 'summary', 'min', min(length(summary)) FROM b UNION ALL SELECT 'length', 'summary', 'max', max(length(summary)) FROM b
+UNION ALL SELECT 'date', 'event_ts', 'future', count(*) FILTER (WHERE event_ts > TIMESTAMP '2024-01-20') FROM b
+UNION ALL SELECT 'date', 'event_ts', 'oldest', epoch(min(event_ts)) FROM b UNION ALL SELECT 'date', 'event_ts', 'newest', epoch(max(event_ts)) FROM b
+UNION ALL SELECT * FROM (SELECT 'duplicate', link, 'n', count(*)::DOUBLE FROM b GROUP BY link HAVING count(*) > 1 ORDER BY 4 DESC, 2 LIMIT 10)
+UNION ALL SELECT 'language', category, 'n', count(*) FROM b GROUP BY category UNION ALL SELECT 'invalid', category, 'n', count(*) FROM b WHERE category NOT IN ('en', 'de') GROUP BY category"""
+)
+def quality_report(spark, d):
+    """All checks over articles of which some are stored twice or three times."""
+    once = _articles(spark, d)
+    rows = once.unionByName(once.where("doc_id % 50 = 0")).unionByName(once.where("doc_id % 100 = 0"))
+    conditions = {"title": "title = ''", "early": "event_ts < TIMESTAMP_NTZ '2024-01-10 00:00:00'"}
+    soon = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    return quality.quality_report(rows, conditions, ["summary"], "category", ["en", "de"], "link", "event_ts", soon)
+
+
 # --- titles, search ----------------------------------------------------------------------
 
 _TSTOP = ", ".join(f"'{w}'" for w in texts.TITLE_STOPWORDS)
@@ -664,6 +745,21 @@ def notification_messages(spark, d):
     return sums.select("category", text.alias("message"))
 
 
+@query(
+    _TAGS
+    + """SELECT category, 'Pipeline Completion Report' || chr(10) || repeat('=', 26) || chr(10) || chr(10) || 'Category: ' || category || chr(10) || 'Timestamp: 2024-01-31T00:00:00' || chr(10) || chr(10)
+  || 'Statistics:' || chr(10) || '  Sources: ' || count(DISTINCT source) || chr(10) || '  Collected: ' || count(*) || chr(10) || '  Matched: ' || count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM e))
+  || chr(10) || '  Errors: 0' || CASE WHEN category = 'en' THEN chr(10) || chr(10) || 'Report: https://reports.example.com/en' ELSE '' END AS message FROM art WHERE category IS NOT NULL GROUP BY category"""
+)
+def mail_messages(spark, d):
+    sums = _tagged(spark, d).where("category is not null").groupBy("category").agg(
+        F.count_distinct("source").alias("sources"), F.count("*").alias("collected"), F.count_if(F.size("matched_entities") > 0).alias("matched")
+    )
+    url = F.when(F.col("category") == "en", "https://reports.example.com/en")
+    text = reports.mail_text(F.col("category"), as_of(), F.col("sources"), F.col("collected"), F.col("matched"), F.lit(0), url)
+    return sums.select("category", text.alias("message"))
+
+
 @query(
     """SELECT event_id, CASE event_id % 4 WHEN 0 THEN least(event_id % 100 + 1, 60) WHEN 1 THEN event_id % 50 + 1 ELSE 0.5 END::DOUBLE AS delay FROM events"""
 )
@@ -843,6 +939,22 @@ def stored_dates(spark, d):
     )
 
 
+@query("SELECT event_id, CASE WHEN event_id % 5 < 4 THEN ts::DATE END AS day, CASE WHEN event_id % 5 < 4 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS utc FROM events")
+def article_days(spark, d):
+    """Days of articles by the first of four fields that tells one, and their moments in UTC from texts nine hours east."""
+    k, ts = F.col("event_id") % 5, F.col("ts")
+    east = F.concat(F.date_format(ts + F.expr("INTERVAL 9 HOURS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+09:00"))
+    rows = table(spark, d, "events").select(
+        "event_id",
+        F.when(k < 4, east).otherwise("no time").alias("told"),
+        F.when(k == 0, ts).alias("collected_at"),
+        F.when(k == 1, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+09:00'")).when(k == 2, "soon").otherwise("").alias("published_at"),
+        F.when(k == 3, F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSS")).when(k == 4, "2024-02-30").otherwise("2024-01-01T25:00:00").alias("published"),
+        F.when(k == 2, F.date_format(ts, "yyyy-MM-dd")).alias("date"),
+    )
+    return rows.select("event_id", decode.article_day(rows).alias("day"), F.date_format(decode.utc_ntz(F.col("told")), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
 @query(_ONTO + "SELECT 'docs' AS repo, count(*) AS n, min(doc_id) AS first_doc FROM o WHERE event_id = 'em.release' HAVING count(*) > 0")
 def ontology_violations(spark, d):
     """What the gate in front of the store reports."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,33 @@ def mail_datetime(value: Column) -> Column:
 def feed_datetime(published: Column, updated: Column, date: Column) -> Column:
     """The first of a feed entry's dates that can be read, written as in mail or in ISO form."""
     return F.coalesce(*[f(c) for c in (published, updated, date) for f in (mail_datetime, lambda x: iso_datetime(F.trim(x)))])
+
+
+def utc_ntz(value: Column) -> Column:
+    """A timestamp without a zone, in UTC, of an ISO text; one without an offset stays as it is."""
+    seconds = F.unix_micros(iso_datetime(value))
+    return F.to_timestamp_ntz(F.lit("1970-01-01T00:00:00")) + F.make_dt_interval(secs=(seconds / 1_000_000).cast("decimal(18,6)"))
+
+
+#: Where an article's date stands, in order.
+DATE_FIELDS = ("collected_at", "published_at", "published", "date")
+
+
+def article_day(rows: DataFrame) -> Column:
+    """The day of an article: its first field of DATE_FIELDS that holds a time, or a text whose first 19 characters are one.
+
+    Empty texts and ones of other forms give way to the next field; fields that the rows lack are passed over.
+    """
+    found = []
+    for name in DATE_FIELDS:
+        if name not in rows.columns:
+            continue
+        if rows.schema[name].dataType.simpleString() != "string":
+            found.append(F.to_date(name))
+            continue
+        text = F.substring(name, 1, 19)
+        form = r"^(\d{4}-\d{1,2}-\d{1,2})([T ]\d{1,2}:\d{1,2}:\d{1,2})?$"
+        time = F.transform(F.split(F.substring(F.regexp_extract(text, form, 2), 2, 8), ":"), lambda x: x.try_cast("int"))
+        fits = (F.regexp_extract(text, form, 2) == "") | ((F.get(time, F.lit(0)) < 24) & (F.get(time, F.lit(1)) < 60) & (F.get(time, F.lit(2)) < 60))
+        found.append(F.when(fits, F.try_to_date(F.regexp_extract(text, form, 1), "yyyy-M-d")))
+    return F.coalesce(*found) if found else F.lit(None).cast("date")

@@ -99,15 +99,19 @@ def is_expired_folder(name: Column, today: Column, keep_days: int) -> Column:
     return F.coalesce(F.try_to_date(name, "yyyy-MM-dd") < F.date_sub(today, keep_days), F.lit(False)) if keep_days >= 0 else F.lit(False)
 
 
-def retention_policy(files: DataFrame, today: Column, raw_days: int, report_days: int, snapshot_days: int = 30) -> DataFrame:
-    """One row of what retention removes from a listing (kind, name): raw_removed, report_removed, snapshots_removed."""
+def retention_policy(files: DataFrame, today: Column, raw_days: int, report_days: int, snapshot_days: int = 30, run_id: str | None = None, version: str | None = None) -> DataFrame:
+    """One row of what retention removes from a listing (kind, name): raw_removed, report_removed, snapshots_removed.
+
+    With a run's id or version, the row tells them as run_id and collector_version.
+    """
     name = F.col("name")
     old = {
         "raw_removed": (F.col("kind") == "raw") & is_expired_folder(name, today, raw_days),
         "report_removed": (F.col("kind") == "report") & is_expired_report(name, today, report_days),
         "snapshots_removed": (F.col("kind") == "snapshot") & is_expired_folder(name, today, snapshot_days),
     }
-    return files.agg(*[F.count_if(c).alias(n) for n, c in old.items()])
+    told = {n: F.lit(v) for n, v in (("run_id", run_id), ("collector_version", version)) if v is not None}
+    return files.agg(*[F.count_if(c).alias(n) for n, c in old.items()]).withColumns(told)
 
 
 def stamped(articles: DataFrame, at: Column, run_id: str | None = None, version: str | None = None, status: str | None = None) -> DataFrame:
@@ -128,3 +132,9 @@ def write_snapshot(articles: DataFrame, root: str, day: date) -> str:
     path = f"{root.rstrip('/')}/snapshots/{day.isoformat()}"
     articles.write.mode("overwrite").parquet(path)
     return path
+
+
+def source_shares(articles: DataFrame, limit: int = 15) -> DataFrame:
+    """What stands in for a crawl's health: the largest sources (source, success, failure, total, rate), all of it successes."""
+    counts = articles.where("source <> ''").groupBy("source").agg(F.count("*").alias("success")).orderBy(F.desc("success"), "source").limit(limit)
+    return counts.select("source", "success", F.lit(0).cast("long").alias("failure"), F.col("success").alias("total"), F.lit(100.0).alias("rate"))

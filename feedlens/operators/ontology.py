@@ -26,6 +26,39 @@ def load_contract(path: str) -> Contract | None:
     return found if isinstance(found, dict) else None
 
 
+def contract_dir(preferred: list[str | None], starts: list[str], names: tuple[str, ...] = ("runtime_contracts",)) -> str | None:
+    """The first folder that exists of the preferred ones, then of those called ``names`` beside or above each start."""
+    places = [os.path.expanduser(p.strip()) for p in preferred if p and p.strip()]
+    for start in starts:
+        base = start if os.path.isdir(start) else os.path.dirname(start)
+        above = [os.path.abspath(base)]
+        while os.path.dirname(above[-1]) != above[-1]:
+            above.append(os.path.dirname(above[-1]))
+        places += [os.path.join(folder, name) for folder in above for name in names]
+    return next((os.path.realpath(p) for p in places if os.path.isdir(p)), None)
+
+
+def find_contract(repo: str, preferred: list[str | None], starts: list[str], names: tuple[str, ...] = ("runtime_contracts",)) -> Contract | None:
+    """The contract of a repo in the folder that contract_dir finds, read once on the driver."""
+    folder = contract_dir(preferred, starts, names)
+    return load_contract(os.path.join(folder, f"{repo}.json")) if folder else None
+
+
+def _texts(values: Any) -> list[str]:
+    return [str(v).strip() for v in values if str(v).strip()] if isinstance(values, list) else []
+
+
+def field_spec(contract: Contract | None, key: str) -> dict[str, Any] | None:
+    """required_fields, optional_fields and field_enums of an event model's own key, without blanks and what is no list; None where there is none."""
+    specs = (contract or {}).get("event_model_field_specs")
+    found = specs.get(key.strip()) if isinstance(specs, dict) else None
+    if not isinstance(found, dict):
+        return None
+    enums = found.get("field_enums")
+    kept = {str(n).strip(): _texts(v) for n, v in enums.items() if str(n).strip() and isinstance(v, list)} if isinstance(enums, dict) else {}
+    return {"required_fields": _texts(found.get("required_fields")), "optional_fields": _texts(found.get("optional_fields")), "field_enums": kept}
+
+
 def _lookup(values: dict[str, str], key: Column) -> Column:
     if not values:
         return F.lit(None).cast("string")

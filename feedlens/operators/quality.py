@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,45 @@ def run_all(rows: DataFrame, key: str, text: list[str], language: str, date: str
     return tidy.unionByName(dups.select(F.lit("duplicate_keys").alias("check"), "value"))
 
 
+def quality_report(
+    rows: DataFrame, conditions: dict[str, str], text: list[str], language: str, allowed: list[str] | None, key: str, date: str, as_of: Column, limit: int = 10
+) -> DataFrame:
+    """Everything that the checks tell, as tidy rows (check, key, metric, value).
+
+    total; missing (each condition's count, and ratio in per cent, which is null without
+    rows); duplicate (the most repeated keys); length (avg, min and max of each text);
+    language (each value's count, null's too) and invalid (values that aren't allowed);
+    date (future, and oldest and newest in seconds).  All that needs no grouping is one
+    aggregate; keys and languages are one grouping each.
+    """
+    one = rows.agg(
+        F.count("*").alias("total"),
+        *[F.count_if(F.expr(c)).alias(f"missing_{i}") for i, c in enumerate(conditions.values())],
+        *[f(F.length(c)).alias(f"{k}_{i}") for i, c in enumerate(text) for k, f in (("avg", F.avg), ("min", F.min), ("max", F.max))],
+        F.count_if(F.col(date) > as_of).alias("future"),
+        F.unix_timestamp(F.min(date).cast("timestamp")).alias("oldest"),
+        F.unix_timestamp(F.max(date).cast("timestamp")).alias("newest"),
+    )
+
+    def cell(check: str, key: str | None, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), F.lit(key).cast("string").alias("key"), F.lit(metric).alias("metric"), value.cast("double").alias("value"))
+
+    cells = [cell("total", None, "n", F.col("total"))]
+    for i, name in enumerate(conditions):
+        share = F.when(F.col("total") > 0, F.round(100.0 * F.col(f"missing_{i}") / F.col("total"), 4))
+        cells += [cell("missing", name, "n", F.col(f"missing_{i}")), cell("missing", name, "ratio", share)]
+    for i, name in enumerate(text):
+        cells += [cell("length", name, "avg", F.round(f"avg_{i}", 4)), *[cell("length", name, k, F.col(f"{k}_{i}")) for k in ("min", "max")]]
+    cells += [cell("date", date, k, F.col(k)) for k in ("future", "oldest", "newest")]
+
+    def counted(check: str, found: DataFrame, key: str) -> DataFrame:
+        return found.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("key"), F.lit("n").alias("metric"), F.col("n").cast("double").alias("value"))
+
+    parts = [one.select(F.inline(F.array(*cells))), counted("duplicate", duplicate_keys(rows, F.col(key), limit), "key")]
+    parts += [counted("language", value_counts(rows, language), "value"), counted("invalid", invalid_values(rows, language, allowed), "value")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def validation_errors() -> Column:
     """Messages of what is wrong with an article, in fixed order."""
     blank = lambda c: c.rlike(r"(?U)\A[\s\x1C-\x1F]*\z")

@@ -60,6 +60,18 @@ def notification_text(category: Column, at: Column, sources: Column, collected:
     return F.when(F.length(text) > MESSAGE_LIMIT, F.concat(F.substring(text, 1, MESSAGE_LIMIT - 3), F.lit("..."))).otherwise(text)
 
 
+def mail_text(category: Column, at: Column, sources: Column, collected: Column, matched: Column, errors: Column, url: Column | None = None, heading: str = "Pipeline Completion Report") -> Column:
+    """A run's result as the plain text of a mail; its heading is underlined as far as it goes."""
+    # fixed values: the wording below the heading
+    text = F.format_string(
+        "%s\n\nCategory: %s\nTimestamp: %s\n\nStatistics:\n  Sources: %d\n  Collected: %d\n  Matched: %d\n  Errors: %d",
+        F.lit(f"{heading}\n{'=' * len(heading)}"), category, iso_text(at), sources, collected, matched, errors,
+    )
+    if url is None:
+        return text
+    return F.concat(text, F.when(F.coalesce(url, F.lit("")) != "", F.format_string("\n\nReport: %s", url)).otherwise(""))
+
+
 def iso_text(at: Column) -> Column:
     """ISO text of a time; the fraction is written only where there is one."""
     whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
@@ -79,13 +91,15 @@ def report_rows(articles: DataFrame) -> DataFrame:
     return articles.select("title", "link", "source", "summary", *times, F.coalesce("matched_entities", empty).alias("matched_entities"), *rest)
 
 
-def summary_rows(tagged: DataFrame, order: str, top: int = 20) -> DataFrame:
+def summary_rows(tagged: DataFrame, order: str, top: int = 20, given: dict[str, int] | None = None) -> DataFrame:
     """A summary as rows (section, name, count): article_count, source_count and matched_count, each source, and the top entities.
 
+    Of the three counts, those that the caller gives stand as they are given.
+
     The sections are separate aggregates; no list of them is built in one row.
     """
     one = summary_row(tagged)
-    counts = F.array(*[F.struct(F.lit(n).alias("section"), F.lit("").alias("name"), F.col(n).alias("count")) for n in one.columns])
+    counts = F.array(*[F.struct(F.lit(n).alias("section"), F.lit("").alias("name"), F.lit((given or {}).get(n, F.col(n))).cast("long").alias("count")) for n in one.columns])
     sources = tagged.where("source <> ''").groupBy(F.col("source").alias("name")).agg(F.count("*").alias("count"))
     best = top_entities(tagged, order, top).select(F.lit("top_entities").alias("section"), F.col("entity").alias("name"), F.col("hits").alias("count"))
     return one.select(F.inline(counts)).unionByName(sources.select(F.lit("sources").alias("section"), "name", "count")).unionByName(best)
@@ -104,6 +118,6 @@ def extra_sections(rows: DataFrame) -> DataFrame:
     """
     text = {c: F.trim(F.coalesce(c, F.lit(""))) for c in ("id", "title", "body_html", "panel_title", "subtitle", "nav_label", "aria_label")}
     labels = {c: F.coalesce(F.nullif(text[c], F.lit("")), text["title"]) for c in ("panel_title", "nav_label", "aria_label")}
-    badges = F.filter(F.transform(F.coalesce("badges", F.array().cast("array<string>")), F.trim), lambda b: b != "")
+    badges = F.filter(F.transform(F.coalesce("badges", F.array().cast("array<string>")), lambda b: F.trim(b)), lambda b: b != "")
     kept = rows.where((text["id"] != "") & (text["title"] != "") & (text["body_html"] != ""))
     return kept.select(*[c.alias(n) for n, c in (text | labels).items()], badges.alias("badges"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlens.functions.text import ENTITY_STOPWORDS, WORD, folded, holds_keyword
@@ -135,3 +135,32 @@ def heatmap(days: DataFrame, last_day: Column, width: int = 14, top: int = 15) -
     ranked = days.groupBy("entity").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "entity").limit(top)
     calendar = ranked.select("entity", F.explode(F.sequence(F.date_sub(last_day, width - 1), last_day)).alias("day"))
     return calendar.join(days, ["entity", "day"], "left").select("entity", "day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def entity_or_word_days(tagged: DataFrame, day: Column, order: str) -> DataFrame:
+    """Per entity and day the number of articles, and the first place (order, pos); untagged articles count their titles' words.
+
+    A word counts as often as it stands in the title.  Articles without a day, and names of
+    one letter, don't count.
+    """
+    rows = tagged.select(day.alias("day"), F.col(order).alias("order"), "title", "matched_entities").where("day is not null")
+    words = F.transform(F.split(F.trim("title"), r"\s+"), lambda w: F.btrim(w, F.lit(".,!?;:()[]\"'")))
+    words = F.filter(words, lambda w: ~F.lower(w).isin(*ENTITY_STOPWORDS))
+    names = F.when(F.size("matched_entities") > 0, F.map_keys("matched_entities")).otherwise(words)
+    named = rows.select("day", "order", F.posexplode(names).alias("pos", "entity")).where(F.length("entity") >= 2)
+    return named.groupBy("entity", "day").agg(F.count("*").alias("n"), F.min(F.struct("order", "pos")).alias("first"))
+
+
+def entity_matrix(days: DataFrame, last_day: Column, width: int = 14, top: int = 15) -> DataFrame:
+    """The chart of entities by day (position, entity, label, n): the top by all days, equal totals by first place.
+
+    The last days are filled with zeros; where all of them are zero, there is no chart (no rows).
+    """
+    ranked = days.groupBy("entity").agg(F.sum("n").alias("total"), F.min("first").alias("first")).orderBy(F.desc("total"), "first").limit(top)
+    # at most ``top`` rows come here
+    placed = ranked.withColumn("position", F.row_number().over(Window.orderBy(F.desc("total"), "first")))
+    calendar = placed.select("position", "entity", F.explode(F.sequence(F.date_sub(last_day, width - 1), last_day)).alias("day"))
+    cells = calendar.join(days.select("entity", "day", "n"), ["entity", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    # these windows hold at most top * width rows
+    cells = cells.withColumn("most", F.max("n").over(Window.partitionBy(F.lit(1))))
+    return cells.where("most > 0").select("position", "entity", F.date_format("day", "MM-dd").alias("label"), "n")

@@ -42,10 +42,45 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(text, rf"\A{_BLANK}|{_BLANK}\z", "")
 
 
-def html_summary(html: Column, most: int = 4000) -> Column:
-    """One line of text of a page's first characters."""
-    text = F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")
-    return F.trim(F.substring(text, 1, most))
+#: Names of the Korean encoding.
+_KOREAN = r"(?i)charset\s*=\s*['\"]?(euc-kr|ks_c_5601-1987|cp949)"
+
+
+def _korean(pages: Column) -> Column:
+    """Pages whose bytes were read as Latin-1 though they are Korean; null where they can't be."""
+
+    def repaired(page: str) -> str | None:
+        try:
+            return page.encode("latin-1", errors="ignore").decode("euc-kr")
+        except UnicodeDecodeError:
+            return None
+
+    @F.pandas_udf(T.StringType())
+    def repair(values: pd.Series) -> pd.Series:
+        return values.map(repaired, na_action="ignore")
+
+    return repair(pages)
+
+
+def _decoded(text: Column) -> Column:
+    """unescape, for which only texts with a reference leave the JVM."""
+    return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
+def html_summary(html: Column, selected: Column | None = None, body: Column | None = None, most: int = 4000) -> Column:
+    """A page's summary: the selected text, else the first characters of its body's text, else those of the page.
+
+    Of a page that names a Korean encoding, the bytes are decoded again and its tags stay;
+    of any other page, and where the bytes can't be decoded or say nothing, tags are
+    dropped.  Only Korean pages, and texts with character references, leave the JVM.
+    """
+    line = lambda c: F.regexp_replace(F.regexp_replace(c, rf"{_BLANK}", " "), r"^ | $", "")
+    strip = lambda c: F.regexp_replace(c, rf"\A{_BLANK}|{_BLANK}\z", "")
+    korean = F.nullif(F.substring(line(_korean(F.when(html.rlike(_KOREAN), html))), 1, most), F.lit(""))
+    plain = F.substring(_decoded(line(F.regexp_replace(html, r"<[^>]+>", " "))), 1, most)
+    given = [_decoded(F.nullif(strip(selected), F.lit("")))] if selected is not None else []
+    given += [_decoded(F.nullif(F.substring(strip(body), 1, most), F.lit("")))] if body is not None else []
+    return F.coalesce(*given, _decoded(korean), plain)
 
 
 def markdown_title(text: Column, url: Column) -> Column:
@@ -54,9 +89,24 @@ def markdown_title(text: Column, url: Column) -> Column:
     return F.coalesce(heading, named, url)
 
 
-def first_extracted(*extractors: Column) -> Column:
-    """The first extractor's result that is not null or empty."""
-    return F.coalesce(*[F.nullif(x, F.lit("")) for x in extractors])
+def extracted(url: Column, extractors: dict[str, Column], strict: bool = False) -> Column:
+    """What the first extractor with a result gives: struct (content, extractor, fallbacks, error).
+
+    ``fallbacks`` lists each step to the next extractor as ``first>second``.  A null is no
+    result, an empty text is one.  Where no extractor has one, ``error`` names them all;
+    ``strict`` fails the query instead.
+    """
+    names = list(extractors)
+    steps = [f"{a}>{b}" for a, b in zip(names, names[1:], strict=False)]
+    used, gone = F.lit(None).cast("string"), F.array(*[F.lit(x) for x in steps]).cast("array<string>")
+    for i in reversed(range(len(names))):
+        held = extractors[names[i]].isNotNull()
+        used = F.when(held, names[i]).otherwise(used)
+        gone = F.when(held, F.array(*[F.lit(x) for x in steps[:i]]).cast("array<string>")).otherwise(gone)
+    content = F.coalesce(*extractors.values()) if names else F.lit(None).cast("string")
+    told = F.concat(F.lit("All extractors failed for "), F.coalesce(url, F.lit("")), F.lit(f". Tried: {names}"))
+    error = F.when(content.isNull(), F.raise_error(told) if strict else told)
+    return F.struct(content.alias("content"), used.alias("extractor"), gone.alias("fallbacks"), error.alias("error"))
 
 
 def is_placeholder(href: Column) -> Column:

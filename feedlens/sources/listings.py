@@ -64,10 +64,13 @@ def parse_listings(raw: DataFrame, limit: int = 25) -> DataFrame:
     )
 
 
-def listing_url(url: Column, sort: str, limit: int) -> Column:
-    """JSON address of a subreddit's listing."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(url), r"\.rss$", ""), r"^https?://(www\.|old\.)?reddit\.com", "https://www.reddit.com")
-    return F.concat(F.regexp_replace(plain, "/*$", ""), F.lit(f"/{sort}.json?limit={min(limit, 100)}&raw_json=1"))
+def listing_url(url: Column, sort: str = "new", limit: int = 25, old: bool = False) -> Column:
+    """JSON address of a subreddit's listing, at the site's main host or at its older one; the scheme stays."""
+    # fixed values: the site's hosts
+    plain = F.regexp_replace(F.regexp_replace(url, r"\.rss/?$", ""), r"://(old\.)?reddit\.com", "://www.reddit.com")
+    plain = F.replace(plain, F.lit("://www.reddit.com"), F.lit("://old.reddit.com")) if old else plain
+    folder = F.when(plain.endswith("/"), plain).otherwise(F.concat(plain, F.lit("/")))
+    return F.concat(folder, F.lit(f"{sort}.json?limit={min(limit, 100)}&raw_json=1"))
 
 
 def parse_feeds(raw: DataFrame, limit: int = 50) -> DataFrame:
