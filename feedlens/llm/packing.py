@@ -107,6 +107,8 @@ class WordTokenizer:
         self.ranks = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={})
         self.plain = regex.compile(r"[\t\n\r\x20-\x7e\u00a1-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*").fullmatch
         self.gap = regex.compile(r"[\t\n\r ]").search
+        # a blank, or a place between full-width punctuation and a letter or number: no word holds either
+        self.cut = regex.compile(r"[\t\n\r ]|(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\p{L}\p{N}])").search
         kinds = [self._SPACE if chr(i).isspace() else {"L": self._LETTER, "N": self._NUMBER}.get(unicodedata.category(chr(i))[0], self._OTHER) for i in range(0x20AD)]
         self.kinds = np.array(kinds, dtype=np.uint8)
         self.weights = mix64(np.arange(1, 0x20AE, dtype=np.uint64))
@@ -174,6 +176,15 @@ class WordTokenizer:
         cut = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in pieces])[:-1])
         return np.split(ids, np.concatenate(([0], after))[cut])
 
+    def slices(self, text: str) -> Iterator[tuple[int, int]]:
+        """Starts and ends of stretches of a text of any script, each of which the model splits into words by itself."""
+        at = 0
+        while at < len(text):
+            gap = self.cut(text, at + _SLICE)
+            end = gap.start() if gap else len(text)
+            yield at, end
+            at = end
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
@@ -189,7 +200,8 @@ class WordTokenizer:
 
         for i, text in enumerate(texts):
             if "<|" in text or not self.plain(text):
-                out[i].append(np.array(self.model.encode(text, add_special_tokens=False).ids, dtype="<u4"))
+                for a, b in self.slices(text):
+                    out[i].append(np.array(self.model.encode(text[a:b], add_special_tokens=False).ids, dtype="<u4"))
                 continue
             low, at = text.lower(), 0
             while at < len(low):
@@ -298,8 +310,9 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
     Returns one row per piece: doc_id, start (ids of its document before it), length,
     ids_crc32, doc_tokens, sequence_id and offset.  A null or empty text is the end id
     alone.  Ties on the curve are ordered by a hash of the row; repeated rows are
-    documents of their own; an empty table gives no rows.  Long texts within
-    the plain range are tokenized in slices, others at once.  Extra columns are ignored.
+    documents of their own; an empty table gives no rows.  Long texts
+    are tokenized in slices, cut at blanks and behind full-width punctuation; a stretch
+    without either is one slice.  Extra columns are ignored.
     """
     spark = docs.sparkSession
     rows = written(tokenized(docs, path, end_id), "tokens")
