@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlens.llm import chat, decontam, digest, langid, licenses, neardup, packing, passages, ranked, secretscan, setjoin, structure, urltree
-from feedlens.llm.shared import written
+from feedlens.llm.shared import tables_dir
 
 
 def tokenizer_path() -> str:
@@ -52,8 +53,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
-    # the ledger is a table, so the join with it is dealt by its measured size; a run that is given an earlier ledger scans only what is new
-    ledger = written(secretscan.scan(docs), "ledger")
+    # the query begins a ledger of its own, so that it scans every blob; a job that keeps its path scans only what is new
+    ledger = secretscan.update(docs, f"{tables_dir(spark)}/ledger-{uuid.uuid4().hex}")
     found = secretscan.findings(docs, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     base = F.filter("spans", lambda s: s["rank"] < len(secretscan.BASE_RULES))

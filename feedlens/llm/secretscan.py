@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -129,6 +130,32 @@ def scan(history: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     return unseen(history, ledger, rules).select("blob_id", F.lit(rule_version(rules)).alias("rule_version"), found.alias("spans"))
 
 
+_LEDGER = f"blob_id string, rule_version string, spans {_SPAN}"
+
+
+def stored_ledger(spark: SparkSession, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame | None:
+    """What the ledger stored under a path knows by these rules (one folder a rule version); None if it has no such folder."""
+    try:
+        return spark.read.schema(_LEDGER).parquet(f"{path}/{rule_version(rules)}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def update(history: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Scans the blobs that the ledger stored under a path lacks, adds them to it, and returns all it knows by these rules.
+
+    Other rules, or the same in another order, are another version, by which every blob is
+    unseen.  Rows tell of one blob each, so that those of a write that broke off are right,
+    and the next one scans what is left.  One writer at a time.
+    """
+    spark = history.sparkSession
+    new = scan(history, stored_ledger(spark, path, rules), rules)
+    new.write.mode("append").option("compression", "zstd").parquet(f"{path}/{rule_version(rules)}")
+    return spark.read.schema(_LEDGER).parquet(f"{path}/{rule_version(rules)}")
+
+
 def findings(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All columns of the history with ``spans``: what the ledger knows of its text (no row is lost).
 
