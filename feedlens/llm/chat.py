@@ -25,9 +25,9 @@ from feedlens.llm.shared import with_key, without_key
 from feedlens.llm.textkit import batches
 
 #: Tokens of one window: those of its turns' roles and texts, and two a turn for its marks.
-BUDGET = 512
+BUDGET = 4096
 #: Of these, as many at most for repeated turns.
-HISTORY = 128
+HISTORY = 1024
 START, END = "<|im_start|>", "<|im_end|>"
 _ESCAPE = re.compile(r"<(\\*)\|")
 _UNESCAPE = re.compile(r"<(\\*)\\\|")
