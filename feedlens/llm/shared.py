@@ -99,7 +99,7 @@ def bucket_count(spark: SparkSession, rows: int, rows_each: int) -> int:
     return max(1, min(max(session_partitions(spark), math.ceil(rows / rows_each)), math.ceil(rows / 32), MOST_BUCKETS))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (node, component) with the smallest node.
 
     Alternates large-star and small-star steps (each node links its larger, then its
@@ -111,7 +111,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = now.checkpoint()
     before = _digest(now)
-    for _ in range(max_rounds):
+    while True:
         both = now.union(now.select("b", "a")).toDF("a", "b")
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         down = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -122,7 +122,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before == after:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = after
-    raise RuntimeError("components did not settle")
 
 
 def _digest(edges: DataFrame) -> tuple:
