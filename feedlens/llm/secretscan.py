@@ -8,6 +8,7 @@ findings are joined back to all paths that ever held the blob.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -47,30 +48,46 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 
-_BLOCK = 256
+_BLOCK = 128
 
 
 def rule_version(rules: tuple[Rule, ...] = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def _running(lengths: Column) -> Column:
-    """Sums before each element, by blocks, so that many matches do not cost a square."""
-    add = lambda a, x: a + x
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, however often lambdas below refer to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    """Numbers of the blocks of an array."""
+    n = F.ceil(F.size(values) / _BLOCK).cast("int")
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _block(values: Column, number: Column) -> Column:
+    return F.slice(values, number * _BLOCK + 1, F.lit(_BLOCK))
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What ``add`` makes of zero and the values before each, by blocks, so that many matches do not cost a square."""
     zero = F.lit(0).cast("long")
-    blocks = F.ceil(F.size(lengths) / _BLOCK).cast("int")
-    numbers = F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
-    totals = F.transform(numbers, lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), zero, add))
-    return F.flatten(
-        F.transform(
-            numbers,
-            lambda b: F.transform(
-                F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)),
-                lambda _, i: F.aggregate(F.slice(totals, F.lit(1), b), zero, add)
-                + F.aggregate(F.slice(lengths, b * _BLOCK + 1, i), zero, add),
-            ),
-        )
-    )
+
+    def folded(xs: Column) -> Column:
+        def within(totals: Column) -> Column:
+            def one(b: Column) -> Column:
+                ahead = F.aggregate(F.slice(totals, F.lit(1), b), zero, add)
+                return _let(
+                    F.struct(ahead.alias("ahead"), _block(xs, b).alias("own")),
+                    lambda x: F.transform(x["own"], lambda _, i: F.aggregate(F.slice(x["own"], F.lit(1), i), x["ahead"], add)),
+                )
+
+            return F.flatten(F.transform(_blocks(xs), one))
+
+        return _let(F.transform(_blocks(xs), lambda b: F.aggregate(_block(xs, b), zero, add)), within)
+
+    return _let(values, folded)
 
 
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
@@ -79,23 +96,28 @@ _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of one rule in a text, in code points, from what lies between the matches."""
     pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long"))
-    sizes = F.transform(matches, lambda x: F.length(x).cast("long"))
-    lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(sizes)), sizes, lambda a, b: a + b)
-    rows = F.arrays_zip(
-        _running(lengths).alias("before"), F.slice(gaps, F.lit(1), F.size(sizes)).alias("gap"), sizes.alias("size"), values.alias("value")
-    )
-    spans = F.transform(
-        F.filter(rows, lambda x: F.length(x["value"]) >= rule.at_least),
-        lambda x: F.struct(
-            (x["before"] + x["gap"]).alias("start"),
-            F.lit(rank).alias("rank"),
-            (x["before"] + x["gap"] + x["size"]).alias("end"),
-            F.lit(rule.kind).alias("kind"),
-        ),
+    lengths = lambda texts: F.transform(texts, lambda x: F.length(x).cast("long"))
+    found = F.struct(
+        lengths(F.regexp_extract_all(text, pattern, F.lit(0))).alias("sizes"),
+        lengths(F.regexp_extract_all(text, pattern, F.lit(rule.group))).alias("values"),
+        lengths(F.split(text, rule.pattern, -1)).alias("gaps"),
     )
+
+    def located(x: Column) -> Column:
+        gaps = F.slice(x["gaps"], F.lit(1), F.size(x["sizes"]))
+        before = _running(F.zip_with(gaps, x["sizes"], lambda a, b: a + b), lambda a, b: a + b)
+        rows = F.arrays_zip(before.alias("before"), gaps.alias("gap"), x["sizes"].alias("size"), x["values"].alias("value"))
+        return F.transform(
+            F.filter(rows, lambda r: r["value"] >= rule.at_least),
+            lambda r: F.struct(
+                (r["before"] + r["gap"]).alias("start"),
+                F.lit(rank).alias("rank"),
+                (r["before"] + r["gap"] + r["size"]).alias("end"),
+                F.lit(rule.kind).alias("kind"),
+            ),
+        )
+
+    spans = _let(found, located)
     return F.when(text.rlike(rule.hint or rule.pattern), spans).otherwise(F.array()).cast(_SPAN)
 
 
@@ -172,16 +194,26 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each stretch of (merged) spans replaced by ``[REDACTED]``."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    """The text with each stretch of spans, ordered by start, replaced by ``[REDACTED]``; overlapping ones are one stretch.
+
+    The text is cut once a block of spans, and each span's piece from its block's.
+    """
+
+    def pieces(rows: Column) -> Column:
+        def block(own: Column) -> Column:
+            begin = F.get(own, F.lit(0))["before"]
+            cut = F.substring(text, (begin + 1).cast("int"), (F.get(own, F.size(own) - 1)["start"] - begin).cast("int"))
+
+            def piece(part: Column) -> Column:
+                lead = lambda r: F.substring(part["cut"], (r["before"] - part["begin"] + 1).cast("int"), (r["start"] - r["before"]).cast("int"))
+                return F.array_join(F.transform(own, lambda r: F.when(r["start"] >= r["before"], F.concat(lead(r), F.lit("[REDACTED]"))).otherwise("")), "")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        lead = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], F.array(lead, F.lit("[REDACTED]")))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+            return _let(F.struct(begin.alias("begin"), cut.alias("cut")), piece)
 
-    def finish(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+        parts = F.transform(_blocks(rows), lambda b: _let(_block(rows, b), block))
+        last = F.array_max(F.transform(rows, lambda r: r["end"]))
+        return F.concat(F.array_join(parts, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, finish)).otherwise(text)
+    ends = F.transform(spans, lambda s: s["end"])
+    rows = F.arrays_zip(F.transform(spans, lambda s: s["start"]).alias("start"), _running(ends, lambda a, b: F.greatest(a, b)).alias("before"), ends.alias("end"))
+    return F.when(F.size(spans) > 0, _let(rows, pieces)).otherwise(text)
