@@ -97,31 +97,52 @@ def totals(health: DataFrame, limit: int = 20) -> DataFrame:
     return rows.select("source", "total", F.round(100 * F.col("success_count") / F.col("total"), 1).alias("rate")).orderBy(F.desc("total"), "source").limit(limit)
 
 
-def throttle_fold(events: DataFrame, low: float = 0.5, high: float = 60.0, success: float = 0.9, failure: float = 2.0) -> DataFrame:
+def throttle_fold(events: DataFrame, low: float = 0.5, high: float = 60.0, success: float = 0.9, failure: float = 2.0, width: int = 4096) -> DataFrame:
     """The delay of each source after its events in order of ``seq``: failures multiply it, successes take a fixed step off.
 
-    The state of a source is a few numbers; its events stream through one task in order,
-    and are never gathered.
+    A source's events are folded by stretches of ``width`` numbers, in parallel, from the
+    least and from the greatest delay.  No step turns two delays' order round, so where both
+    end alike, every delay does, and what came before doesn't matter.  Only the events after
+    a source's last such stretch are then replayed in order, streaming through one task, and
+    the result is that of one fold over all.  Numbers are unique within a source (``width``
+    bounds what one group holds); a status of null is a success.
     """
     step = low * (1.0 - success)
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, delay, n = None, low, 0
-        for part in parts:
+    rows = events.select("source", "seq", F.coalesce(F.lower("fetch_status").isin(*FAILURES), F.lit(False)).alias("bad"))
+    rows = rows.withColumn("part", F.floor(F.col("seq") / width))
+
+    def replayed(start: float) -> Column:
+        return F.aggregate(
+            "events",
+            F.lit(float(start)),
+            lambda x, e: F.when(e["bad"], F.greatest(F.lit(low), F.least(F.lit(high), x * failure))).otherwise(F.greatest(F.lit(low), x - step)),
+        )
+
+    parts = rows.groupBy("source", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "bad"))).alias("events"))
+    parts = parts.select("source", "part", F.size("events").alias("n"), replayed(low).alias("least"), replayed(high).alias("most"))
+    settled = F.max(F.when(F.col("least") == F.col("most"), F.struct("part", F.col("least").alias("delay")))).alias("settled")
+    known = parts.groupBy("source").agg(F.sum("n").alias("n_events"), settled)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, delay, any_yet = None, low, False
+        for batch in batches:
             out = []
-            for own, bad in zip(part["source"], part["bad"], strict=True):
-                if n and own != source:
-                    out.append((source, delay, n))
-                    delay, n = low, 0
-                source, n = own, n + 1
-                delay = max(low, min(high, delay * failure) if bad else max(low, delay - step))
-            yield pd.DataFrame(out, columns=["source", "delay", "n_events"])
-        if n:
-            yield pd.DataFrame([(source, delay, n)], columns=["source", "delay", "n_events"])
-
-    rows = events.select("source", "seq", F.lower("fetch_status").isin(*FAILURES).alias("bad"))
-    ordered = rows.repartition("source").sortWithinPartitions("source", "seq")
-    return ordered.mapInPandas(fold, "source string, delay double, n_events long")
+            for own, bad, start in zip(batch["source"], batch["bad"], batch["start"], strict=True):
+                if not any_yet or own != source:
+                    if any_yet:
+                        out.append((source, delay))
+                    source, delay, any_yet = own, start, True
+                delay = max(low, min(high, delay * failure)) if bad else max(low, delay - step)
+            yield pd.DataFrame(out, columns=["source", "delay"])
+        if any_yet:
+            yield pd.DataFrame([(source, delay)], columns=["source", "delay"])
+
+    begun = known.select(F.col("source").alias("own"), F.col("settled.part").alias("until"), F.coalesce("settled.delay", F.lit(low)).alias("start"))
+    rest = rows.join(begun, F.col("source").eqNullSafe(F.col("own"))).where("until is null or part > until").select("source", "seq", "bad", "start")
+    ordered = rest.repartition("source").sortWithinPartitions("source", "seq")
+    last = ordered.mapInPandas(fold, "source string, delay double").select(F.col("source").alias("own"), F.col("delay").alias("last"))
+    found = known.join(last, F.col("source").eqNullSafe(F.col("own")), "left")
+    return found.select("source", F.coalesce("last", "settled.delay").alias("delay"), "n_events")
 
 
 def breaker_fold(events: DataFrame, fail_max: int = 5, reset_seconds: float = 60.0, successes: int = 2) -> DataFrame:

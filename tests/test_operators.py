@@ -103,6 +103,24 @@ def test_throttle(spark):
     assert got == {"a": 1.0, "b": pytest.approx(0.9), "c": 2.0}
 
 
+@pytest.mark.parametrize("width", [1, 16, 64, 4096])
+def test_throttle_over_stretches(spark, width):
+    rng = random.Random(width)
+    rows = [("often", i, "error" if rng.random() < 0.5 else "ok") for i in range(3000)]
+    rows += [("seldom", 7 * i, "timeout" if rng.random() < 0.02 else None) for i in range(2500)]
+    # never settles: a step down from a delay between the bounds, and up again
+    rows += [("between", i, "error" if i % 40 == 0 and i < 200 else "ok") for i in range(300)] + [(None, 5, "error"), (None, 9, "error")]
+    rng.shuffle(rows)
+    found = health.throttle_fold(spark.createDataFrame(rows, "source string, seq long, fetch_status string"), width=width)
+    got = {r["source"]: (r["delay"], r["n_events"]) for r in found.collect()}
+    want = {}
+    for source, _, status in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        delay, n = want.get(source, (0.5, 0))
+        bad = status in ("error", "timeout")
+        want[source] = (max(0.5, min(60.0, delay * 2.0)) if bad else max(0.5, delay - 0.5 * (1.0 - 0.9)), n + 1)
+    assert got == want
+
+
 @pytest.mark.parametrize(("value", "want"), [("12", 12.0), ("Wed, 01 May 2024 10:00:30 GMT", 30.0), ("900", 60.0), ("soon", 0.5)])
 def test_retry_after(spark, value, want):
     assert one(spark, health.retry_after(F.col("v"), F.lit("2024-05-01 10:00:00").cast("timestamp_ntz"), 0.5, 60.0), v=value) == want
