@@ -68,9 +68,13 @@ OP13 = f"{_linked(4)} SELECT * FROM l"
 
 OP6 = rf"""
 WITH d AS ({_shingles("documents", "doc_id", _WORDS)}), i AS ({_shingles("benchmark", "item_id", _WORDS)}),
-n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id),
+r AS (SELECT item_id, regexp_extract_all({_LOWERED}, '{_WORDS}') AS w FROM benchmark),
+f AS (SELECT DISTINCT item_id, ' ' || array_to_string(w, ' ') || ' ' AS run FROM r WHERE len(w) BETWEEN 1 AND 4),
+t AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all({_LOWERED}, '{_WORDS}'), ' ') || ' ' AS run FROM documents)
 SELECT doc_id, item_id, n AS n_item, count(*)::BIGINT AS n_shared, round(count(*)::DOUBLE / n, 6) AS containment
-FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 10 * count(*) >= 8 * n
+FROM d JOIN i USING (s) JOIN n USING (item_id) ANTI JOIN f USING (item_id) GROUP BY doc_id, item_id, n HAVING 10 * count(*) >= 8 * n
+UNION ALL SELECT DISTINCT doc_id, item_id, 1, 1, 1.0::DOUBLE FROM t JOIN f ON contains(t.run, f.run)
 """
 
 _KINDS = (

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from feedlens.llm import decontam
+import duckdb
+import pandas as pd
+
+from feedlens.llm import decontam, oracles
 
 from .fixtures import LETTER_WORD, frame, prose, shingle_set, words_of
 
@@ -26,3 +29,7 @@ def test_small_items_inside_long_documents(spark):
     got = {(r["doc_id"], r["item_id"], r["n_item"], r["n_shared"]) for r in found.collect()}
     assert len(want) >= len(items)
     assert (len(want - got), len(got - want)) == (0, 0)
+    sql = duckdb.connect()
+    sql.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    sql.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    assert {r[:4] for r in sql.execute(oracles.OP6).fetchall()} == want
