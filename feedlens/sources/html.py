@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import html as _html
+import re
+from collections.abc import Callable
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,18 +31,37 @@ def unescape(text: Column) -> Column:
     return decode(text)
 
 
+#: The references that HTML 4 names, each with its semicolon, and the apostrophe's two; and blanks around a text in RE2.
+NAMED = {f"&{k};": chr(v) for k, v in name2codepoint.items()} | {"&apos;": "'", "&#39;": "'"}
+PLAIN_BLANK = r"[ \t\n\f\r\xA0]+"
+
+
+def named_references(text: Column) -> Column:
+    """The references in NAMED decoded; others, and those that lack their semicolon, stay as they are."""
+    form = re.compile("&(?:[A-Za-z0-9]+|#39);")
+
+    @F.pandas_udf(T.StringType())
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: form.sub(lambda m: NAMED.get(m[0], m[0]), x), na_action="ignore")
+
+    return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
+
+
 def html_title(html: Column, fallback: Column) -> Column:
     found = F.regexp_extract(html, _TITLE, 1)
     return F.coalesce(F.nullif(F.trim(found), F.lit("")), fallback)
 
 
-def html_text(html: Column) -> Column:
-    """Text of a page: scripts and styles dropped, block tags as line ends, other tags dropped."""
+def html_text(html: Column, decode: Callable[[Column], Column] = unescape, blank: str = _BLANK) -> Column:
+    """Text of a page: scripts and styles dropped, block tags as line ends, other tags dropped.
+
+    ``decode`` reads the character references, and ``blank`` is what is stripped at both ends.
+    """
     text = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", "")
     text = F.regexp_replace(text, rf"(?i)</?({_BLOCKS})[^>]*>", "\n")
-    text = unescape(F.regexp_replace(text, r"<[^>]+>", ""))
+    text = decode(F.regexp_replace(text, r"<[^>]+>", ""))
     text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, rf"\A{_BLANK}|{_BLANK}\z", "")
+    return F.regexp_replace(text, rf"\A{blank}|{blank}\z", "")
 
 
 #: Names of the Korean encoding.

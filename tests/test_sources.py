@@ -55,3 +55,15 @@ def test_feed_and_listing_decode_all_references(spark):
     raw = spark.createDataFrame([("s", "c", json.dumps({"kind": "Listing", "data": {"children": [child]}}))], "source string, category string, body string")
     row = listings.parse_listings(raw).first()
     assert row["title"] == "T \u00a9" and row["summary"].endswith("x \u2014 y")
+
+
+def test_page_text_length_as_its_sql(spark, tmp_path):
+    """References without a semicolon, unknown and numeric ones, and blanks that only one of two engines strips."""
+    import duckdb
+
+    rows = [(i, p) for i, p in enumerate([*PAGES, "<b>x&amp&amp;&amp;&amp</b> &copy &copy; &#8212; &ampx; &amp;lt;", "\u2002 a &ensp;", "&apos;&#39;&#x27;\x0b"])]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(f"SELECT page_id, n_chars, text_md5 FROM ({catalog.ORACLES['page_text_length']})").fetchall())
+    assert sorted(tuple(r) for r in catalog.QUERIES["page_text_length"](spark, str(tmp_path)).select("page_id", "n_chars", "text_md5").collect()) == want
