@@ -52,8 +52,7 @@ class Index:
         spark = docs.sparkSession
         held = self._stored(spark, "documents")
         segment = 1 + (held.agg(F.max("segment")).first()[0] or 0) if held is not None else 0
-        parts = [docs.select(F.col(self.key).alias("key"), F.lit(c).alias("field"), F.posexplode(plain.tokens(F.col(c))).alias("place", "token")) for c in COLUMNS]
-        rows = functools.reduce(DataFrame.unionByName, parts).groupBy("key", "field", "token").agg(F.array_sort(F.collect_list("place")).alias("places"))
+        rows = plain.postings(docs.select(F.col(self.key).alias("key"), *COLUMNS), "key")
         rows = rows.withColumn("bucket", _bucket(F.col("token"))).repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(16)))
         rows.sortWithinPartitions("bucket", "token").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment={segment}")
         sizes = docs.select(F.col(self.key).alias("key"), functools.reduce(operator.add, [F.size(plain.tokens(F.col(c))) for c in COLUMNS]).alias("dl"))

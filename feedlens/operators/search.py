@@ -10,10 +10,15 @@ from __future__ import annotations
 import functools
 import operator
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -133,12 +138,66 @@ def snippet(body: Column, words: list[str], size: int = 32) -> Column:
     return F.when(F.size(parts) <= size, mark).otherwise(cut)
 
 
-def postings(docs: DataFrame, key: str) -> DataFrame:
-    """(key, field, token, places) of documents (key, title, body): where each word stands, from 0."""
-    held = [docs.select(key, F.lit(c).alias("field"), F.posexplode(tokens(F.col(c))).alias("place", "token")) for c in COLUMNS]
-    return functools.reduce(DataFrame.unionByName, held).groupBy(key, "field", "token").agg(F.array_sort(F.collect_list("place")).alias("places"))
+#: Tokens whose places are listed at once.
+LISTED_AT_ONCE = 1 << 20
+
+
+def _sliced(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch of rows (key, tokens of each field) in stretches of about so many tokens, of one row at least."""
+    sizes = sum(pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in COLUMNS)
+    part = (np.cumsum(sizes) - sizes) // limit
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))).tolist() if len(part) else []
+    for begin, end in zip(cut, [*cut[1:], len(part)], strict=True):
+        yield batch.slice(begin, end - begin)
+
+
+def _listed(names: list[str], limit: int):
+    """Rows (key, field, token, places) of each document, which never leaves its task."""
+
+    def places(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat, owner, place, field = [], [], [], []
+        for f, name in enumerate(COLUMNS):
+            held = batch.column(name)
+            sizes = pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat.append(held.flatten())
+            owner.append(np.repeat(np.arange(len(sizes)), sizes))
+            place.append(np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes))
+            field.append(np.full(sizes.sum(), f))
+        coded = pa.concat_arrays(flat).dictionary_encode()
+        owner, place, field = (np.concatenate(x) for x in (owner, place, field))
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        rank = (owner * len(coded.dictionary) + code) * len(COLUMNS) + field
+        # stable: places stay in order
+        order = np.argsort(rank, kind="stable")
+        begin = np.flatnonzero(np.concatenate(([True], np.diff(rank[order]) != 0))) if len(order) else order
+        one = order[begin]
+        ends = np.append(begin, len(order)).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))
+        named = pa.array(COLUMNS, coded.dictionary.type).take(pa.array(field[one]))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[one])), named, coded.dictionary.take(pa.array(code[one])), listed], names=names)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for part in _sliced(whole, limit):
+                yield places(part)
+
+    return run
+
+
+def postings(docs: DataFrame, key: str, limit: int = LISTED_AT_ONCE) -> DataFrame:
+    """(key, field, token, places) of documents (key, title, body): where each word stands, from 0.
+
+    A row of documents has a posting for each of its words; words aren't shuffled to be listed.
+    """
+    rows = docs.select(key, *[tokens(F.col(c)).alias(c) for c in COLUMNS])
+    schema = T.StructType([rows.schema[0]]).add("field", "string").add("token", "string").add("places", T.ArrayType(T.IntegerType()))
+    return rows.mapInArrow(_listed(schema.names, limit), schema)
 
 
 def upsert_postings(held: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """Postings with those of the given documents (one row a key) replaced; all others stay as they are."""
-    return held.join(docs.select(key).distinct(), key, "left_anti").unionByName(postings(docs, key))
+    """Postings with those of the given documents (one row a key) replaced; all others stay as they are.
+
+    Both parts are dealt by key, so that what counts by key and token needs no further shuffle.
+    """
+    kept = held.repartition(key).join(docs.select(key).distinct(), key, "left_anti")
+    return kept.unionByName(postings(docs, key).repartition(key))

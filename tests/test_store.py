@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 from urllib.parse import urljoin
 
 import pytest
@@ -226,3 +227,18 @@ def test_script_links_by_template(spark):
     rows = spark.createDataFrame([("javascript:go('x 1')",), ("JavaScript:void(0)",), ("javascript:other('2')",), ("mailto:a@b",), ("#",)], "h string")
     got = [r[0] for r in rows.select(html.resolve_link(F.col("h"), F.lit("http://a.org/"), {"go": "http://a.org/v/{id}"})).collect()]
     assert got == ["http://a.org/v/x%201", None, None, None, None]
+
+
+def test_postings_against_plain_python_and_without_a_shuffle_of_words(spark):
+    rows = [(None, None, "x"), (1, "Alpha beta", "beta, alpha beta"), (2, "", ""), (3, "é1 É1", "gamma " * 50), *_texts(60)[4:]]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string")
+    want = {}
+    for key, *texts in rows:
+        for field, text in zip(("title", "body"), texts, strict=True):
+            for place, token in enumerate(re.findall(r"[^\W_]+", (text or "").lower())):
+                want.setdefault((key, field, token), []).append(place)
+    for limit in (1, 40, 1 << 20):
+        found = search.postings(docs, "doc_id", limit)
+        got = [(tuple(r[:3]), r["places"]) for r in found.collect()]
+        assert dict(got) == want and len(got) == len(want)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
