@@ -32,8 +32,8 @@ ROWS_PER_BUCKET = 20_000
 BUCKETS_PER_TASK = 8
 WEIGHED = 256
 _CACHED_WORDS = 150_000
-#: Characters that are split into words at once.
-_SLICE = 1 << 20
+#: Characters that are split into words at once; scratch memory is some fifty times as many bytes.
+_SLICE = 1 << 18
 
 
 def laid(store: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -330,6 +330,8 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
     full, tail = total // size, _tail(total, size)
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the worker's tokenizer and its words are used up
+        tokenizer.cache_clear()
         bucket, at = None, 0
         ends = np.array(tail, dtype=np.int64)
         for part in parts:

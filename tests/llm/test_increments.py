@@ -65,3 +65,17 @@ def test_chain_of_thousands_of_links_settles(spark):
     random.Random(1).shuffle(nodes)
     found = components(spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long").repartition(4))
     assert {r["node"]: r["component"] for r in found.collect()} == {i: 0 for i in range(1, 4000)}
+
+
+def test_tokenizer_splits_words_in_little_memory():
+    """Of two million characters, what is held at once is bounded by a slice's."""
+    import tracemalloc
+
+    words = packing.WordTokenizer(tokenizer_path())
+    texts = [" ".join(f"w{(i * 7 + j) % 900}" for j in range(300)) for i in range(1_600)]
+    words.batch(texts[:10])
+    tracemalloc.start()
+    ids = words.batch(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - sum(x.nbytes for x in ids) < 40 << 20
