@@ -4,14 +4,16 @@ The similarity is Ratcliff and Obershelp's, which no built-in function computes.
 characters that it matches, over both lengths, is at most twice the longest common
 subsequence over both lengths.  So texts that reach the threshold share many pairs of
 neighbouring characters, and one of the rarest of each: texts meet in a join on those,
-and the ratio is computed only for what passes the bounds on lengths and on characters.
+and the ratio is computed only for what passes the bounds on lengths, on pairs and on characters.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,10 +64,51 @@ def candidates(texts: DataFrame, at_least: float) -> DataFrame:
     listed = listed.select("group", "gram", "text", "n").unionByName(rows.where(F.col("n") <= short).select("group", F.lit("").alias("gram"), "text", "n"))
     left, right = (listed.select("group", "gram", F.col("text").alias(f"text{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     near = left.join(right, ["group", "gram"]).where("text1 < text2").where(2 * F.least("n1", "n2") >= at_least * (F.col("n1") + F.col("n2")) - 1e-9)
+    # most pairs end here, before any of them is shuffled
+    need = F.ceil(share * (F.col("n1") + F.col("n2")) - 1 - 1e-9)
+    near = near.where(shared_pairs(F.col("text1"), F.col("text2")) >= need)
     near = near.select("group", "text1", "text2").distinct()
     return near.where(letters_ratio(F.col("text1"), F.col("text2")) >= at_least - 1e-9)
 
 
+#: Counters of a text's pairs of characters, and texts whose counters a task keeps.
+COUNTERS = 256
+KEPT_TEXTS = 1 << 15
+
+
+def _pair_counts(text: str) -> np.ndarray:
+    """How often pairs of neighbouring characters stand in a text, by their hashes."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    place = (points[:-1] * np.uint32(0x9E3779B1) ^ points[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+    return np.bincount(place, minlength=COUNTERS)
+
+
+@F.pandas_udf(T.LongType())
+def shared_pairs(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """An upper bound of the pairs of neighbouring characters that two texts share, as often as these stand in both.
+
+    Pairs that share a counter only add to it.
+    """
+    place: dict[str, int] = {}
+    held = np.zeros((0, COUNTERS), dtype=np.int32)
+
+    def places(texts: pd.Series) -> np.ndarray:
+        nonlocal held
+        new = [x for x in texts.unique() if x not in place]
+        if new:
+            held = np.concatenate((held, np.array([_pair_counts(x) for x in new], dtype=np.int32)))
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+        return texts.map(place).to_numpy(dtype=np.int64)
+
+    for left, right in parts:
+        if len(place) > KEPT_TEXTS:
+            place.clear()
+            held = held[:0]
+        a, b = places(left), places(right)
+        out = [np.minimum(held[a[i : i + 8192]], held[b[i : i + 8192]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), 8192)]
+        yield pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=np.int64))
+
+
 @F.pandas_udf(T.DoubleType())
 def letters_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """An upper bound of the ratio, from how often each character stands in both."""

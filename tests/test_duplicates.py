@@ -75,6 +75,18 @@ def test_candidates_miss_none_and_are_few(spark, at_least):
     assert len(got) < len(titles) ** 2 // 2 // 20
 
 
+def test_candidates_of_the_same_letters_are_few(spark):
+    """Titles of equal letters in other orders are no candidates; ones with a letter dropped are."""
+    pick = random.Random(9)
+    letters = list("the general report of an open market in the north")
+    titles = ["".join(pick.sample(letters, len(letters))) for _ in range(300)]
+    titles += [t[:20] + t[21:] for t in titles[:40]] + ["e", "ee", ""]
+    df = spark.createDataFrame([("g", t) for t in titles], "`group` string, text string")
+    got = {(r["text1"], r["text2"]) for r in duplicates.candidates(df, 0.85).collect()}
+    want = {tuple(sorted((t, t[:20] + t[21:]))) for t in titles[:40]}
+    assert want <= got and len(got) < 400
+
+
 def test_empty_articles(spark):
     df = spark.createDataFrame([], "link string, title string")
     assert duplicates.duplicate_articles(df).count() == 0
