@@ -7,7 +7,9 @@ import random
 import sqlite3
 from datetime import datetime
 
+import numpy as np
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from feedlens.functions import text as texts
@@ -170,6 +172,45 @@ def test_leader_clustering_against_scan(spark):
     assert got == _greedy(rows, 0.7)
 
 
+def _shuffled(spark):
+    """Records that the session's stages have shuffled so far."""
+    store, total, number, missing = spark.sparkContext._jsc.sc().statusStore(), 0, 0, 0
+    while missing < 30:
+        try:
+            total, missing = total + store.lastStageAttempt(number).shuffleWriteRecords(), 0
+        except Py4JJavaError:
+            missing += 1
+        number += 1
+    return total
+
+
+def test_similar_titles_of_common_words(spark):
+    """Titles of common words, some of them repeated: only similar ones leave a task, as no candidates are shuffled."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(150)]
+    titles = [[rng.choice(words) for _ in range(rng.choice((2, 9, 30, 30, 30)))] for _ in range(2000)]
+    titles += [[*t[:-2], rng.choice(words), "again"] for t in titles[:300]]
+    titles += [[rng.choice(words)] * rng.randint(20, 40) + rng.sample(words, 12) for _ in range(100)] + [[w] for w in words[:60]]
+    counts = np.zeros((len(titles), 151))
+    for i, t in enumerate(titles):
+        for w in t:
+            counts[i, 150 if w == "again" else int(w[1:])] += 1
+    counts /= np.linalg.norm(counts, axis=1)[:, None]
+    cosines = counts @ counts.T
+    reps = spark.createDataFrame([(f"k{i:05}", sorted(t)) for i, t in enumerate(titles)], "rep string, signature array<string>").repartition(8)
+    before = _shuffled(spark)
+    found = {(r["a"], r["b"]): r["cosine"] for r in clustering.similar_pairs(reps, 0.7).collect()}
+    assert _shuffled(spark) - before < 20 * len(titles)
+    left, right = np.nonzero(np.triu(cosines > 0.7 + 1e-9, 1))
+    want = {(f"k{i:05}", f"k{j:05}"): cosines[i, j] for i, j in zip(left, right, strict=True)}
+    assert len(want) > 300 and all(abs(found[x] - want[x]) < 1e-9 for x in want)
+    assert all(x in want or abs(found[x] - 0.7) < 1e-9 for x in found)
+
+
+def test_similar_titles_of_no_titles(spark):
+    assert clustering.similar_pairs(spark.createDataFrame([], "rep string, signature array<string>"), 0.7).count() == 0
+
+
 def test_search_against_fts5(spark):
     docs = [("1", "alpha news", "beta gamma alpha"), ("2", "beta", "gamma gamma delta"), ("3", "delta epsilon", "alpha beta gamma delta"), ("4", "zeta", "eta theta"), ("5", "eta", "general public license"), ("6", "iota", "kappa")]
     con = sqlite3.connect(":memory:")
