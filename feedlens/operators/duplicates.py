@@ -2,14 +2,12 @@
 
 The similarity is Ratcliff and Obershelp's, which no built-in function computes.  Twice the
 characters that it matches, over both lengths, is at most twice the longest common
-subsequence over both lengths.  So texts that reach the threshold share many pairs of
-neighbouring characters, and one of the rarest of each: texts meet in a join on those,
-and the ratio is computed only for what passes the bounds on lengths, on pairs and on characters.
+subsequence over both lengths, and texts that reach the threshold share many pairs of
+neighbouring characters.  The ratio is computed only for what passes these bounds.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -36,83 +34,156 @@ def url_path(url: Column) -> Column:
 
 def _share(at_least: float) -> float:
     """Shared pairs of characters over both lengths: a character that only one text has breaks three halves of a pair."""
-    share = 0.5 - 1.5 * (1 - at_least)
-    if share <= 0:
-        raise ValueError("the threshold must be above two thirds")
-    return share
+    return max(0.5 - 1.5 * (1 - at_least), 0.0)
+
+
+#: Texts of a group that are compared where they meet, and about as many in each part of a larger group.
+TILE = 4096
+#: Small groups come in so many batches.
+SMALL = 256
+#: Texts compared with as many others at once, and pairs whose subsequences are found at once.
+_BLOCK = 512
+_PAIRS = 1 << 16
+#: Longer texts have their length as bound of what is common.
+_LONG = 1024
+#: Characters are told apart by so many codes; equal codes of different ones only raise a bound.
+_CODES = 128
 
 
 def candidates(texts: DataFrame, at_least: float) -> DataFrame:
     """Pairs (group, text1, text2), text1 < text2, of distinct texts (group, text) that may reach the ratio.
 
-    No pair that reaches it is missing.  Within a group, frequent character pairs come
-    last, so that texts meet on their rarest ones; very short texts, which need not share
-    any, all meet by their shortness.
+    No pair that reaches it is missing.  All texts of a group are compared, by bounds on
+    their characters, on their pairs of these and on their longest common subsequence, in
+    tiles of two parts of the group, and only pairs that pass all of them leave a tile.
     """
     share = _share(at_least)
-    short = math.ceil(2 / share)
-    rows = texts.select("group", "text").distinct().withColumn("n", F.length("text")).where("n > 0")
-    letters = F.split("text", "")
-    pairs = F.transform(F.slice(letters, F.lit(1), F.col("n") - 1), lambda c, i: F.concat(c, F.get(letters, i + 1)))
-    counted = rows.where("n > 1").select("group", "text", "n", F.explode(pairs).alias("gram")).groupBy("group", "text", "n", "gram").agg(F.count("*").alias("times"))
-    # a repeated pair of characters counts as often as it stands
-    grams = counted.select("group", "text", "n", F.explode(F.transform(F.sequence(F.lit(1), "times"), lambda i: F.concat("gram", i.cast("string")))).alias("gram"))
-    df = grams.groupBy("group", "gram").agg(F.count("*").alias("df"))
-    least = F.ceil(share * (1 + at_least / (2 - at_least)) * F.col("n") - 1 - 1e-9)
-    place = F.row_number().over(Window.partitionBy("group", "text").orderBy("df", "gram"))
-    listed = grams.join(df, ["group", "gram"]).withColumn("place", place).where(F.col("place") <= F.col("n") - 1 - least + 1)
-    listed = listed.select("group", "gram", "text", "n").unionByName(rows.where(F.col("n") <= short).select("group", F.lit("").alias("gram"), "text", "n"))
-    left, right = (listed.select("group", "gram", F.col("text").alias(f"text{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
-    near = left.join(right, ["group", "gram"]).where("text1 < text2").where(2 * F.least("n1", "n2") >= at_least * (F.col("n1") + F.col("n2")) - 1e-9)
-    # most pairs end here, before any of them is shuffled
-    need = F.ceil(share * (F.col("n1") + F.col("n2")) - 1 - 1e-9)
-    near = near.where(shared_pairs(F.col("text1"), F.col("text2")) >= need)
-    near = near.select("group", "text1", "text2").distinct()
-    return near.where(letters_ratio(F.col("text1"), F.col("text2")) >= at_least - 1e-9)
-
-
-#: Counters of a text's pairs of characters, and texts whose counters a task keeps.
-COUNTERS = 256
-KEPT_TEXTS = 1 << 15
-
-
-def _pair_counts(text: str) -> np.ndarray:
-    """How often pairs of neighbouring characters stand in a text, by their hashes."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    place = (points[:-1] * np.uint32(0x9E3779B1) ^ points[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
-    return np.bincount(place, minlength=COUNTERS)
-
-
-@F.pandas_udf(T.LongType())
-def shared_pairs(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """An upper bound of the pairs of neighbouring characters that two texts share, as often as these stand in both.
-
-    Pairs that share a counter only add to it.
-    """
-    place: dict[str, int] = {}
-    held = np.zeros((0, COUNTERS), dtype=np.int32)
-
-    def places(texts: pd.Series) -> np.ndarray:
-        nonlocal held
-        new = [x for x in texts.unique() if x not in place]
-        if new:
-            held = np.concatenate((held, np.array([_pair_counts(x) for x in new], dtype=np.int32)))
-            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
-        return texts.map(place).to_numpy(dtype=np.int64)
-
-    for left, right in parts:
-        if len(place) > KEPT_TEXTS:
-            place.clear()
-            held = held[:0]
-        a, b = places(left), places(right)
-        out = [np.minimum(held[a[i : i + 8192]], held[b[i : i + 8192]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), 8192)]
-        yield pd.Series(np.concatenate(out) if out else np.zeros(0, dtype=np.int64))
+    rows = texts.select("group", "text").distinct().where(F.length("text") > 0)
+    sizes = rows.groupBy("group").agg(F.count("*").alias("texts"), F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    dealt = rows.join(sizes.where("texts > 1"), "group").withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tiles = tiles.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")})
+    # small groups come together, as each call has its cost
+    tiles = tiles.withColumn("place", F.xxhash64("group", "lo", "hi"))
+    tiles = tiles.withColumn("tile", F.when(F.col("parts") > 1, F.col("place")).otherwise(F.pmod("place", F.lit(SMALL))))
+    kind = texts.schema["group"].dataType.simpleString()
+    return tiles.groupBy("tile").applyInPandas(_near(at_least, share), f"`group` {kind}, text1 string, text2 string")
+
+
+def _near(at_least: float, share: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        # by hashes, as pandas takes strings to end at a zero character
+        for _, own in rows.groupby("place", sort=False):
+            if len(own) < 2:
+                continue
+            group, lo, hi = own[["group", "lo", "hi"]].iloc[0]
+            own = own.assign(n=own["text"].str.len()).sort_values("n", kind="stable")
+            texts = _Texts(own["text"].tolist())
+            left, right = texts.near(at_least, share, own["part"].to_numpy() if lo < hi else None)
+            names = own["text"].to_numpy()
+            x, y = names[left], names[right]
+            turned = x > y
+            found.append(pd.DataFrame({"group": group, "text1": np.where(turned, y, x), "text2": np.where(turned, x, y)}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"group": [], "text1": [], "text2": []}, dtype="object")
+
+    return run
+
+
+class _Texts:
+    """Some texts' characters end to end, as codes."""
+
+    def __init__(self, texts: list[str]):
+        self.sizes = np.array([len(x) for x in texts], dtype=np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes)
+        ranks = np.unique(points, return_inverse=True)[1]
+        self.points, self.codes = ranks.astype(np.int64), ranks % _CODES
+
+    def _bits(self, what: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
+        """Bits of each text's set of things, the second of a kind being another one than the first, and so on.
+
+        They differ in no more places than the sets do.
+        """
+        order = np.lexsort((what, owner))
+        own, kind = owner[order], what[order]
+        at = np.arange(len(order))
+        new = np.concatenate(([True], (own[1:] != own[:-1]) | (kind[1:] != kind[:-1]))) if len(order) else np.zeros(0, dtype=bool)
+        times = at - np.maximum.accumulate(np.where(new, at, 0))
+        place = ((kind * 1_000_003 + times).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        place = place.astype(np.int64) % (64 * words)
+        out = np.zeros(len(self.sizes) * words, dtype=np.uint64)
+        np.bitwise_xor.at(out, own * words + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+        return out.reshape(-1, words)
+
+    def near(self, at_least: float, share: float, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of texts (in the order of their sizes), of different parts if these are given, that pass the bounds."""
+        n, sizes = len(self.sizes), self.sizes
+        letters = self._bits(self.points, self.owner, 2).T.copy()
+        inside = np.flatnonzero(self.owner[1:] == self.owner[:-1])
+        pairs = self._bits(self.points[inside] * (1 << 21) + self.points[inside + 1], self.owner[inside], 4)
+        found = [(np.zeros(0, dtype=np.int64),) * 2]
+        slack = ((1 - at_least) * sizes).astype(np.float32)
+        for lo in range(0, n, _BLOCK):
+            hi = min(lo + _BLOCK, n)
+            for start in range(lo, n, _BLOCK):
+                end = min(start + _BLOCK, n)
+                if 2 * sizes[hi - 1] < at_least * (sizes[hi - 1] + sizes[start]) - 1e-9:
+                    break
+                apart = np.zeros((hi - lo, end - start), dtype=np.uint8)
+                for word in letters:
+                    apart += np.bitwise_count(word[lo:hi, None] ^ word[None, start:end])
+                left, right = np.nonzero(apart <= slack[lo:hi, None] + slack[None, start:end] + np.float32(1e-3))
+                left, right = left + lo, right + start
+                good = left < right
+                if part is not None:
+                    good &= part[left] != part[right]
+                left, right = left[good], right[good]
+                both = sizes[left] + sizes[right]
+                good = 2 * sizes[left] >= at_least * both - 1e-9
+                good &= np.bitwise_count(pairs[left] ^ pairs[right]).sum(axis=1, dtype=np.int64) <= both - 2 - 2 * np.ceil(share * both - 1 - 1e-9)
+                left, right = left[good], right[good]
+                good = 2 * self.common(left, right) >= at_least * (sizes[left] + sizes[right]) - 1e-9
+                found.append((left[good], right[good]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def common(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """An upper bound of the pairs' longest common subsequences, exact where the left text has up to 64 characters.
+
+        Bits of a word stand for the left text's characters (Hyyro); longer texts go by pieces, each with all of the right text.
+        """
+        out = np.where(self.sizes[left] > _LONG, self.sizes[left], 0)
+        padded = np.append(self.codes, _CODES)
+        some = np.flatnonzero(self.sizes[left] <= _LONG)
+        for cut in range(0, len(some), _PAIRS):
+            held = some[cut : cut + _PAIRS]
+            x, y = left[held], right[held]
+            own, x = np.unique(x, return_inverse=True)
+            for piece in range(0, int(self.sizes[own].max()), 64):
+                sizes = np.clip(self.sizes[own] - piece, 0, 64)
+                row = np.repeat(np.arange(len(own)), sizes)
+                step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                masks = np.zeros((len(own), _CODES + 1), dtype=np.uint64)
+                np.bitwise_or.at(masks, (row, self.codes[self.begins[own][row] + piece + step]), np.uint64(1) << step.astype(np.uint64))
+                state = np.full(len(x), ~np.uint64(0))
+                for at in range(int(self.sizes[y].max())):
+                    code = padded[np.where(at < self.sizes[y], self.begins[y] + at, len(padded) - 1)]
+                    mask = masks[x, code]
+                    state = (state + (state & mask)) | (state & ~mask)
+                out[held] += np.bitwise_count(~state)
+        return out
 
 
 @F.pandas_udf(T.DoubleType())
-def letters_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """An upper bound of the ratio, from how often each character stands in both."""
-    return pd.Series([SequenceMatcher(None, a, b).quick_ratio() for a, b in zip(left, right, strict=True)], dtype="float64")
+def ratio_bound(left: pd.Series, right: pd.Series) -> pd.Series:
+    """An upper bound of the ratio, from the longest common subsequence."""
+    n = len(left)
+    names, place = np.unique(np.concatenate((left.to_numpy(dtype=object), right.to_numpy(dtype=object))), return_inverse=True)
+    texts = _Texts(names.tolist())
+    shorter = np.where(texts.sizes[place[:n]] <= texts.sizes[place[n:]], place[:n], place[n:])
+    both = texts.sizes[place[:n]] + texts.sizes[place[n:]]
+    return pd.Series(np.where(both > 0, 2 * texts.common(shorter, place[:n] + place[n:] - shorter) / np.maximum(both, 1), 1.0))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -135,18 +206,26 @@ def duplicate_articles(
 
     Titles are compared in plain form, paths where they differ; hosts are equal.
     Articles that ``copies`` puts together stand once, under their first key.  Empty
-    titles are alike.  A title that very many paths of a host share makes a pair of each
-    two of its similar paths.
+    titles are alike.
     """
     rows = copies(articles, key, title, url).where("key = first").select("first", "host", "path", "title")
     near = candidates(rows.select(F.col("host").alias("group"), F.col("title").alias("text")), title_at_least)
-    own = rows.select(F.col("host").alias("group"), F.col("title").alias("text1"), F.col("title").alias("text2")).distinct()
-    both = near.unionByName(own).unionByName(near.select("group", F.col("text2").alias("text1"), F.col("text1").alias("text2")))
+    both = near.unionByName(near.select("group", F.col("text2").alias("text1"), F.col("text1").alias("text2")))
     side = [rows.select(F.col("host").alias("group"), F.col("title").alias(f"text{i}"), F.col("first").alias(f"first{i}"), F.col("path").alias(f"path{i}")) for i in (1, 2)]
-    pairs = both.join(side[0], ["group", "text1"]).join(side[1], ["group", "text2"]).where("first1 < first2")
+    pairs = both.join(side[0], ["group", "text1"]).join(side[1], ["group", "text2"]).where("first1 < first2").select("text1", "text2", "first1", "path1", "first2", "path2")
+    # of one title, the similar paths meet as similar titles do
+    group = F.concat("host", F.lit("/"), "title").alias("group")
+    alike = candidates(rows.select(group, F.col("path").alias("text")), path_at_least).withColumnsRenamed({"text1": "path1", "text2": "path2"})
+    side = [rows.select(group, "title", F.col("first").alias(f"first{i}"), F.col("path").alias(f"path{i}")) for i in (1, 2)]
+    same = alike.join(side[0], ["group", "path1"]).join(side[1].drop("title"), ["group", "path2"])
+    turn = F.col("first1") < F.col("first2")
+    placed = [F.when(turn, F.col(f"{x}{i}")).otherwise(F.col(f"{x}{3 - i}")).alias(f"{x}{i}") for i in (1, 2) for x in ("first", "path")]
+    pairs = pairs.unionByName(same.select(F.col("title").alias("text1"), F.col("title").alias("text2"), *placed))
     sizes = [F.length("path1"), F.length("path2")]
     pairs = pairs.where(2 * F.least(*sizes) >= path_at_least * (sizes[0] + sizes[1]) - 1e-9)
-    told = pairs.withColumn("title_ratio", F.when(F.col("text1") == F.col("text2"), 1.0).otherwise(sequence_ratio(F.col("text1"), F.col("text2"))))
-    told = told.where(F.col("title_ratio") >= title_at_least)
-    told = told.withColumn("path_ratio", F.when(F.col("path1") == F.col("path2"), 1.0).otherwise(sequence_ratio(F.col("path1"), F.col("path2"))))
-    return told.where(F.col("path_ratio") >= path_at_least).select("first1", "first2", "title_ratio", "path_ratio")
+    # paths are shorter than titles, so they come first
+    pairs = pairs.where(ratio_bound(F.col("path1"), F.col("path2")) >= path_at_least - 1e-9)
+    told = pairs.withColumn("path_ratio", F.when(F.col("path1") == F.col("path2"), 1.0).otherwise(sequence_ratio(F.col("path1"), F.col("path2"))))
+    told = told.where(F.col("path_ratio") >= path_at_least)
+    told = told.withColumn("title_ratio", F.when(F.col("text1") == F.col("text2"), 1.0).otherwise(sequence_ratio(F.col("text1"), F.col("text2"))))
+    return told.where(F.col("title_ratio") >= title_at_least).select("first1", "first2", "title_ratio", "path_ratio")

@@ -87,6 +87,26 @@ def test_candidates_of_the_same_letters_are_few(spark):
     assert want <= got and len(got) < 400
 
 
+def test_large_groups_in_tiles(spark, monkeypatch):
+    """Groups of several parts, names with zero characters, texts of more than a word's 64 bits: as in one piece, and the bound is no less than the ratio."""
+    pick = random.Random(10)
+    titles = ["".join(pick.choice("abcde ") for _ in range(pick.choice([3, 20, 60, 64, 65, 140]))) for _ in range(120)]
+    titles += [t[:at] + t[at + 1 :] for t in titles if (at := pick.randrange(len(t))) or True]
+    titles = sorted(set(titles))
+    rows = [("g\0" + "0", t) for t in titles] + [("g\0" + "1", t) for t in titles[:130]]
+    df = spark.createDataFrame(rows, "`group` string, text string")
+    held = {g: sorted({t for h, t in rows if h == g}) for g in ("g\0" + "0", "g\0" + "1")}
+    want = {(g, a, b) for g, own in held.items() for n, a in enumerate(own) for b in own[n + 1 :] if SequenceMatcher(None, a, b).ratio() >= 0.85}
+    found = []
+    for size in (4096, 50):
+        monkeypatch.setattr(duplicates, "TILE", size)
+        found.append(sorted(tuple(r) for r in duplicates.candidates(df, 0.85).collect()))
+    assert found[0] == found[1] and want <= set(found[0]) and len(want) > 50
+    pairs = [(pick.choice(titles), pick.choice(titles)) for _ in range(300)] + [("", ""), ("", "a")]
+    told = spark.createDataFrame(pairs, "a string, b string").select("a", "b", duplicates.ratio_bound("a", "b").alias("x")).collect()
+    assert all(r["x"] >= SequenceMatcher(None, r["a"], r["b"]).ratio() - 1e-12 for r in told) and sum(r["x"] < 0.85 for r in told) > 200
+
+
 def test_empty_articles(spark):
     df = spark.createDataFrame([], "link string, title string")
     assert duplicates.duplicate_articles(df).count() == 0
